@@ -12,6 +12,7 @@ from attestra.operators import generation
 from attestra.operators.chunking import chunk_keys, token_windows
 from attestra.operators.ledger import citations_json, retrieved_chunks_json
 from attestra.plans.retrieval import Retrieval, fetch_chunk_text, retrieve
+from attestra.session import cut_lineage
 
 
 def corpus(revisions: DataFrame, snapshot_id: str) -> DataFrame:
@@ -31,10 +32,13 @@ def answer_queries(
     deterministic: bool = True,
 ) -> tuple[DataFrame, DataFrame, Retrieval]:
     """Outcomes, cited evidence with text, and the retrieval they rest on."""
-    found = retrieve(corpus(revisions, snapshot_id), queries, top_k)
-    evidence = fetch_chunk_text(
-        revisions, found.evidence.select("query_id", "rank", "chunk_id", "source_path", "score"),
-        snapshot_id,
+    found = retrieve(corpus(revisions, snapshot_id), queries, top_k, materialize=True)
+    evidence = cut_lineage(
+        fetch_chunk_text(
+            revisions,
+            found.evidence.select("query_id", "rank", "chunk_id", "source_path", "score"),
+            snapshot_id,
+        )
     )
     outcomes = generation.answer_outcomes(
         queries,

@@ -16,6 +16,7 @@ from attestra.operators.chunking import (
 from attestra.operators.embedding import hash_embedding
 from attestra.operators.fusion import parse_top_k
 from attestra.functions import hashing
+from attestra.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,7 @@ def retrieve(
     top_k: int | None = None,
     dense_scores: DataFrame | None = None,
     trace: bool = False,
+    materialize: bool = False,
 ) -> Retrieval:
     """Rank, fuse and gate.
 
@@ -58,7 +60,8 @@ def retrieve(
     ``dense_scores`` (``query_id, chunk_id, source_path, score``) replaces the lexical stand-in of
     the dense ranking; it can reorder evidence but never opens the gate. ``trace`` keeps the full
     candidate lists, including zero-score rows; without it only pairs that can end in a citation
-    are carried, with the same evidence and gate.
+    are carried, with the same evidence and gate. ``materialize`` writes the ranked candidates (at
+    most two lists of 50 per query) once for callers that read several of the results.
     """
     k = lexical.CANDIDATE_LIMIT
     parse_top_k(top_k)
@@ -71,6 +74,8 @@ def retrieve(
         ranked = lexical.lexical_candidates(chunks, queries, k)
     else:
         ranked = lexical.evidence_candidates(chunks, queries, k)
+    if materialize:
+        ranked = cut_lineage(ranked)
     fused = fusion.reciprocal_rank_fusion(ranked)
     return Retrieval(
         ranked,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import canonical_json as J
 from attestra.functions import hashing, html, redaction, text as T, vector
+from attestra.functions.time import epoch_ms
 from attestra.operators import chunking, dense, evaluation, fusion, generation, ledger, lexical
 from attestra.operators import limits, replay, report, served, snapshots
 from attestra.operators.embedding import hash_embedding
@@ -53,7 +54,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def timed_events(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select(
-        "event_id", "user_id", "event_type", F.unix_millis("ts").alias("ts_ms")
+        "event_id", "user_id", "event_type", epoch_ms(F.col("ts")).alias("ts_ms")
     )
 
 
@@ -84,7 +85,7 @@ def event_inputs(spark: SparkSession, d: str) -> DataFrame:
         F.when(is_query, F.concat(F.lit("model-"), (k % 3).cast("string"))).alias("model_version"),
         F.when(is_query, F.lit(42)).alias("seed"),
         hashing.sha256_hex(user).alias("user_id_hash"),
-        F.unix_millis("ts").alias("timestamp_ms"),
+        epoch_ms(F.col("ts")).alias("timestamp_ms"),
         J.canonical_json("props").alias("metadata"),
     )
 
