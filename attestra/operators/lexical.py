@@ -67,7 +67,11 @@ def document_frequencies(chunk_term_arrays: DataFrame) -> DataFrame:
     """
     # Reading the key columns as well keeps this pass on the exchange the scoring pass uses.
     marked = F.concat(F.array(F.lit(ALL_CHUNKS)), F.col("terms"))
-    counted = (F.col("n_terms") >= 0) & (F.length("chunk_id") >= 0) & (F.length("source_path") >= 0)
+    counted = (
+        (F.col("n_terms") >= 0)
+        & (F.length("chunk_id") >= 0)
+        & (F.coalesce(F.length("source_path"), F.lit(0)) >= 0)
+    )
     return (
         chunk_term_arrays.select(F.explode(marked).alias("term"), counted.alias("_counted"))
         .groupBy("term")

@@ -15,15 +15,19 @@ from attestra.operators import limits, replay, report, served, snapshots
 from attestra.operators.embedding import hash_embedding
 from attestra.plans import answering, retrieval
 from attestra.sources.tables import read_table, read_text_table
+from checks.constants import (
+    ALLOWED_HOSTS,
+    ENTRY_TYPES,
+    SERVED_DIMENSION,
+    SINCE,
+    SNAPSHOT_HASH,
+    SNAPSHOT_ID,
+    UNTIL,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SNAPSHOT_ID = "snap_live"
-SNAPSHOT_HASH = hashing.sha256_text("snap_live")
-SERVED_DIMENSION = 64
-SINCE, UNTIL = "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z"
-ALLOWED_HOSTS = ["thther.example.org", "blog.tionsh.example.net", "blog.ththan.example.net"]
 
 
 def query(function: Query) -> Query:
@@ -58,13 +62,6 @@ def timed_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ENTRY_TYPES = {
-    "view": ("query.answered", "answered"),
-    "click": ("replay.passed", "replay-success"),
-    "error": ("query.refused_out_of_corpus", "refused-out-of-corpus"),
-    "signup": ("operator.login.success", "operator-login-success"),
-    "purchase": ("query.blocked_uncited", "blocked-uncited"),
-}
 
 
 def event_inputs(spark: SparkSession, d: str) -> DataFrame:
@@ -655,7 +652,8 @@ def q_id():
 @query
 def replay_status(spark, d):
     return replay_results(spark, d).select(
-        "id", "status", "byte_equal", "drift_artifact", "generated_answer_sha256",
+        "id", "status", F.col("byte_equal").cast("string").alias("byte_equal"), "drift_artifact",
+        "generated_answer_sha256",
         "regenerated_answer_sha256", "operator_message",
     )
 
