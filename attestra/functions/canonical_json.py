@@ -20,18 +20,24 @@ def _utf16_order(key: str) -> bytes:
 
 
 def json_string(value: Column) -> Column:
-    """JSON text of a string column, ``null`` for null."""
+    """JSON text of a string column, ``null`` for null. Wrap finished text in ``lower_escapes``."""
     wrapped = F.to_json(F.array(value))
     text = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
-    # The writer prints control characters with upper-case hex digits; canonical form is lower case.
-    # An even run of backslashes in front means the backslash is data, not an escape.
+    return F.coalesce(F.when(value.isNotNull(), text), F.lit("null"))
+
+
+def lower_escapes(text: Column) -> Column:
+    """Give control-character escapes lower-case hex digits.
+
+    The writer prints them in upper case. An even run of backslashes in front means the backslash
+    is data, not an escape. Applied once to finished text, not per member.
+    """
     fixed = text
     for code in ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"):
         fixed = F.regexp_replace(
             fixed, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}"
         )
-    safe = F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
-    return F.when(value.isNull(), F.lit("null")).otherwise(safe)
+    return F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
 
 
 def json_integer(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.operators.topk import default_fanout, top_k
+
 # Pass thresholds.
 THRESHOLDS = {
     "groundedness": 0.95,
@@ -60,12 +62,21 @@ def tag_breakdown(verdicts: DataFrame) -> DataFrame:
 
 def score_distribution(scores: DataFrame) -> DataFrame:
     """Per probe the statistics a gate could compare: ``probe_id, class, score`` in."""
-    top_two = F.slice(F.reverse(F.array_sort(F.collect_list("score"))), F.lit(1), F.lit(2))
-    return scores.groupBy("probe_id", "class").agg(
+    stats = scores.groupBy("probe_id", "class").agg(
         F.max("score").alias("best"),
         F.avg("score").alias("mean"),
         F.stddev_pop("score").alias("deviation"),
-        F.coalesce(F.try_element_at(top_two, F.lit(2)), F.lit(0.0)).alias("second"),
+    )
+    # The runner-up comes from a two-row top-k, so no distribution is gathered in one place.
+    top_two = top_k(
+        scores.select("probe_id", "score"), ["probe_id"], [F.col("score").desc()], 2,
+        fanout=default_fanout(scores),
+    )
+    second = top_two.filter(F.col("rank") == 2).select(
+        "probe_id", F.col("score").alias("_second")
+    )
+    return stats.join(second, "probe_id", "left").select(
+        *stats.columns, F.coalesce("_second", F.lit(0.0)).alias("second")
     )
 
 

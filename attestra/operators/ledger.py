@@ -18,9 +18,11 @@ from pyspark.sql import types as S
 from attestra.functions import canonical_json as J
 from attestra.functions import hashing
 from attestra.functions.hashing import GENESIS_HASH, NOT_APPLICABLE
+from attestra.operators.topk import fits_broadcast
 
 SIGNATURE_KEY_ID = "local-ed25519-v1"
 VERIFY_BUCKET_ROWS = 100_000
+TOMBSTONE_BROADCAST_ROWS = 100_000
 
 # Entry columns and their names in the signed payload.
 TEXT_FIELDS = {
@@ -139,9 +141,11 @@ def _payload_fields() -> dict[str, Column]:
 
 def canonical_payload(previous_hash: Column, sequence: Column) -> Column:
     """The signed payload of an entry row."""
-    return J.json_object(
-        _payload_fields()
-        | {"previousHash": J.json_string(previous_hash), "sequence": J.json_integer(sequence)}
+    return J.lower_escapes(
+        J.json_object(
+            _payload_fields()
+            | {"previousHash": J.json_string(previous_hash), "sequence": J.json_integer(sequence)}
+        )
     )
 
 
@@ -161,7 +165,11 @@ def _open_payload() -> Column:
     head = F.concat(*run(ordered[:first], "{"), F.lit(',"previousHash":"'))
     middle = F.concat(F.lit('"'), *run(ordered[first + 1 : second], ","), F.lit(',"sequence":'))
     tail = F.concat(*run(ordered[second + 1 :], ","), F.lit("}"))
-    return F.struct(head.alias("head"), middle.alias("middle"), tail.alias("tail"))
+    return F.struct(
+        J.lower_escapes(head).alias("head"),
+        J.lower_escapes(middle).alias("middle"),
+        J.lower_escapes(tail).alias("tail"),
+    )
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,7 +361,10 @@ def retention_view(entries: DataFrame, tombstones: DataFrame) -> DataFrame:
 
     Only the projection changes: chained payloads keep what was signed.
     """
-    joined = entries.join(tombstones, "user_id_hash", "left")
+    small = fits_broadcast(tombstones, TOMBSTONE_BROADCAST_ROWS)
+    joined = entries.join(
+        F.broadcast(tombstones) if small else tombstones, "user_id_hash", "left"
+    )
     gone = F.col("tombstone_hash").isNotNull()
     extra = F.concat(
         F.when(F.col("metadata") == "{}", F.lit("{")).otherwise(

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from attestra.operators.topk import default_fanout, top_k
+
 # Limits and lifetimes in milliseconds.
 MINUTE_MS = 60_000
 ATTEMPT_WINDOW_MS = 15 * MINUTE_MS
@@ -206,9 +208,10 @@ def within_capacity(
     events: DataFrame, scope: str, order: list[str], capacity: int = MAX_LEDGER_ROWS
 ) -> DataFrame:
     """Rows a ledger still accepts: the first ``capacity`` of each scope."""
-    ranked = Window.partitionBy(scope).orderBy(*order)
-    return events.withColumn("row_in_scope", F.row_number().over(ranked).cast("int")).filter(
-        F.col("row_in_scope") <= capacity
+    # Large capacities are beyond the planner's own per-task cut, so a busy scope is split first.
+    fanout = max(default_fanout(events), 16 if capacity > 1000 else 1)
+    return top_k(
+        events, [scope], [F.col(c).asc() for c in order], capacity, "row_in_scope", fanout
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.domain import DEFAULT_EMBEDDING_MODEL
+from attestra.functions import canonical_json as J
 from attestra.functions import hashing, text as T
 from attestra.functions.vector import estimated_index_bytes
 from attestra.operators.chunking import (
@@ -151,18 +152,66 @@ def ingest_summary(
     )
 
 
-def fixture_corpus_hash(chunks: DataFrame) -> DataFrame:
+def fixture_corpus_hash(chunks: DataFrame, flat_limit: int = FLAT_DIGEST_DOCUMENTS) -> DataFrame:
     """Hash of a hand-chunked corpus: canonical manifest of (chunk id, text hash) and count.
 
     It digests the text that is served, not a stored hash column, and also moves on a renamed id.
-    Hand-chunked corpora are small by nature; snapshots of large ones use ``corpus_digest``.
+    Beyond ``flat_limit`` chunks the bucketed digest takes the manifest's place.
     """
-    entry = F.concat(
-        F.lit('{"chunkId":"'), F.col("chunk_id"),
-        F.lit('","textSha256":"'), F.sha2("chunk_text", 256), F.lit('"}'),
+    hashed = chunks.select("chunk_id", F.sha2("chunk_text", 256).alias("text_sha256"))
+    if hashed.limit(flat_limit + 1).count() > flat_limit:
+        keyed = hashed.select(
+            F.col("chunk_id").alias("source_path"), F.col("text_sha256").alias("content_sha256")
+        )
+        return corpus_digest(keyed, flat_limit).select(F.col("base_hash").alias("corpus_hash"))
+    entry = J.json_object(
+        {"chunkId": J.json_string(F.col("chunk_id")), "textSha256": J.json_string(F.col("text_sha256"))}
     )
     manifest = F.concat(
         F.lit('{"chunkCount":'), F.count(F.lit(1)).cast("string"), F.lit(',"chunks":['),
         F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]}"),
     )
-    return chunks.agg(hashing.sha256_hex(manifest).alias("corpus_hash"))
+    return hashed.agg(hashing.sha256_hex(J.lower_escapes(manifest)).alias("corpus_hash"))
+
+
+def provenance(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Whether each source consists of its chunks, verbatim and in order.
+
+    ``sources``: ``source_id, text``; ``chunks``: ``source_id, chunk_index, chunk_text``. Between
+    chunks only ``(n)`` markers and blanks may remain. Chunks are gathered per source document.
+    """
+    listed = chunks.groupBy("source_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))),
+            lambda c: c["chunk_text"],
+        ).alias("parts")
+    )
+    start = F.struct(F.lit(1).alias("cursor"), F.lit("").alias("left"), F.lit(0).alias("missing"))
+
+    def step(state: Column, part: Column) -> Column:
+        at = F.position(part, F.col("text"), state["cursor"])
+        return F.struct(
+            F.when(at > 0, at + F.length(part)).otherwise(state["cursor"]).alias("cursor"),
+            F.when(
+                at > 0,
+                F.concat(
+                    state["left"],
+                    F.substring(F.col("text"), state["cursor"], at - state["cursor"]),
+                    F.lit(" "),
+                ),
+            ).otherwise(state["left"]).alias("left"),
+            (state["missing"] + F.when(at > 0, F.lit(0)).otherwise(F.lit(1))).alias("missing"),
+        )
+
+    folded = F.aggregate("parts", start, step)
+    joined = sources.join(listed, "source_id", "left").withColumn("_f", folded)
+    rest = F.concat(
+        F.col("_f.left"), F.substring("text", F.col("_f.cursor"), F.length("text"))
+    )
+    remainder = F.regexp_replace(rest, rf"\([0-9]+\)|{T.WHITESPACE}+", "")
+    return joined.select(
+        "source_id",
+        F.coalesce(F.size("parts"), F.lit(0)).alias("n_chunks"),
+        F.coalesce(F.col("_f.missing"), F.lit(0)).alias("n_missing"),
+        (F.coalesce(F.col("_f.missing") == 0, F.lit(False)) & (remainder == "")).alias("verbatim"),
+    )

@@ -355,6 +355,12 @@ SELECT false AS dry_run, d AS document_count, ch AS changed_document_count,
 ORACLES["ingest_summary"] = _ingest("stored_sha256 IS DISTINCT FROM content_sha256", ", " + STORED)
 ORACLES["ingest_no_op"] = _ingest("false", "")
 
+ORACLES["corpus_manifest_hash"] = """
+WITH e AS (SELECT '{"chunkId":' || to_json(source || '/' || doc_id)::VARCHAR || ',"textSha256":"'
+  || sha256(text) || '"}' AS e FROM documents)
+SELECT sha256('{"chunkCount":' || count(*) || ',"chunks":[' || string_agg(e, ',' ORDER BY e) || ']}')
+  AS corpus_hash FROM e"""
+
 ORACLES["source_spans"] = f"""
 WITH {REV}, {TOK}, {WIN}, {OFFSETS}
 SELECT source_path, min(i) AS chunk_index FROM span WHERE char_start >= 2000 GROUP BY source_path"""

@@ -380,6 +380,27 @@ def ingest_no_op(spark, d):
     return snapshots.ingest_summary(found, found.select("source_path", "content_sha256"))
 
 
+@query
+def corpus_manifest_hash(spark, d):
+    """Manifest hash of the hand-made chunks: here every document is one chunk."""
+    chunks = documents(spark, d).select(
+        F.concat_ws("/", "source", "doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")
+    )
+    return snapshots.fixture_corpus_hash(chunks)
+
+
+@query
+def chunk_provenance(spark, d):
+    """Paragraphs of each page-like document against its text; every seventh paragraph is altered."""
+    docs = documents(spark, d).select(F.col("doc_id").alias("source_id"), "text")
+    parts = docs.select("source_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "p"))
+    changed = F.when(F.col("chunk_index") % 7 == 6, F.concat("p", F.lit("~"))).otherwise(F.col("p"))
+    chunks = parts.filter(F.col("p") != "").select(
+        "source_id", "chunk_index", changed.alias("chunk_text")
+    )
+    return snapshots.provenance(docs, chunks)
+
+
 @query
 def source_spans(spark, d):
     """First chunk of every document that starts at or after character 2000."""
@@ -668,12 +689,12 @@ def verbatim_sources(spark: SparkSession, d: str) -> DataFrame:
     """
     asked = questions(spark, d).withColumn("line", F.split("query_text", "\n")[0])
     lines = documents(spark, d).select(
-        "doc_id", F.concat_ws("/", "source", "doc_id").alias("source_path"),
-        F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"), "text",
+        "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
+    )
+    hits = lines.join(asked, "line").select("doc_id", "query_id", "query_text")
+    return documents(spark, d).join(hits, "doc_id").filter(F.contains("text", "query_text")).select(
+        "query_id", F.concat_ws("/", "source", "doc_id").alias("source_path")
     )
-    return lines.join(asked, "line").filter(F.contains("text", "query_text")).select(
-        "query_id", "source_path"
-    ).distinct()
 
 
 @query
