@@ -1,0 +1,243 @@
+"""Parquet-backed corpus snapshots and ledgers.
+
+Both follow one publishing rule: data files first, the small row that makes them visible last. A job
+that dies in between leaves files nobody reads, and running it again writes the same folder.
+"""
+
+from __future__ import annotations
+
+import base64
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.functions import canonical_json as J
+from attestra.functions import ed25519
+from attestra.functions.hashing import sha256_text
+from attestra.operators import chunking, ledger, snapshots
+
+SNAPSHOT_SCHEMA = (
+    "id string, sequence int, snapshot_hash string, base_hash string, "
+    "embedding_model_version string, chunker_version string, status string, "
+    "document_count bigint, chunk_count bigint, digest_kind string"
+)
+DOCUMENT_SCHEMA = "source_path string, source_type string, content_sha256 string, snapshot_id string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+@dataclass(frozen=True)
+class IngestResult:
+    dry_run: bool
+    document_count: int
+    changed_document_count: int
+    chunk_count: int
+    estimated_index_bytes: int
+    warning_count: int
+    snapshot_id: str | None
+    activated: bool
+    no_op: bool
+
+
+class SnapshotStore:
+    """``snapshots``, ``documents`` and ``chunks`` below one folder, by snapshot."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{table}"
+        if not _exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def snapshots(self) -> DataFrame:
+        return self._read("snapshots", SNAPSHOT_SCHEMA)
+
+    def active_snapshot(self) -> DataFrame:
+        return snapshots.active_snapshot(self.snapshots())
+
+    def chunks(self, snapshot_id: str) -> DataFrame:
+        """Chunks of one snapshot; the folder of every other snapshot is pruned."""
+        stored = self.spark.read.parquet(f"{self.path}/chunks")
+        return stored.filter(F.col("corpus_snapshot_id") == snapshot_id)
+
+    def stored_hashes(self) -> DataFrame:
+        """Last ingested content hash per path; only snapshots that were published count."""
+        documents = self._read("documents", DOCUMENT_SCHEMA)
+        active = self.snapshots().filter("status = 'active'").select(
+            F.col("id").alias("snapshot_id"), "sequence"
+        )
+        return (
+            documents.join(F.broadcast(active), "snapshot_id")
+            .groupBy("source_path")
+            .agg(F.max_by("content_sha256", "sequence").alias("content_sha256"))
+        )
+
+    def ingest(
+        self,
+        revisions: DataFrame,
+        dry_run: bool = False,
+        fail_after_extract: bool = False,
+        window: int = chunking.DEFAULT_WINDOW,
+        overlap: int = chunking.DEFAULT_OVERLAP,
+    ) -> IngestResult:
+        """Report, skip, fail or publish a snapshot, depending on what changed."""
+        summary = snapshots.ingest_summary(
+            revisions, self.stored_hashes(), dry_run, fail_after_extract, window, overlap
+        ).first()
+        if dry_run:
+            return IngestResult(**summary.asDict(), snapshot_id=None)
+        if summary["no_op"]:
+            active = self.active_snapshot().select("id").first()
+            return IngestResult(**summary.asDict(), snapshot_id=active["id"] if active else None)
+        sequence = snapshots.next_sequence(self.snapshots()).first()["next_sequence"]
+        status = "failed" if fail_after_extract else "active"
+        row = snapshots.snapshot_row(revisions, sequence, status, window, overlap)
+        published = self.spark.createDataFrame(row.collect(), row.schema)
+        head = published.first()
+        if status == "active":
+            self._write_data(revisions, head["id"], head["snapshot_hash"], window, overlap)
+        published.coalesce(1).write.mode("append").parquet(f"{self.path}/snapshots")
+        return IngestResult(**summary.asDict(), snapshot_id=head["id"])
+
+    def _write_data(
+        self, revisions: DataFrame, snapshot_id: str, snapshot_hash: str, window: int, overlap: int
+    ) -> None:
+        records = chunking.chunk_records(
+            chunking.token_windows_with_offsets(revisions, window, overlap),
+            F.lit(snapshot_id),
+            F.lit(snapshot_hash),
+        )
+        # One folder per snapshot, overwritten as a whole, so a repeated attempt cannot add rows.
+        records.drop("corpus_snapshot_id").write.mode("overwrite").parquet(
+            f"{self.path}/chunks/corpus_snapshot_id={snapshot_id}"
+        )
+        revisions.select("source_path", "source_type", "content_sha256").write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/documents/snapshot_id={snapshot_id}")
+
+
+class LedgerStore:
+    """Append-only ledger in numbered batches with the chain heads kept beside them."""
+
+    def __init__(self, spark: SparkSession, path: str, seed: bytes | None = None):
+        self.spark, self.path, self.seed = spark, path.rstrip("/"), seed
+
+    @property
+    def public_key(self) -> bytes | None:
+        return None if self.seed is None else ed25519.public_key(self.seed)
+
+    def _batches(self, table: str) -> list[int]:
+        root = f"{self.path}/{table}"
+        if not _exists(self.spark, root):
+            return []
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in fs.listStatus(jvm_path)]
+        complete = [n for n in names if n.startswith("batch=")
+                    and _exists(self.spark, f"{root}/{n}/_SUCCESS")]
+        return sorted(int(n.split("=")[1]) for n in complete)
+
+    def heads(self, before: int | None = None) -> DataFrame | None:
+        """Chain heads after the last batch (before a given one); small: one row per ledger."""
+        known = [b for b in self._batches("heads") if before is None or b < before]
+        if not known:
+            return None
+        return self.spark.read.parquet(f"{self.path}/heads/batch={known[-1]}")
+
+    def append(self, inputs: DataFrame, order: list[str], batch: int | None = None) -> int:
+        """Chain, sign and write one batch; the heads folder publishes it.
+
+        Repeating a batch number replaces that batch and nothing else, so a retried micro-batch
+        produces the same ledger.
+        """
+        published = self._batches("heads")
+        number = batch if batch is not None else (published[-1] + 1 if published else 0)
+        if any(b > number for b in published):
+            raise ValueError(f"batch {number} lies before the end of the ledger")
+        before = self.heads(number)
+        entries = self._signed(ledger.append_entries(inputs, order, before))
+        entries.write.mode("overwrite").parquet(f"{self.path}/entries/batch={number}")
+        written = self.spark.read.parquet(f"{self.path}/entries/batch={number}")
+        fresh = ledger.ledger_heads(written)
+        if before is not None:
+            fresh = before.join(fresh, "ledger_id", "left_anti").unionByName(fresh)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/heads/batch={number}")
+        return number
+
+    def _signed(self, entries: DataFrame) -> DataFrame:
+        message = F.concat("id", "canonical_payload")
+        signature = (
+            F.lit("") if self.seed is None else ed25519.signature_column(self.seed, message)
+        )
+        return entries.withColumns(
+            {"signature": signature, "signature_key_id": F.lit(ledger.SIGNATURE_KEY_ID)}
+        )
+
+    def entries(self) -> DataFrame:
+        """Rows of published batches only."""
+        published = self._batches("heads")
+        if not published:
+            raise ValueError("ledger is empty")
+        rows = self.spark.read.parquet(f"{self.path}/entries")
+        return rows.filter(F.col("batch") <= published[-1])
+
+    def find(self, entry_id: str) -> DataFrame:
+        return ledger.find_by_id(self.entries(), entry_id)
+
+    def verify(self) -> DataFrame:
+        valid = None
+        if self.public_key is not None:
+            valid = ed25519.verification_column(
+                self.public_key, F.concat("id", "canonical_payload"), F.col("signature")
+            )
+        return ledger.verify_entries(self.entries(), valid)
+
+    def export_sealed(
+        self, out: str, since_ms: int, until_ms: int, exclude: tuple[str, ...] = ()
+    ) -> dict:
+        """Write a window as JSON lines with a manifest of file hashes and a detached signature.
+
+        Rows and hashes are produced by tasks; the driver sees one hash per file. The private key
+        never leaves the process.
+        """
+        if self.seed is None:
+            raise ValueError("Ledger signing private key unavailable")
+        rows = ledger.window_entries(self.entries(), since_ms, until_ms, exclude)
+        data = f"{out.rstrip('/')}/entries"
+        rows.drop("batch").write.mode("overwrite").json(data)
+        files = (
+            self.spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(data)
+            .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+                    F.sha2("content", 256).alias("sha256"))
+            .orderBy("name").collect()
+        )
+        facts = rows.agg(
+            F.count(F.lit(1)).alias("n"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi")
+        ).first()
+        manifest = {
+            "artifact": "ledger-export",
+            "format": "json-lines",
+            "sinceMs": since_ms,
+            "untilMs": until_ms,
+            "rowCount": facts["n"],
+            "firstSequence": facts["lo"],
+            "lastSequence": facts["hi"],
+            "ledgerSha256": sha256_text("|".join(f["sha256"] for f in files)),
+            "files": {f["name"]: f["sha256"] for f in files},
+            "signatureKeyId": ledger.SIGNATURE_KEY_ID,
+            "publicKey": base64.b64encode(self.public_key or b"").decode(),
+            "privateKeysIncluded": False,
+        }
+        text = J.canonical_text(manifest)
+        signature = base64.b64encode(ed25519.sign(self.seed, text.encode())).decode()
+        for name, body in (("manifest", text), ("signature", signature)):
+            self.spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode(
+                "overwrite"
+            ).text(f"{out.rstrip('/')}/{name}")
+        return manifest
