@@ -14,6 +14,7 @@ from attestra.functions import hashing, text as T
 # Window defaults and the version string recorded with every snapshot.
 DEFAULT_WINDOW = 800
 DEFAULT_OVERLAP = 100
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 CHUNKER_VERSION = "chunker-800-100-v1"
 
 
@@ -76,8 +77,14 @@ def token_windows_with_offsets(
     keep = [c for c in revisions.columns if c != "text"]
     text, tokens, gaps = F.col("text"), F.col("_tokens"), F.col("_gaps")
 
+    # Only text with astral characters needs counting in UTF-16 units; one scan per document tells.
+    astral = F.col("_astral")
+
+    def units(part: Column) -> Column:
+        return F.when(astral, T.utf16_length(part)).otherwise(F.length(part))
+
     def span(prefix: Column) -> Column:
-        return F.aggregate(prefix, F.lit(0), lambda acc, x: acc + T.utf16_length(x))
+        return units(F.array_join(prefix, ""))
 
     def token_start(index: Column) -> Column:
         return span(F.slice(gaps, F.lit(1), index + 1)) + span(F.slice(tokens, F.lit(1), index))
@@ -85,6 +92,9 @@ def token_windows_with_offsets(
     def token_end(index: Column) -> Column:
         return span(F.slice(gaps, F.lit(1), index)) + span(F.slice(tokens, F.lit(1), index))
 
+    def before(count: Column) -> Column:
+        return F.when(astral, T.utf16_length(F.substring(text, F.lit(1), count))).otherwise(count)
+
     bare = F.transform(
         window_starts(F.size(tokens), window, overlap),
         lambda start, i: F.struct(
@@ -110,16 +120,11 @@ def token_windows_with_offsets(
             w["chunk_index"].alias("chunk_index"),
             w["token_start"].alias("token_start"),
             w["token_end"].alias("token_end"),
-            F.when(w["_at"] > 0, T.utf16_length(F.substring(text, F.lit(1), w["_at"] - 1)))
+            F.when(w["_at"] > 0, before(w["_at"] - 1))
             .otherwise(token_start(w["token_start"]))
             .cast("int")
             .alias("char_start"),
-            F.when(
-                w["_at"] > 0,
-                T.utf16_length(
-                    F.substring(text, F.lit(1), w["_at"] - 1 + F.length(w["chunk_text"]))
-                ),
-            )
+            F.when(w["_at"] > 0, before(w["_at"] - 1 + F.length(w["chunk_text"])))
             .otherwise(token_end(w["token_end"]))
             .cast("int")
             .alias("char_end"),
@@ -128,6 +133,7 @@ def token_windows_with_offsets(
     )
     return (
         revisions.withColumn("_tokens", T.whitespace_tokens(text))
+        .withColumn("_astral", text.rlike(ASTRAL))
         .withColumn("_gaps", F.split(text, f"{T.NON_WHITESPACE}+"))
         .withColumn("_windows", bare)
         .withColumn("_located", located)

@@ -31,6 +31,7 @@ SCORE_DECIMALS = 6
 
 BROADCAST_TERM_ROWS = 500_000
 TERM_SALTS = 32
+VOCABULARY_BUCKETS = 4096
 # Stands for "every chunk" in the frequency table; no term is shorter than two characters.
 ALL_CHUNKS = ""
 
@@ -129,9 +130,35 @@ def _scores(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _restrict(arrays: DataFrame, wanted: DataFrame) -> DataFrame:
-    vocabulary = wanted.select(F.collect_set("term").alias("v")).scalar()
-    return arrays.withColumn("terms", F.array_intersect(vocabulary, "terms"))
+def bucketed_vocabulary(wanted: DataFrame, buckets: int = VOCABULARY_BUCKETS) -> Column:
+    """The asked terms as an array of small arrays, addressed by the hash of the term."""
+    slots = wanted.sparkSession.range(buckets).withColumnRenamed("id", "slot")
+    slot = F.pmod(F.xxhash64("term"), F.lit(buckets))
+    filled = slots.join(wanted.select(slot.alias("slot"), "term"), "slot", "left")
+    lists = filled.groupBy("slot").agg(F.collect_set("term").alias("ts"))
+    return lists.agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("slot", "ts"))), lambda x: x["ts"]
+        ).alias("v")
+    ).scalar()
+
+
+def restrict_terms(
+    frame: DataFrame, column: str, wanted: DataFrame, buckets: int = VOCABULARY_BUCKETS
+) -> DataFrame:
+    """Keep only asked terms of an array column; each term is compared with its own slot alone."""
+    kept = F.filter(
+        column,
+        lambda t: F.array_contains(
+            F.get(F.col("_vocabulary"), F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")), t
+        ),
+    )
+    # The optimizer folds the helper column into the filter, so it is never stored with a row.
+    return (
+        frame.withColumn("_vocabulary", bucketed_vocabulary(wanted, buckets))
+        .withColumn(column, kept)
+        .drop("_vocabulary")
+    )
 
 
 def score_pairs(
@@ -148,7 +175,7 @@ def score_pairs(
     arrays = chunk_terms(chunks)
     keys = ["chunk_id", "source_path", "n_terms", "query_id", "query_weight"]
     if fits_broadcast(wanted, broadcast_rows):
-        postings = _restrict(arrays, wanted).repartition("chunk_id")
+        postings = restrict_terms(arrays, "terms", wanted).repartition("chunk_id")
         weights = F.broadcast(query_weights(wanted, document_frequencies(postings)))
         matches = _postings(postings).join(weights, "term")
     else:

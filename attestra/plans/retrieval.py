@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from attestra.operators import dense, fusion, lexical, served
 from attestra.operators.chunking import (
     chunk_id,
+    chunk_records,
     token_windows,
     token_windows_with_offsets,
 )
 from attestra.operators.embedding import hash_embedding
 from attestra.operators.fusion import parse_top_k
+from attestra.operators.topk import fits_broadcast
 from attestra.functions import hashing
 from attestra.session import cut_lineage
 
 
+REFERENCE_BROADCAST_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Retrieval:
     """Candidates of both rankers, their fusion, the cited evidence and the gate."""
@@ -85,13 +90,6 @@ def retrieve(
     )
 
 
-def chunk_vectors(chunks: DataFrame, dimension: int) -> DataFrame:
-    return chunks.select(
-        F.struct("chunk_id", "source_path").alias("ref"),
-        hash_embedding(F.col("chunk_text"), dimension).alias("vector"),
-    )
-
-
 def hash_dense_scores(
     chunks: DataFrame, queries: DataFrame, dimension: int, k: int = lexical.CANDIDATE_LIMIT
 ) -> DataFrame:
@@ -131,6 +129,14 @@ def retrieve_served(
     return Retrieval(ranked.drop("source_path"), fused, kept, gate)
 
 
+def _small(references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References and their documents, broadcast where few enough, so text is never shuffled."""
+    wanted = references.select("source_path").distinct()
+    if fits_broadcast(references, REFERENCE_BROADCAST_ROWS):
+        return F.broadcast(references), F.broadcast(wanted)
+    return references, wanted
+
+
 def fetch_chunk_text(
     revisions: DataFrame, references: DataFrame, snapshot_id: str
 ) -> DataFrame:
@@ -139,7 +145,7 @@ def fetch_chunk_text(
     References hold at most ``top_k`` rows per query, so only their documents are cut again; the
     rest of the corpus is dropped before chunking.
     """
-    wanted = references.select("source_path").distinct()
+    references, wanted = _small(references)
     documents = revisions.select("source_path", "text").join(wanted, "source_path", "left_semi")
     texts = (
         token_windows(documents)
@@ -150,21 +156,19 @@ def fetch_chunk_text(
             F.lit(snapshot_id).alias("corpus_snapshot_id"),
         )
     )
-    return references.join(texts, "chunk_id")
+    return texts.join(references, "chunk_id")
 
 
 def fetch_chunk_records(
     revisions: DataFrame, references: DataFrame, snapshot_id: str, snapshot_hash: str
 ) -> DataFrame:
     """Attach full chunk records to ranked references, cutting only their documents again."""
-    from attestra.operators.chunking import chunk_records
-
-    wanted = references.select("source_path").distinct()
+    references, wanted = _small(references)
     documents = revisions.join(wanted, "source_path", "left_semi")
     records = chunk_records(
         token_windows_with_offsets(documents), F.lit(snapshot_id), F.lit(snapshot_hash)
     )
-    return references.drop("source_path").join(records, "chunk_id")
+    return records.join(references.drop("source_path"), "chunk_id")
 
 
 def evidence_bars(evidence: DataFrame) -> DataFrame:

@@ -30,13 +30,9 @@ def duplicate_chunk_ids(chunks: DataFrame) -> DataFrame:
 
 def load_fixture_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """All marked chunks below a directory; an id used twice, in or across files, is an error."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(directory)
-        .select(F.input_file_name().alias("source_path"), F.col("value").alias("text"))
-    )
+    files = spark.read.text(
+        directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md"
+    ).select(F.input_file_name().alias("source_path"), F.col("value").alias("text"))
     chunks = parse_fixture_chunks(files)
     repeated = duplicate_chunk_ids(chunks).first()
     if repeated:
