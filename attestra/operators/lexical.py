@@ -61,22 +61,31 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     ).withColumn("n_terms", F.size("terms"))
 
 
-def document_frequencies(chunk_term_arrays: DataFrame) -> DataFrame:
-    """Chunks per term, plus one ``ALL_CHUNKS`` row with the number of chunks.
+def _marked(terms: str = "terms") -> Column:
+    # Exploding a bare column would make the optimizer test its size first and tokenise twice.
+    return F.concat(F.array(F.lit(ALL_CHUNKS)), F.col(terms))
 
-    Counts are combined on the map side, so a term found in every chunk costs one row per task.
-    """
-    # Reading the key columns as well keeps this pass on the exchange the scoring pass uses.
-    marked = F.concat(F.array(F.lit(ALL_CHUNKS)), F.col("terms"))
-    counted = (
+
+def _whole_row() -> Column:
+    """True for every row, but reads all posting columns: passes that read the same columns of the
+    same exchange share it, passes that read fewer would build their own."""
+    return (
         (F.col("n_terms") >= 0)
         & (F.length("chunk_id") >= 0)
         & (F.coalesce(F.length("source_path"), F.lit(0)) >= 0)
+        & (F.size("terms") >= 0)
     )
+
+
+def document_frequencies(chunk_term_arrays: DataFrame) -> DataFrame:
+    """Chunks per term, plus one ``ALL_CHUNKS`` row with the number of chunks.
+
+    Counts are combined on the map side, so a term found in every chunk costs one row per task.
+    """
     return (
-        chunk_term_arrays.select(F.explode(marked).alias("term"), counted.alias("_counted"))
+        chunk_term_arrays.select(F.explode(_marked()).alias("term"), _whole_row().alias("_row"))
         .groupBy("term")
-        .agg(F.count(F.when(F.col("_counted"), 1)).alias("df"))
+        .agg(F.count(F.when(F.col("_row"), 1)).alias("df"))
     )
 
 
@@ -108,10 +117,9 @@ def query_weights(wanted: DataFrame, frequencies: DataFrame) -> DataFrame:
 
 
 def _postings(arrays: DataFrame, *columns: Column) -> DataFrame:
-    # Exploding a bare column would make the optimizer test its size first and tokenise twice.
-    listed = F.filter("terms", lambda t: t != ALL_CHUNKS)
+    """One row per (chunk, term); the marker row finds no partner in the weights."""
     return arrays.select(
-        "chunk_id", "source_path", "n_terms", *columns, F.explode(listed).alias("term")
+        "chunk_id", "source_path", "n_terms", *columns, F.explode(_marked()).alias("term")
     )
 
 
@@ -161,29 +169,42 @@ def restrict_terms(
     )
 
 
-def score_pairs(
-    chunks: DataFrame,
-    queries: DataFrame,
-    broadcast_rows: int = BROADCAST_TERM_ROWS,
-) -> DataFrame:
+@dataclass(frozen=True)
+class ScoringInput:
+    """Postings grouped by chunk, query weights, and whether the weights fit a broadcast."""
+
+    postings: DataFrame
+    weights: DataFrame
+    small: bool
+
+
+def scoring_input(
+    chunks: DataFrame, queries: DataFrame, broadcast_rows: int = BROADCAST_TERM_ROWS
+) -> ScoringInput:
+    wanted = query_terms(queries)
+    arrays = chunk_terms(chunks)
+    small = fits_broadcast(wanted, broadcast_rows)
+    if small:
+        arrays = restrict_terms(arrays, "terms", wanted)
+    postings = arrays.repartition("chunk_id")
+    return ScoringInput(postings, query_weights(wanted, document_frequencies(postings)), small)
+
+
+def score_pairs(given: ScoringInput) -> DataFrame:
     """Scores of every (query, chunk) pair sharing a term.
 
     ``coverage`` is the share of the query's information the chunk carries; ``evidence`` adds the
     bounded length preference.
     """
-    wanted = query_terms(queries)
-    arrays = chunk_terms(chunks)
     keys = ["chunk_id", "source_path", "n_terms", "query_id", "query_weight"]
-    if fits_broadcast(wanted, broadcast_rows):
-        postings = restrict_terms(arrays, "terms", wanted).repartition("chunk_id")
-        weights = F.broadcast(query_weights(wanted, document_frequencies(postings)))
-        matches = _postings(postings).join(weights, "term")
+    if given.small:
+        matches = _postings(given.postings).join(F.broadcast(given.weights), "term")
     else:
-        postings = arrays.repartition("chunk_id")
-        weights = query_weights(wanted, document_frequencies(postings))
         salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("salt")
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int").alias("salt")
-        matches = _postings(postings, salt).join(weights.select("*", salts), ["term", "salt"])
+        matches = _postings(given.postings, salt).join(
+            given.weights.select("*", salts), ["term", "salt"]
+        )
     return _scores(matches.groupBy(*keys).agg(F.sum("weight").alias("matched")))
 
 
@@ -206,47 +227,46 @@ def _both_rankings(pairs: DataFrame) -> DataFrame:
     )
 
 
-def fill_rows(chunks: DataFrame, queries: DataFrame, methods: list[str], k: int) -> DataFrame:
-    """Zero-score candidates: every active chunk is ranked, so short lists end in zero rows.
-
-    Any zero row that makes a list of ``k`` is among the ``k`` lowest chunk ids of the corpus.
-    """
-    lowest = (
-        chunks.select(F.struct("chunk_id", "source_path").alias("c")).orderBy("c.chunk_id").limit(k)
-    )
-    fillers = lowest.select(F.collect_list("c").alias("v")).scalar()
-    return queries.select(
-        "query_id", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"),
-        fillers.alias("_fillers"),
-    ).select(
-        "query_id",
-        F.col("method"),
-        F.inline("_fillers"),
-        F.lit(0.0).alias("score"),
-    )
+def lowest_chunks(chunks: DataFrame, k: int, whole_row: Column | None = None) -> Column:
+    """The ``k`` lowest chunk ids with their paths, as one array."""
+    chosen = chunks if whole_row is None else chunks.filter(whole_row)
+    ordered = chosen.select(F.struct("chunk_id", "source_path").alias("c")).orderBy("c.chunk_id")
+    return ordered.limit(k).select(F.collect_list("c").alias("v")).scalar()
 
 
 def rank_with_fill(
-    scored: DataFrame, chunks: DataFrame, queries: DataFrame, methods: list[str], k: int
+    scored: DataFrame, lowest: Column, queries: DataFrame, methods: list[str], k: int
 ) -> DataFrame:
-    """Top ``k`` per (query, method), completed with zero-score chunks where fewer match."""
+    """Top ``k`` per (query, method), completed with zero-score chunks where fewer match.
+
+    Every active chunk is ranked, so short lists end in zero rows. Any zero row that makes a list
+    of ``k`` is among the ``k`` lowest chunk ids of the corpus, given as ``lowest``.
+    """
     columns = ["query_id", "method", "chunk_id", "source_path", "score"]
     matched = top_k(
         scored, ["query_id", "method"], candidate_order(), k, fanout=default_fanout(scored)
     ).select(*columns)
-    filled = matched.unionByName(fill_rows(chunks, queries, methods, k).select(*columns))
-    distinct = filled.groupBy("query_id", "method", "chunk_id", "source_path").agg(
-        F.max("score").alias("score")
-    )
+    fillers = queries.select(
+        "query_id",
+        F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"),
+        lowest.alias("_fillers"),
+    ).select("query_id", "method", F.inline("_fillers"), F.lit(0.0).alias("score"))
+    distinct = matched.unionByName(fillers.select(*columns)).groupBy(
+        "query_id", "method", "chunk_id", "source_path"
+    ).agg(F.max("score").alias("score"))
     return top_k(distinct, ["query_id", "method"], candidate_order(), k)
 
 
 def lexical_candidates(
-    chunks: DataFrame, queries: DataFrame, k: int = CANDIDATE_LIMIT, **options
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = CANDIDATE_LIMIT,
+    broadcast_rows: int = BROADCAST_TERM_ROWS,
 ) -> DataFrame:
     """Both lexical rankings: ``query_id, method, rank, chunk_id, source_path, score``."""
-    pairs = score_pairs(chunks, queries, **options)
-    return rank_with_fill(_both_rankings(pairs), chunks, queries, [DENSE, BM25], k)
+    given = scoring_input(chunks, queries, broadcast_rows)
+    lowest = lowest_chunks(given.postings, k, _whole_row())
+    return rank_with_fill(_both_rankings(score_pairs(given)), lowest, queries, [DENSE, BM25], k)
 
 
 @dataclass(frozen=True)
@@ -262,7 +282,10 @@ class EvidenceBound:
 
 
 def evidence_candidates(
-    chunks: DataFrame, queries: DataFrame, k: int = CANDIDATE_LIMIT, **options
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = CANDIDATE_LIMIT,
+    broadcast_rows: int = BROADCAST_TERM_ROWS,
 ) -> DataFrame:
     """Both rankings cut to pairs that can still lead to a citation.
 
@@ -270,9 +293,8 @@ def evidence_candidates(
     chunk also clears the coverage bound. So ranks of citable chunks equal those of the full lists,
     while pairs that share only common words are dropped before any sort.
     """
-    pairs = score_pairs(chunks, queries, **options).filter(
-        F.col("coverage") >= EvidenceBound().coverage
-    )
+    given = scoring_input(chunks, queries, broadcast_rows)
+    pairs = score_pairs(given).filter(F.col("coverage") >= EvidenceBound().coverage)
     scored = _both_rankings(pairs)
     return top_k(
         scored, ["query_id", "method"], candidate_order(), k, fanout=default_fanout(scored)

@@ -48,7 +48,8 @@ def dense_candidates(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k
         F.lit(lexical.DENSE).alias("method"),
         F.round("score", lexical.SCORE_DECIMALS).alias("score"),
     )
-    return lexical.rank_with_fill(rows, chunks, queries, [lexical.DENSE], k)
+    lowest = lexical.lowest_chunks(chunks, k)
+    return lexical.rank_with_fill(rows, lowest, queries, [lexical.DENSE], k)
 
 
 def retrieve(
