@@ -723,6 +723,7 @@ SELECT event_id, s AS window_start_ms, least(k, {limit + 1}) AS attempt, k <= {l
 FROM placed"""
 
 
+ORACLES["attempt_limits"] = anchored("event_type", 900_000, 5)
 ORACLES["attempt_limits_per_user"] = anchored("user_id", 12 * 3_600_000, 2)
 
 ORACLES["ledger_capacity"] = f"""
@@ -743,3 +744,46 @@ j AS (SELECT event_id, e.user_id, ts_ms, s FROM (SELECT * FROM ev WHERE event_ty
 v AS (SELECT event_id, user_id, ts_ms, CASE WHEN ts_ms - s < 86400000 THEN s END AS s FROM j)
 SELECT event_id, s AS issued_ms, s IS NOT NULL AND
   row_number() OVER (PARTITION BY user_id, s ORDER BY ts_ms) = 1 AS accepted FROM v"""
+
+_HOUR = 3_600_000
+ORACLES["write_limits"] = f"""
+WITH RECURSIVE {TIMED}, sc AS (
+  SELECT *, event_type || '/' || (ts_ms // 86400000) AS scope FROM ev),
+nr AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ts_ms, event_id) AS k FROM sc),
+fold AS (
+  SELECT scope, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS allowed,
+    MAP([]::BIGINT[], []::BIGINT[]) AS last_charge, NULL::BIGINT AS gs, 0 AS gn
+  FROM (SELECT DISTINCT scope FROM nr)
+  UNION ALL
+  SELECT scope, k, event_id, ok,
+    CASE WHEN ok THEN map_concat(last_charge, MAP([user_id], [ts_ms])) ELSE last_charge END,
+    CASE WHEN ok AND fresh THEN ts_ms ELSE gs END,
+    CASE WHEN NOT ok THEN gn WHEN fresh THEN 1 ELSE gn + 1 END
+  FROM (
+    SELECT n.scope, n.k, n.event_id, n.user_id, n.ts_ms, last_charge, gs, gn,
+      gs IS NULL OR n.ts_ms - gs >= {_HOUR} AS fresh,
+      (last_charge[n.user_id] IS NULL OR n.ts_ms - last_charge[n.user_id] >= {_HOUR})
+        AND (gs IS NULL OR n.ts_ms - gs >= {_HOUR} OR gn < 3) AS ok
+    FROM fold f JOIN nr n ON n.scope = f.scope AND n.k = f.k + 1))
+SELECT event_id, allowed FROM fold WHERE k > 0"""
+
+ORACLES["chunk_provenance"] = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, text, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS p
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)),
+part AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+    CASE WHEN i % 7 = 6 THEN p || '~' ELSE p END AS part FROM raw WHERE p <> ''),
+fold AS (
+  SELECT doc_id, text, 0::BIGINT AS k, 1::BIGINT AS cur, '' AS rest, 0 AS missing FROM documents
+  UNION ALL
+  SELECT doc_id, text, k, CASE WHEN rel > 0 THEN cur + rel - 1 + length(part) ELSE cur END,
+    CASE WHEN rel > 0 THEN rest || substr(text, cur, rel - 1) || ' ' ELSE rest END,
+    missing + CASE WHEN rel > 0 THEN 0 ELSE 1 END
+  FROM (SELECT f.doc_id, f.text, p.k, p.part, cur, rest, missing,
+          strpos(substr(f.text, cur), p.part) AS rel
+        FROM fold f JOIN part p ON p.doc_id = f.doc_id AND p.k = f.k + 1)),
+final AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM fold)
+SELECT doc_id AS source_id, k AS n_chunks, missing AS n_missing, k > 0 AND missing = 0 AND
+  regexp_replace(rest || substr(text, cur), '\\([0-9]+\\)|' || {quoted(WHITESPACE + '+')}, '', 'g') = ''
+  AS verbatim FROM final WHERE r = 1"""
