@@ -365,6 +365,20 @@ ORACLES["source_spans"] = f"""
 WITH {REV}, {TOK}, {WIN}, {OFFSETS}
 SELECT source_path, min(i) AS chunk_index FROM span WHERE char_start >= 2000 GROUP BY source_path"""
 
+_AD = "'<!--\\s*ad ([0-9]+)\\s*-->'"
+ORACLES["marked_chunks"] = f"""
+WITH c AS (SELECT page_id, regexp_extract_all(html, {_AD}, 1) AS ids,
+  regexp_split_to_array(html, {_AD})[2:] AS bodies FROM pages),
+u AS (SELECT page_id, generate_subscripts(ids, 1) - 1 AS chunk_index, unnest(ids) AS chunk_id,
+  unnest(bodies) AS body FROM c)
+SELECT page_id::VARCHAR AS source_path, chunk_index, chunk_id, sha256({trim('body')}) AS text_sha256
+FROM u"""
+
+ORACLES["repeated_chunk_ids"] = """
+SELECT sha256(l) AS chunk_id, count(*) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> ''
+GROUP BY l HAVING count(*) > 1"""
+
 # ---- ranking ------------------------------------------------------------------------------------
 
 ORACLES["term_weights"] = f"""

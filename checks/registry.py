@@ -14,6 +14,7 @@ from attestra.operators import chunking, dense, evaluation, fusion, generation,
 from attestra.operators import limits, replay, report, served, snapshots
 from attestra.operators.embedding import hash_embedding
 from attestra.plans import answering, retrieval
+from attestra.sources import fixtures
 from attestra.sources.tables import read_table, read_text_table
 from checks.constants import (
     ALLOWED_HOSTS,
@@ -410,6 +411,26 @@ def source_spans(spark, d):
     )
 
 
+@query
+def marked_chunks(spark, d):
+    """Text after each comment marker of a page, as a hand-chunked file would be read."""
+    files = read_text_table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("source_path"), F.col("html").alias("text")
+    )
+    chunks = fixtures.parse_fixture_chunks(files, r"<!--\s*ad ([0-9]+)\s*-->")
+    return chunks.select(
+        "source_path", "chunk_index", "chunk_id", F.sha2("chunk_text", 256).alias("text_sha256")
+    )
+
+
+@query
+def repeated_chunk_ids(spark, d):
+    """Chunk ids used more than once: here lines of documents named by their hash."""
+    lines = documents(spark, d).select(F.explode(F.split("text", "\n")).alias("chunk_text"))
+    named = lines.filter(F.col("chunk_text") != "").select(F.sha2("chunk_text", 256).alias("chunk_id"))
+    return fixtures.duplicate_chunk_ids(named)
+
+
 # ---- ranking ------------------------------------------------------------------------------------
 
 
