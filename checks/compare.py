@@ -16,16 +16,18 @@ TABLES = (
 ).split()
 
 
-def local_session(cores: str = "8") -> SparkSession:
-    spark = (
+def local_session(cores: str = "8", settings: dict[str, str] | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

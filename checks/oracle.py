@@ -296,7 +296,7 @@ ORACLES["embedding_cache_lookup"] = """
 WITH cached AS (SELECT sha256(text) AS h, count(*) AS copies FROM documents GROUP BY 1),
 want AS (SELECT doc_id, sha256(text) AS h FROM documents
   UNION ALL SELECT -item_id - 1, sha256(text) FROM benchmark)
-SELECT doc_id, copies, copies IS NULL AS miss FROM want LEFT JOIN cached USING (h)"""
+SELECT doc_id, copies::VARCHAR AS copies, copies IS NULL AS miss FROM want LEFT JOIN cached USING (h)"""
 
 # ---- corpus -------------------------------------------------------------------------------------
 
@@ -606,13 +606,13 @@ WITH RECURSIVE {CHAIN} SELECT c.ledger_id, c.sequence, c.event_id, previous_hash
 
 ORACLES["ledger_verify"] = f"""
 WITH {INPUTS} SELECT ledger_id, true AS ok, count(*) AS checked_rows,
-  NULL::BIGINT AS first_invalid_sequence, NULL::VARCHAR AS reason FROM inputs GROUP BY ledger_id"""
+  NULL::VARCHAR AS first_invalid_sequence, NULL::VARCHAR AS reason FROM inputs GROUP BY ledger_id"""
 
 ORACLES["ledger_verify_tampered"] = f"""
 WITH {INPUTS}, s AS (SELECT ledger_id, count(*) AS n, substr(ledger_id, 6)::BIGINT % 5 AS kind
   FROM inputs GROUP BY ledger_id)
 SELECT ledger_id, kind = 0 OR n < 3 AS ok, CASE WHEN kind = 0 OR n < 3 THEN n ELSE 2 END AS checked_rows,
-  CASE WHEN kind > 0 AND n >= 3 THEN 3 END AS first_invalid_sequence,
+  CASE WHEN kind > 0 AND n >= 3 THEN '3' END AS first_invalid_sequence,
   CASE WHEN n >= 3 THEN CASE kind WHEN 1 THEN 'canonical payload mismatch'
     WHEN 2 THEN 'previous hash mismatch' WHEN 3 THEN 'row hash mismatch'
     WHEN 4 THEN 'signature missing' END END AS reason FROM s"""
@@ -624,7 +624,7 @@ ORACLES["ledger_window"] = f"""
 WITH {INPUTS} SELECT event_id, ledger_id, entry_type,
   coalesce(model_version, 'not-applicable') AS model_version, 'not-applicable' AS prompt_version,
   'unsupported' AS provider_replay_capability, sha256(generated_answer) AS generated_answer_sha256,
-  seed, timestamp_ms,
+  seed::VARCHAR AS seed, timestamp_ms,
   strftime(make_timestamp_ms(timestamp_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp_iso
 FROM inputs WHERE {_window} AND entry_type <> 'replay.passed'"""
 
@@ -748,7 +748,7 @@ ORACLES["session_validity"] = f"""
 WITH {TIMED}, l AS (SELECT user_id, ts_ms AS s FROM ev WHERE event_type = 'signup'),
 j AS (SELECT event_id, ts_ms, s FROM (SELECT * FROM ev WHERE event_type <> 'signup') e
   ASOF LEFT JOIN l ON e.user_id = l.user_id AND e.ts_ms >= l.s)
-SELECT event_id, CASE WHEN ts_ms - s < 28800000 THEN s END AS session_start_ms,
+SELECT event_id, CASE WHEN ts_ms - s < 28800000 THEN s::VARCHAR END AS session_start_ms,
   coalesce(ts_ms - s < 28800000, false) AS authorized FROM j"""
 
 ORACLES["challenge_use"] = f"""
@@ -756,7 +756,7 @@ WITH {TIMED}, l AS (SELECT user_id, ts_ms AS s FROM ev WHERE event_type = 'signu
 j AS (SELECT event_id, e.user_id, ts_ms, s FROM (SELECT * FROM ev WHERE event_type = 'click') e
   ASOF LEFT JOIN l ON e.user_id = l.user_id AND e.ts_ms >= l.s),
 v AS (SELECT event_id, user_id, ts_ms, CASE WHEN ts_ms - s < 86400000 THEN s END AS s FROM j)
-SELECT event_id, s AS issued_ms, s IS NOT NULL AND
+SELECT event_id, s::VARCHAR AS issued_ms, s IS NOT NULL AND
   row_number() OVER (PARTITION BY user_id, s ORDER BY ts_ms) = 1 AS accepted FROM v"""
 
 _HOUR = 3_600_000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import canonical_json as J
@@ -36,6 +36,11 @@ def query(function: Query) -> Query:
     return function
 
 
+def as_text(name: str) -> Column:
+    """Nullable numbers leave as text: data frames of the two engines type them differently."""
+    return F.col(name).cast("string").alias(name)
+
+
 # ---- inputs -------------------------------------------------------------------------------------
 
 
@@ -328,7 +333,7 @@ def embedding_cache_lookup(spark, d):
         )
     )
     return asked.join(cached, "text_sha256", "left").select(
-        "doc_id", "copies", F.col("copies").isNull().alias("miss")
+        "doc_id", as_text("copies"), F.col("copies").isNull().alias("miss")
     )
 
 
@@ -579,6 +584,12 @@ def signed_entries(spark: SparkSession, d: str) -> DataFrame:
     return event_entries(spark, d).withColumn("signature", F.substring("id", 1, 16))
 
 
+def verdicts(entries: DataFrame) -> DataFrame:
+    return ledger.verify_entries(entries).select(
+        "ledger_id", "ok", "checked_rows", as_text("first_invalid_sequence"), "reason"
+    )
+
+
 def tampered_entries(spark: SparkSession, d: str) -> DataFrame:
     """Four kinds of tampering, each on the rows of some users."""
     entries = signed_entries(spark, d)
@@ -594,12 +605,12 @@ def tampered_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ledger_verify(spark, d):
-    return ledger.verify_entries(signed_entries(spark, d))
+    return verdicts(signed_entries(spark, d))
 
 
 @query
 def ledger_verify_tampered(spark, d):
-    return ledger.verify_entries(tampered_entries(spark, d))
+    return verdicts(tampered_entries(spark, d))
 
 
 @query
@@ -608,7 +619,7 @@ def ledger_window(spark, d):
     inputs = ledger.normalize_entries(event_inputs(spark, d))
     return ledger.window_entries(inputs, start, end, ("replay.passed",)).select(
         "event_id", "ledger_id", "entry_type", "model_version", "prompt_version",
-        "provider_replay_capability", "generated_answer_sha256", "seed", "timestamp_ms",
+        "provider_replay_capability", "generated_answer_sha256", as_text("seed"), "timestamp_ms",
         report.iso_from_ms_column(F.col("timestamp_ms")).alias("timestamp_iso"),
     )
 
@@ -810,7 +821,7 @@ def session_validity(spark, d):
         events.filter(F.col("event_type") == "signup"),
         events.filter(F.col("event_type") != "signup"),
         "user_id", idle_ms=8 * 60 * limits.MINUTE_MS, absolute_ms=24 * 60 * limits.MINUTE_MS,
-    ).select("event_id", "session_start_ms", "authorized")
+    ).select("event_id", as_text("session_start_ms"), "authorized")
 
 
 @query
@@ -820,4 +831,4 @@ def challenge_use(spark, d):
         events.filter(F.col("event_type") == "signup"),
         events.filter(F.col("event_type") == "click"),
         "user_id", ttl_ms=24 * 60 * limits.MINUTE_MS,
-    ).select("event_id", "issued_ms", "accepted")
+    ).select("event_id", as_text("issued_ms"), "accepted")

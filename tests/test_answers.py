@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from attestra.domain import EXTRACTIVE_PROFILE, MESSAGE_BLOCKED, ProviderProfile
 from attestra.operators import evaluation, generation, ledger, replay
 from attestra.plans import answering, retrieval
+from attestra.session import cut_lineage
 from attestra.operators.chunking import revisions_from_documents
 
 DOCS = [
@@ -96,11 +97,13 @@ def test_fallback_is_the_first_sentence(spark):
 def test_ledger_inputs_and_replay(spark):
     revisions, queries = setup(spark)
     outcomes, evidence, found = run(spark)
+    outcomes = cut_lineage(outcomes)
     records = retrieval.fetch_chunk_records(
         revisions, found.evidence.select("query_id", "rank", "chunk_id", "source_path", "score"),
         "snap_1", "hash_1")
     inputs = answering.query_ledger_inputs(outcomes, records, "main", "u" * 64, "sess", 1234)
     entries = ledger.append_entries(inputs, ["append_order"]).withColumn("signature", F.lit("x"))
+    entries = cut_lineage(entries)
     assert ledger.verify_entries(entries).first()["ok"]
     rows = {r["append_order"]: r for r in entries.collect()}
     chunk = json.loads(rows[1]["retrieved_chunks"])[0]
@@ -111,10 +114,10 @@ def test_ledger_inputs_and_replay(spark):
     assert summary.filter("ledger_entry_id IS NULL").count() == 0
 
     prompts = generation.prompts(queries, evidence).select(F.col("query_id").alias("append_order"), "prompt")
-    recorded = entries.join(prompts, "append_order")
-    seen = evidence.join(
+    recorded = cut_lineage(entries.join(prompts, "append_order"))
+    seen = cut_lineage(evidence.join(
         entries.select(F.col("append_order").alias("query_id"), "id"), "query_id"
-    ).select("id", "chunk_id", "corpus_snapshot_id")
+    ).select("id", "chunk_id", "corpus_snapshot_id"))
     status = lambda **kw: {
         r["append_order"]: (r["status"], r["byte_equal"], r["drift_artifact"])
         for r in replay.replay_entries(recorded, seen, **kw).collect()}

@@ -194,7 +194,8 @@ def test_streamed_attempts(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).parquet(source)
     out = attempt_stream(stream, "k", window_ms=100, limit=3)
     query = (out.writeStream.format("memory").queryName("attempts").outputMode("append")
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    query.awaitTermination(120)
+             .option("checkpointLocation", str(tmp_path / "cp")).start())
+    query.processAllAvailable()
+    query.stop()
     got = {r["event_id"]: r["allowed"] for r in spark.table("attempts").collect()}
     assert [got[i] for i in range(len(rows))] == model.attempts([(k, t) for _, k, t in rows], 100, 3)
