@@ -24,7 +24,8 @@ def attempt_stream(
     """Verdict per attempt; events carry the key, ``event_id`` and ``ts_ms``.
 
     State is two numbers per key and is dropped after ``idle_ms`` of processing time without
-    events. Rows arrive per key in pieces and are ordered within the piece.
+    events. Rows arrive per key in pieces and are ordered within the piece. Start the query with a
+    processing-time trigger: pending timeouts make Spark schedule batches without data.
     """
     output = f"{key} {key_type}, event_id bigint, ts_ms bigint, window_start_ms bigint, attempt int, allowed boolean"
 
