@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from attestra.operators.lexical import (
     BM25,
-    CANDIDATE_LIMIT,
     EVIDENCE_THRESHOLD,
     SCORE_DECIMALS,
     candidate_order,
@@ -91,14 +90,3 @@ def served_gate(queries: DataFrame, candidates: DataFrame) -> DataFrame:
         score.alias("best_evidence"),
         (score < EVIDENCE_THRESHOLD).alias("out_of_corpus"),
     )
-
-
-__all__ = [
-    "CANDIDATE_LIMIT",
-    "cited_evidence",
-    "finite_candidates",
-    "parse_top_k",
-    "reciprocal_rank_fusion",
-    "refusal_gate",
-    "served_gate",
-]

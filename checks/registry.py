@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestra.functions import canonical_json as J
 from attestra.functions import hashing, html, redaction, text as T, vector
 from attestra.functions.time import epoch_ms
-from attestra.operators import chunking, dense, evaluation, fusion, generation, ledger, lexical
+from attestra.operators import chunking, dense, evaluation, generation, ledger, lexical
 from attestra.operators import limits, replay, report, served, snapshots
 from attestra.operators.embedding import hash_embedding
 from attestra.plans import answering, retrieval
