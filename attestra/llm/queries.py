@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import decontamination, line_dedup, packing
+from attestra.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    line_dedup,
+    packing,
+    toxicity,
+    url_filter,
+    voronoi_knn,
+)
+from attestra.llm.common import crc_remainder
 from attestra.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +42,20 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, d)).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 @query
 def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     pieces = packing.pack_documents(
@@ -57,6 +81,29 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    held_out = crc_remainder(F.col("doc_id"), 4) == 2
+    scored = toxicity.score_toxicity(
+        documents(spark, d), read_table(spark, d, "labels"), train_where=~held_out
+    )
+    return scored.withColumnRenamed("id", "doc_id").select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "toxic",
+    )
+
+
+@query
+def op5_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return url_filter.filter_urls(read_table(spark, d, "pages")).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score"
+    )
+
+
 @query
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, d)).select(
@@ -85,3 +132,35 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
+    held_out = crc_remainder(F.col("doc_id"), 3) == 1
+    found = language_id.identify_language(documents(spark, d), train_where=~held_out)
+    return found.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@query
+def op9_voronoi_knn(spark: SparkSession, d: str) -> DataFrame:
+    return voronoi_knn.knn_join(read_table(spark, d, "embeddings"), F.col("id") % 50 == 0)
+
+
+ORACLES["op9_voronoi_knn"] = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
