@@ -163,9 +163,9 @@ class Words:
         hashes, owners = [mix(total[whole])], [rows[whole]]
         counts = np.diff(self.bounds)
         for row in np.flatnonzero((counts > 0) & (counts < size)):
-            value = np.uint64(counts[row])
-            for h in self.hash[self.bounds[row] : self.bounds[row + 1]]:
-                value = value * SHINGLE_BASE + h
+            value = int(counts[row])
+            for h in self.hash[self.bounds[row] : self.bounds[row + 1]].tolist():
+                value = (value * int(SHINGLE_BASE) + h) % (1 << 64)
             hashes.append(mix(np.array([value], np.uint64)))
             owners.append(np.array([row]))
         return np.concatenate(hashes), np.concatenate(owners)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
+    chosen_path,
     decontamination,
     language_id,
     license_scan,
@@ -104,6 +105,13 @@ def op5_url_filter(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op6_chosen_path(spark: SparkSession, d: str) -> DataFrame:
+    return chosen_path.similar_groups(documents(spark, d)).select(
+        F.col("id").alias("doc_id"), "class_id", F.col("group").alias("group_id"), "n_links"
+    )
+
+
 @query
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, d)).select(
