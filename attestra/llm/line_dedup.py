@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.llm.common import id_and_text, small_batches, text_slices
 
@@ -71,22 +72,22 @@ def lost_lines(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame
     )
 
 
-def dedup_lines(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    min_chars: int = 10,
-    min_documents: int = 2,
+def drop_lines(
+    docs: DataFrame, id_column: str, text_column: str, min_chars: int, min_documents: int, counted: bool
 ) -> DataFrame:
-    """One row per document row: id, text (the lines that stay), n_lines, n_dropped."""
+    """``docs`` with the lines that stay as its text, and with n_lines and n_dropped if ``counted``."""
     small_batches(docs.sparkSession)
-    docs = id_and_text(docs, id_column, text_column)
-    lost = lost_lines(docs, min_chars, min_documents)
+    lost = lost_lines(id_and_text(docs, id_column, text_column), min_chars, min_documents)
+    lost = lost.select(F.col("id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
+    columns = docs.columns
+    schema = T.StructType(list(docs.schema))
+    if counted:
+        schema = schema.add("n_lines", "long").add("n_dropped", "long")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, text_column):
             texts, totals, dropped = [], [], []
-            for text, keys in zip(batch.column("text").to_pylist(), batch.column("keys")):
+            for text, keys in zip(batch.column(text_column).to_pylist(), batch.column("_lost_keys")):
                 lines = (text or "").encode().split(b"\n")
                 kept = lines
                 if keys.is_valid:
@@ -95,19 +96,37 @@ def dedup_lines(
                     gone = halves.astype(">i8").tobytes()
                     gone = {gone[i : i + 16] for i in range(0, len(gone), 16)}
                     kept = [line for line in lines if line_key(line, min_chars) not in gone]
-                texts.append(b"\n".join(kept).decode())
+                texts.append(text if len(kept) == len(lines) else b"\n".join(kept).decode())
                 totals.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(texts, pa.string()),
-                    pa.array(totals, pa.int64()),
-                    pa.array(dropped, pa.int64()),
-                ],
-                ["id", "text", "n_lines", "n_dropped"],
-            )
+            arrays = {name: batch.column(name) for name in columns}
+            arrays[text_column] = pa.array(texts, pa.string())
+            if counted:
+                arrays |= {"n_lines": pa.array(totals, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+            yield pa.RecordBatch.from_pydict(arrays)
 
-    return docs.join(lost.hint("shuffle_hash"), "id", "left").mapInArrow(
-        task, "id long, text string, n_lines long, n_dropped long"
-    )
+    meets = F.col(id_column).cast("long") == F.col("_lost_id")
+    return docs.join(lost.hint("shuffle_hash"), meets, "left").mapInArrow(task, schema)
+
+
+def dedup_lines(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    min_chars: int = 10,
+    min_documents: int = 2,
+) -> DataFrame:
+    """One row per document row: id, text (the lines that stay; null texts stay null), n_lines,
+    n_dropped."""
+    return drop_lines(id_and_text(docs, id_column, text_column), "id", "text", min_chars, min_documents, True)
+
+
+def without_shared_lines(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    min_chars: int = 10,
+    min_documents: int = 2,
+) -> DataFrame:
+    """``docs`` with all its columns, the text holding the lines that stay."""
+    return drop_lines(docs, id_column, text_column, min_chars, min_documents, False)

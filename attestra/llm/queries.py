@@ -115,7 +115,7 @@ def op6_chosen_path(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, d)).select(
-        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 
