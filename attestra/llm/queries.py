@@ -14,6 +14,7 @@ from attestra.llm import (
     license_scan,
     line_dedup,
     packing,
+    suffix_dedup,
     toxicity,
     url_filter,
     voronoi_knn,
@@ -172,3 +173,14 @@ FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
 """
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, d)).select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
