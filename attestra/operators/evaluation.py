@@ -60,12 +60,18 @@ def tag_breakdown(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def score_distribution(scores: DataFrame) -> DataFrame:
-    """Per probe the statistics a gate could compare: ``probe_id, class, score`` in."""
-    stats = scores.groupBy("probe_id", "class").agg(
-        F.max("score").alias("best"),
-        F.avg("score").alias("mean"),
-        F.stddev_pop("score").alias("deviation"),
+def score_distribution(scores: DataFrame, probes: DataFrame, n_chunks: Column) -> DataFrame:
+    """Per probe the statistics a gate could compare, over every chunk of the corpus.
+
+    ``scores``: ``probe_id, score`` of the chunks that share something with the probe; all other
+    chunks of the ``n_chunks`` score 0 and only enter the counts, so no zero row is made.
+    ``probes``: ``probe_id, class``.
+    """
+    sums = scores.groupBy("probe_id").agg(
+        F.max("score").alias("_best"),
+        F.count(F.lit(1)).alias("_scored"),
+        F.sum("score").alias("_sum"),
+        F.sum(F.col("score") * F.col("score")).alias("_squares"),
     )
     # The runner-up comes from a two-row top-k, so no distribution is gathered in one place.
     top_two = top_k(
@@ -75,8 +81,25 @@ def score_distribution(scores: DataFrame) -> DataFrame:
     second = top_two.filter(F.col("rank") == 2).select(
         "probe_id", F.col("score").alias("_second")
     )
-    return stats.join(second, "probe_id", "left").select(
-        *stats.columns, F.coalesce("_second", F.lit(0.0)).alias("second")
+    listed = probes.join(sums, "probe_id", "left").join(second, "probe_id", "left")
+    zero = F.lit(0.0)
+    # A chunk that is not listed scores 0, which can be the best or the runner-up.
+    spare = n_chunks - F.coalesce("_scored", F.lit(0))
+    mean = F.coalesce("_sum", zero) / n_chunks
+    spread = F.coalesce("_squares", zero) / n_chunks - mean * mean
+    best = F.when(F.col("_scored").isNull() | ((spare > 0) & (F.col("_best") < 0)), zero)
+    best = best.otherwise(F.col("_best"))
+    second_best = F.when(
+        (F.coalesce("_scored", F.lit(0)) > 1) & ((spare <= 0) | (F.col("_second") > 0)),
+        F.col("_second"),
+    ).otherwise(zero)
+    return listed.select(
+        "probe_id",
+        "class",
+        best.alias("best"),
+        mean.alias("mean"),
+        F.sqrt(F.greatest(spread, zero)).alias("deviation"),
+        second_best.alias("second"),
     )
 
 

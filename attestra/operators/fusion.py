@@ -61,13 +61,20 @@ def cited_evidence(fused: DataFrame, top_k: int | None = None) -> DataFrame:
     )
 
 
-def refusal_gate(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per query: best evidence score and whether the query is out of corpus."""
-    best = (
+def best_candidate(candidates: DataFrame) -> DataFrame:
+    """``query_id, best`` evidence score of ranked candidates."""
+    return (
         candidates.filter(F.col("method") == BM25)
         .groupBy("query_id")
         .agg(F.max("score").alias("best"))
     )
+
+
+def refusal_gate(queries: DataFrame, best: DataFrame) -> DataFrame:
+    """One row per query: best evidence score and whether the query is out of corpus.
+
+    ``best``: ``query_id, best`` over all chunks of the corpus.
+    """
     score = F.greatest(F.coalesce(F.col("best"), F.lit(0.0)), F.lit(0.0))
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id",

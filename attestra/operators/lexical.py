@@ -239,21 +239,32 @@ def rank_with_fill(
 ) -> DataFrame:
     """Top ``k`` per (query, method), completed with zero-score chunks where fewer match.
 
-    Every active chunk is ranked, so short lists end in zero rows. Any zero row that makes a list
-    of ``k`` is among the ``k`` lowest chunk ids of the corpus, given as ``lowest``.
+    Every active chunk is ranked, so short lists end in zero rows; a chunk with a score of its own
+    is never filled in. ``lowest`` holds the lowest chunk ids of the corpus: any zero row that makes
+    a list of ``k`` is among them as long as a list has no more negative scores than ``lowest`` has
+    ids beyond ``k``.
     """
     columns = ["query_id", "method", "chunk_id", "source_path", "score"]
     matched = top_k(
         scored, ["query_id", "method"], candidate_order(), k, fanout=default_fanout(scored)
     ).select(*columns)
+    negative = F.col("score") < 0
+    scored_low = scored.filter(negative).select("query_id", "method", "chunk_id")
     fillers = queries.select(
         "query_id",
         F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"),
         lowest.alias("_fillers"),
     ).select("query_id", "method", F.inline("_fillers"), F.lit(0.0).alias("score"))
-    distinct = matched.unionByName(fillers.select(*columns)).groupBy(
-        "query_id", "method", "chunk_id", "source_path"
-    ).agg(F.max("score").alias("score"))
+    # Chunks with a positive score outrank their own filler; only those with a negative one, which
+    # may have been cut from the list, have to be looked up.
+    free = fillers.select(*columns).join(scored_low, ["query_id", "method", "chunk_id"], "left_anti")
+    best = matched.withColumn("_given", F.lit(1)).unionByName(free.withColumn("_given", F.lit(0)))
+    once = best.groupBy("query_id", "method", "chunk_id", "source_path").agg(
+        F.max(F.struct("_given", "score")).alias("_best")
+    )
+    distinct = once.select(
+        "query_id", "method", "chunk_id", "source_path", F.col("_best.score").alias("score")
+    )
     return top_k(distinct, ["query_id", "method"], candidate_order(), k)
 
 
@@ -281,21 +292,29 @@ class EvidenceBound:
         return self.threshold / (1.0 + MAX_DENSITY) - 2e-6
 
 
-def evidence_candidates(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int = CANDIDATE_LIMIT,
-    broadcast_rows: int = BROADCAST_TERM_ROWS,
-) -> DataFrame:
+def best_evidence(pairs: DataFrame) -> DataFrame:
+    """``query_id, best`` over all pairs: combined on the map side, nothing is sorted."""
+    return pairs.groupBy("query_id").agg(F.max("evidence").alias("best"))
+
+
+def citable_pairs(pairs: DataFrame, k: int = CANDIDATE_LIMIT) -> DataFrame:
     """Both rankings cut to pairs that can still lead to a citation.
 
     Only chunks whose evidence clears the bar are ever cited, and everything ranked above such a
     chunk also clears the coverage bound. So ranks of citable chunks equal those of the full lists,
     while pairs that share only common words are dropped before any sort.
     """
-    given = scoring_input(chunks, queries, broadcast_rows)
-    pairs = score_pairs(given).filter(F.col("coverage") >= EvidenceBound().coverage)
-    scored = _both_rankings(pairs)
+    scored = _both_rankings(pairs.filter(F.col("coverage") >= EvidenceBound().coverage))
     return top_k(
         scored, ["query_id", "method"], candidate_order(), k, fanout=default_fanout(scored)
     )
+
+
+def evidence_candidates(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = CANDIDATE_LIMIT,
+    broadcast_rows: int = BROADCAST_TERM_ROWS,
+) -> DataFrame:
+    """``citable_pairs`` of a query batch over a corpus."""
+    return citable_pairs(score_pairs(scoring_input(chunks, queries, broadcast_rows)), k)

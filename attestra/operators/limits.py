@@ -7,7 +7,9 @@ through a task with constant state per key; validity look-backs are bounded and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,57 +134,55 @@ def attempt_windows(
     )
 
 
-class WriteLimiter:
-    """Two anchored windows, one per client and one for the scope; both are asked before either
-    is charged."""
-
-    def __init__(self, window_ms: int, per_client: int, per_scope: int, max_keys: int = 5000):
-        self.window_ms, self.max_keys = window_ms, max_keys
-        self.per_client, self.per_scope = per_client, per_scope
-        self.clients: dict = {}
-        self.scope: list[int] | None = None
-
-    def _open(self, window: list[int] | None, limit: int, now: int) -> bool:
-        return window is None or now - window[0] >= self.window_ms or window[1] < limit
-
-    def _charge(self, window: list[int] | None, now: int) -> list[int]:
-        if window is None or now - window[0] >= self.window_ms:
-            return [now, 1]
-        return [window[0], window[1] + 1]
-
-    def allow(self, client, now: int) -> bool:
-        if len(self.clients) + (self.scope is not None) >= self.max_keys:
-            # Ended windows behave like absent ones; dropping them only frees memory.
-            self.clients = {
-                k: w for k, w in self.clients.items() if now - w[0] < self.window_ms
-            }
-        mine = self.clients.get(client)
-        if not self._open(mine, self.per_client, now):
-            return False
-        if not self._open(self.scope, self.per_scope, now):
-            return False
-        self.clients[client] = self._charge(mine, now)
-        self.scope = self._charge(self.scope, now)
-        return True
+def admitted(
+    writes: Iterable[tuple[object, int]], window_ms: int, per_client: int, per_scope: int
+) -> Iterator[bool]:
+    """Verdicts for (client, time) in time order.
+
+    Every quota - one per client, one for the scope itself - is an open window with an end and some
+    room. All windows last equally long and enter at their first write, so the dictionary holds
+    them in the order they end, and ended ones leave at its front: it never holds more than the
+    quotas used within one window.
+    """
+    scope = object()
+    open_windows: dict[object, list[int]] = {}
+    for client, now in writes:
+        while open_windows and next(iter(open_windows.values()))[0] <= now:
+            del open_windows[next(iter(open_windows))]
+        quotas = {client: per_client, scope: per_scope}
+        fits = all(open_windows.get(q, (0, most))[1] > 0 for q, most in quotas.items())
+        if fits:
+            for q, most in quotas.items():
+                open_windows.setdefault(q, [now + window_ms, most])[1] -= 1
+        yield fits
 
 
 def _write_limits(scope: str, client: str, window_ms: int, per_client: int, per_scope: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, limiter = None, None
+    def rows(batches: Iterator[pd.DataFrame], seen: deque) -> Iterator[tuple]:
         for batch in batches:
-            allowed = []
-            for name, segment, who, now in zip(
-                batch[scope], batch["_segment"], batch[client], batch["ts_ms"], strict=True
-            ):
-                if limiter is None or (name, segment) != current:
-                    current = (name, segment)
-                    limiter = WriteLimiter(window_ms, per_client, per_scope)
-                allowed.append(limiter.allow(who, now))
-            yield batch.drop(columns=["_segment"]).assign(allowed=allowed)
+            seen.append(batch)
+            yield from zip(batch[scope], batch["_segment"], batch[client], batch["ts_ms"], strict=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: deque = deque()
+        verdicts: list[bool] = []
+        for _, stretch in groupby(rows(batches, seen), key=lambda r: r[:2]):
+            for verdict in admitted((r[2:] for r in stretch), window_ms, per_client, per_scope):
+                verdicts.append(verdict)
+                if len(seen) > 1 and len(verdicts) >= len(seen[0]):
+                    yield from _with_verdicts(seen, verdicts)
+        while seen:
+            yield from _with_verdicts(seen, verdicts)
 
     return run
 
 
+def _with_verdicts(seen: deque, verdicts: list[bool]) -> Iterator[pd.DataFrame]:
+    batch = seen.popleft()
+    own, verdicts[:] = verdicts[: len(batch)], verdicts[len(batch) :]
+    yield batch.drop(columns=["_segment"]).assign(allowed=own)
+
+
 def write_limits(
     events: DataFrame,
     scope: str,
@@ -264,17 +264,23 @@ def session_validity(
 
 
 def challenge_consumption(
-    issued: DataFrame, consumed: DataFrame, key: str, ttl_ms: int = LINK_TTL_MS
+    issued: DataFrame,
+    consumed: DataFrame,
+    key: str,
+    ttl_ms: int = LINK_TTL_MS,
+    order: tuple[str, ...] = (),
 ) -> DataFrame:
     """Whether each consumption meets an unexpired, unused challenge of its key.
 
     A challenge is used up by the first consumption after it, so a later one only succeeds if a
-    newer challenge was issued in between.
+    newer challenge was issued in between. ``order`` breaks ties of equal times; without it all
+    other columns do, so the winner never depends on the plan.
     """
+    tie_breaks = order or tuple(c for c in consumed.columns if c not in (key, "ts_ms"))
     offered = _latest_within(issued, consumed, key, ttl_ms)
     # Consumptions without a challenge stand alone; they must not pile up in one group per key.
     challenge = F.coalesce("mark_ms", -F.col("ts_ms"))
-    used = Window.partitionBy(key, challenge).orderBy("ts_ms")
+    used = Window.partitionBy(key, challenge).orderBy("ts_ms", *tie_breaks)
     first = F.row_number().over(used) == 1
     return offered.withColumn(
         "accepted", F.col("mark_ms").isNotNull() & first

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +20,8 @@ from attestra.operators.chunking import (
     window_starts,
 )
 
-# Up to this many documents the digest is one hash over all content hashes (65 bytes each).
-FLAT_DIGEST_DOCUMENTS = 500_000
+TREE, FLAT = "tree", "flat"
+# The tree's leaves: documents by the first digits of their path's hash, 65,536 at every size.
 DIGEST_BUCKET_DIGITS = 4
 
 
@@ -26,27 +30,52 @@ def _ordered_digest(path: Column, digest: Column) -> Column:
     return hashing.sha256_hex(F.array_join(F.transform(ordered, lambda x: x["d"]), "|"))
 
 
-def corpus_digest(revisions: DataFrame, flat_limit: int = FLAT_DIGEST_DOCUMENTS) -> DataFrame:
-    """One row ``base_hash``: SHA-256 over the content hashes in path order.
+def _tree_digest(keyed: DataFrame) -> DataFrame:
+    """``base_hash`` of ``key, digest``: a hash per bucket of keys, then one over the buckets."""
+    bucket = F.substring(F.sha2("key", 256), 1, DIGEST_BUCKET_DIGITS)
+    leaves = keyed.groupBy(bucket.alias("bucket")).agg(
+        _ordered_digest(F.col("key"), F.col("digest")).alias("leaf")
+    )
+    return leaves.agg(_ordered_digest(F.col("bucket"), F.col("leaf")).alias("base_hash"))
+
+
+def _streamed_hash(parts: DataFrame, head: str, separator: str, tail: str) -> DataFrame:
+    """``base_hash`` over the column ``part`` in order of ``key``, streamed with constant state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, first = hashlib.sha256(head.encode()), True
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                state.update((part if first else separator + part).encode())
+                first = False
+        state.update(tail.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["base_hash"])
+
+    ordered = parts.repartition(1).sortWithinPartitions("key")
+    return ordered.select("part").mapInArrow(run, "base_hash string")
+
 
-    A single hash is sequential by nature, so it is used while its input provably fits one task.
-    Larger corpora hash within 65,536 buckets of the path's own hash and then over the bucket
-    digests; ``digest_kind`` records which identity a snapshot carries.
+def _known_kind(kind: str) -> str:
+    if kind not in (TREE, FLAT):
+        raise ValueError(f"unknown digest kind {kind!r}")
+    return kind
+
+
+def corpus_digest(revisions: DataFrame, kind: str = TREE) -> DataFrame:
+    """One row ``base_hash, digest_kind`` over the content hashes in path order.
+
+    The kind is chosen by the caller and never by the size of the corpus. ``tree`` hashes within
+    buckets of the path's hash and then over the bucket digests, in parallel. ``flat`` is one hash
+    over all content hashes; it is sequential, so one task streams them in path order.
     """
-    hashes = revisions.select("source_path", "content_sha256")
-    if hashes.limit(flat_limit + 1).count() <= flat_limit:
-        return hashes.agg(
-            _ordered_digest(F.col("source_path"), F.col("content_sha256")).alias("base_hash"),
-            F.lit("flat").alias("digest_kind"),
-        )
-    bucket = F.substring(F.sha2("source_path", 256), 1, DIGEST_BUCKET_DIGITS)
-    per_bucket = hashes.groupBy(bucket.alias("bucket")).agg(
-        _ordered_digest(F.col("source_path"), F.col("content_sha256")).alias("digest")
-    )
-    return per_bucket.agg(
-        _ordered_digest(F.col("bucket"), F.col("digest")).alias("base_hash"),
-        F.lit("bucketed").alias("digest_kind"),
+    keyed = revisions.select(
+        F.col("source_path").alias("key"), F.col("content_sha256").alias("digest")
     )
+    if _known_kind(kind) == TREE:
+        digest = _tree_digest(keyed)
+    else:
+        digest = _streamed_hash(keyed.withColumnRenamed("digest", "part"), "", "|", "")
+    return digest.withColumn("digest_kind", F.lit(kind))
 
 
 def window_count(text: Column, window: int, overlap: int) -> Column:
@@ -68,7 +97,7 @@ def snapshot_row(
     status: str = "active",
     window: int = DEFAULT_WINDOW,
     overlap: int = DEFAULT_OVERLAP,
-    flat_limit: int = FLAT_DIGEST_DOCUMENTS,
+    kind: str = TREE,
 ) -> DataFrame:
     """The snapshot a set of revisions would become."""
     counts = revisions.agg(
@@ -77,7 +106,7 @@ def snapshot_row(
         .cast("bigint")
         .alias("chunk_count"),
     )
-    digest = corpus_digest(revisions, flat_limit)
+    digest = corpus_digest(revisions, kind)
     base, number = F.col("base_hash"), F.lit(sequence)
     return digest.select(
         "base_hash",
@@ -152,26 +181,28 @@ def ingest_summary(
     )
 
 
-def fixture_corpus_hash(chunks: DataFrame, flat_limit: int = FLAT_DIGEST_DOCUMENTS) -> DataFrame:
+def fixture_corpus_hash(chunks: DataFrame, kind: str = TREE) -> DataFrame:
     """Hash of a hand-chunked corpus: canonical manifest of (chunk id, text hash) and count.
 
     It digests the text that is served, not a stored hash column, and also moves on a renamed id.
-    Beyond ``flat_limit`` chunks the bucketed digest takes the manifest's place.
+    ``flat`` streams the manifest's entries in order through one hash; ``tree`` puts a digest over
+    buckets of the chunk id in place of the list of entries.
     """
-    hashed = chunks.select("chunk_id", F.sha2("chunk_text", 256).alias("text_sha256"))
-    if hashed.limit(flat_limit + 1).count() > flat_limit:
-        keyed = hashed.select(
-            F.col("chunk_id").alias("source_path"), F.col("text_sha256").alias("content_sha256")
+    text_hash = F.sha2("chunk_text", 256)
+    entry = J.lower_escapes(
+        J.json_object(
+            {"chunkId": J.json_string(F.col("chunk_id")), "textSha256": J.json_string(text_hash)}
         )
-        return corpus_digest(keyed, flat_limit).select(F.col("base_hash").alias("corpus_hash"))
-    entry = J.json_object(
-        {"chunkId": J.json_string(F.col("chunk_id")), "textSha256": J.json_string(F.col("text_sha256"))}
-    )
-    manifest = F.concat(
-        F.lit('{"chunkCount":'), F.count(F.lit(1)).cast("string"), F.lit(',"chunks":['),
-        F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]}"),
     )
-    return hashed.agg(hashing.sha256_hex(J.lower_escapes(manifest)).alias("corpus_hash"))
+    if _known_kind(kind) == FLAT:
+        count = chunks.count()
+        parts = chunks.select(entry.alias("key"), entry.alias("part"))
+        hashed = _streamed_hash(parts, f'{{"chunkCount":{count},"chunks":[', ",", "]}")
+        return hashed.withColumnRenamed("base_hash", "corpus_hash")
+    keyed = chunks.select(F.col("chunk_id").alias("key"), F.sha2(entry, 256).alias("digest"))
+    count = chunks.agg(F.count(F.lit(1)).cast("string").alias("n")).scalar()
+    manifest = F.concat(F.lit('{"chunkCount":'), count, F.lit(',"chunks":"'), "base_hash", F.lit('"}'))
+    return _tree_digest(keyed).select(hashing.sha256_hex(manifest).alias("corpus_hash"))
 
 
 def provenance(sources: DataFrame, chunks: DataFrame) -> DataFrame:

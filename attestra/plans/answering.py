@@ -42,7 +42,7 @@ def answer_queries(
     )
     outcomes = generation.answer_outcomes(
         queries,
-        found.gate,
+        found.refused,
         evidence,
         F.lit(snapshot_id),
         F.lit(snapshot_hash),

@@ -26,12 +26,17 @@ REFERENCE_BROADCAST_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Candidates of both rankers, their fusion, the cited evidence and the gate."""
+    """Candidates of both rankers, their fusion, the cited evidence and the gate.
+
+    ``refused`` says which queries the gate stops (``query_id, out_of_corpus``) without the best
+    score; it comes from the ranked candidates alone and costs no further pass.
+    """
 
     candidates: DataFrame
     fused: DataFrame
     evidence: DataFrame
     gate: DataFrame
+    refused: DataFrame
 
 
 def active_chunks(chunks: DataFrame, snapshot_id: str) -> DataFrame:
@@ -40,7 +45,7 @@ def active_chunks(chunks: DataFrame, snapshot_id: str) -> DataFrame:
 
 
 def dense_candidates(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Ranking by supplied similarity; a chunk without a score counts as 0."""
+    """Ranking by supplied similarity, negative scores included; a chunk without one counts as 0."""
     rows = scores.select(
         "query_id",
         "chunk_id",
@@ -48,7 +53,16 @@ def dense_candidates(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k
         F.lit(lexical.DENSE).alias("method"),
         F.round("score", lexical.SCORE_DECIMALS).alias("score"),
     )
-    lowest = lexical.lowest_chunks(chunks, k)
+    # Negative scores can take places among the k lowest chunks, so as many more are offered. A
+    # query with k other scores, or with a score for every chunk, needs none.
+    below = F.col("score") < 0
+    taken = rows.groupBy("query_id").agg(
+        F.count(F.when(below, 1)).alias("below"), F.count(F.lit(1)).alias("n")
+    )
+    total = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
+    short = (F.col("n") - F.col("below") < k) & (F.col("n") < total)
+    most = taken.filter(short).agg(F.max("below")).first()[0] or 0
+    lowest = lexical.lowest_chunks(chunks, k + most)
     return lexical.rank_with_fill(rows, lowest, queries, [lexical.DENSE], k)
 
 
@@ -71,6 +85,7 @@ def retrieve(
     """
     k = lexical.CANDIDATE_LIMIT
     parse_top_k(top_k)
+    best = None
     if dense_scores is not None:
         both = lexical.lexical_candidates(chunks, queries, k)
         ranked = both.filter(F.col("method") == lexical.BM25).unionByName(
@@ -79,15 +94,20 @@ def retrieve(
     elif trace:
         ranked = lexical.lexical_candidates(chunks, queries, k)
     else:
-        ranked = lexical.evidence_candidates(chunks, queries, k)
+        pairs = lexical.score_pairs(lexical.scoring_input(chunks, queries))
+        ranked = lexical.citable_pairs(pairs, k)
+        # The best score may belong to a pair that is too weak to be carried.
+        best = lexical.best_evidence(pairs)
     if materialize:
         ranked = cut_lineage(ranked)
     fused = fusion.reciprocal_rank_fusion(ranked)
+    carried = fusion.refusal_gate(queries, fusion.best_candidate(ranked))
     return Retrieval(
         ranked,
         fused,
         fusion.cited_evidence(fused, top_k),
-        fusion.refusal_gate(queries, ranked),
+        carried if best is None else fusion.refusal_gate(queries, best),
+        carried.drop("best_evidence"),
     )
 
 
@@ -102,7 +122,7 @@ def hash_dense_scores(
     asked = queries.select(
         "query_id", hash_embedding(F.col("query_text"), dimension).alias("vector")
     )
-    return dense.cosine_top_k(vectors, asked, k).withColumnRenamed("id", "chunk_id")
+    return dense.cosine_top_k(vectors, asked, k, strict=False).withColumnRenamed("id", "chunk_id")
 
 
 def retrieve_served(
@@ -127,7 +147,7 @@ def retrieve_served(
     kept = fused.join(gate.filter(~F.col("out_of_corpus")), "query_id", "left_semi").filter(
         F.col("rank") <= k
     )
-    return Retrieval(ranked.drop("source_path"), fused, kept, gate)
+    return Retrieval(ranked.drop("source_path"), fused, kept, gate, gate.drop("best_evidence"))
 
 
 def _small(references: DataFrame) -> tuple[DataFrame, DataFrame]:

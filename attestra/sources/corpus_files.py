@@ -100,50 +100,58 @@ def pdf_text(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_pdf(raw) for raw in content], columns=["text", "ocr_used", "warnings"])
 
 
-def read_files(spark: SparkSession, directory: str, root: str | None = None) -> DataFrame:
-    """``path, content`` of every file below a directory that must lie inside ``root``."""
+def any_case(extension: str) -> str:
+    """A glob for files with an extension in any spelling."""
+    return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in extension)
+
+
+def read_files(
+    spark: SparkSession, directory: str, root: str | None = None, kind: str | None = None
+) -> DataFrame:
+    """``path, content`` of the files of one kind, or of all kinds, below a directory that must lie
+    inside ``root``. Names that start with ``_`` or ``.`` are hidden files and left out, as in
+    every Spark source."""
     inside = assert_inside_root(directory, root or directory)
-    files = (
+    wanted = [extension for extension, k in EXTENSIONS.items() if kind in (None, k)]
+    parts = [
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{md,MD,Md,mD,docx,DOCX,Docx,pdf,PDF,Pdf}")
+        .option("pathGlobFilter", any_case(extension))
         .load(inside)
-    )
+        for extension in wanted
+    ]
+    files = parts[0]
+    for part in parts[1:]:
+        files = files.unionByName(part)
     return files.select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path"), "content")
 
 
-def extract_revisions(files: DataFrame) -> DataFrame:
-    """Revisions of supported files; everything else is skipped.
+def extract_revisions(markdown: DataFrame, docx: DataFrame, pdf: DataFrame) -> DataFrame:
+    """Revisions of the files of each kind (``path, content``).
 
     Markdown is decoded natively. DOCX and PDF go through Arrow-batched helpers, each only on its
-    own rows, because the branches are separate scans of the same files.
+    own files, so every file is read once.
     """
-    typed = files.withColumn("source_type", source_type(F.col("path"))).filter(
-        F.col("source_type").isNotNull()
-    )
     raw = F.make_valid_utf8(F.col("content").cast("string"))
     none = F.array().cast("array<string>")
 
-    def part(kind: str, text: Column, ocr: Column, warnings: Column) -> DataFrame:
-        return typed.filter(F.col("source_type") == kind).select(
-            "path", "source_type", "content", text.alias("text"), ocr.alias("ocr"),
-            warnings.alias("found"),
+    def part(files: DataFrame, kind: str, text: Column, ocr: Column, warnings: Column) -> DataFrame:
+        return files.select(
+            "path", F.lit(kind).alias("source_type"), "content", text.alias("text"),
+            ocr.alias("ocr"), warnings.alias("found"),
         )
 
-    markdown = part("markdown", raw, F.lit(False), none)
     xml = docx_xml("content")
+    markdown = part(markdown, "markdown", raw, F.lit(False), none)
     docx = part(
+        docx,
         "docx",
         F.coalesce(T.word_xml_to_text(xml), raw),
         F.lit(False),
         F.when(xml.isNull(), F.array(F.lit(DOCX_FALLBACK))).otherwise(none),
     )
-    pdf = (
-        typed.filter(F.col("source_type") == "pdf")
-        .withColumn("_e", pdf_text("content"))
-        .select("path", "source_type", "content", F.col("_e.text").alias("text"),
-                F.col("_e.ocr_used").alias("ocr"), F.col("_e.warnings").alias("found"))
-    )
+    extracted = pdf.withColumn("_e", pdf_text("content"))
+    pdf = part(extracted, "pdf", F.col("_e.text"), F.col("_e.ocr_used"), F.col("_e.warnings"))
     found = markdown.unionByName(docx).unionByName(pdf)
     text, kind = F.col("text"), F.col("source_type")
     return found.select(
@@ -157,7 +165,8 @@ def extract_revisions(files: DataFrame) -> DataFrame:
 
 
 def read_revisions(spark: SparkSession, directory: str, root: str | None = None) -> DataFrame:
-    return extract_revisions(read_files(spark, directory, root))
+    kinds = ("markdown", "docx", "pdf")
+    return extract_revisions(*(read_files(spark, directory, root, kind) for kind in kinds))
 
 
 

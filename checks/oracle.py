@@ -300,14 +300,27 @@ SELECT doc_id, copies::VARCHAR AS copies, copies IS NULL AS miss FROM want LEFT
 
 # ---- corpus -------------------------------------------------------------------------------------
 
-ORACLES["corpus_snapshot"] = f"""
-WITH {CORPUS}, b AS (SELECT sha256(string_agg(content_sha256, '|' ORDER BY source_path)) AS base_hash,
-  count(*) AS document_count FROM rev), c AS (SELECT count(*) AS chunk_count FROM chunks)
+def snapshot_sql(kind: str, base: str) -> str:
+    return f"""
+WITH {CORPUS}, b AS ({base}), n AS (SELECT count(*) AS document_count FROM rev),
+c AS (SELECT count(*) AS chunk_count FROM chunks)
 SELECT {stable('snap', "'1'", 'base_hash')} AS id, 1 AS sequence,
   CASE WHEN chunk_count = 0 THEN base_hash ELSE sha256(base_hash || ':' || chunk_count) END
     AS snapshot_hash, base_hash, '{DEFAULT_EMBEDDING_MODEL}' AS embedding_model_version,
   'chunker-800-100-v1' AS chunker_version, 'active' AS status, document_count, chunk_count,
-  'flat' AS digest_kind FROM b, c"""
+  '{kind}' AS digest_kind FROM b, n, c"""
+
+
+def tree_sql(rows: str, key: str, digest: str) -> str:
+    return f"""SELECT sha256(string_agg(leaf, '|' ORDER BY bucket)) AS base_hash FROM (
+  SELECT substr(sha256({key}), 1, 4) AS bucket, sha256(string_agg({digest}, '|' ORDER BY {key})) AS leaf
+  FROM {rows} GROUP BY 1)"""
+
+
+ORACLES["corpus_snapshot"] = snapshot_sql("tree", tree_sql("rev", "source_path", "content_sha256"))
+ORACLES["corpus_snapshot_flat"] = snapshot_sql(
+    "flat", "SELECT sha256(string_agg(content_sha256, '|' ORDER BY source_path)) AS base_hash FROM rev"
+)
 
 OFFSETS = f"""gap AS (
   SELECT *, regexp_split_to_array(text, {quoted(NON_WHITESPACE + '+')}) AS gaps,
@@ -355,10 +368,16 @@ SELECT false AS dry_run, d AS document_count, ch AS changed_document_count,
 ORACLES["ingest_summary"] = _ingest("stored_sha256 IS DISTINCT FROM content_sha256", ", " + STORED)
 ORACLES["ingest_no_op"] = _ingest("false", "")
 
-ORACLES["corpus_manifest_hash"] = """
-WITH e AS (SELECT '{"chunkId":' || to_json(source || '/' || doc_id)::VARCHAR || ',"textSha256":"'
-  || sha256(text) || '"}' AS e FROM documents)
-SELECT sha256('{"chunkCount":' || count(*) || ',"chunks":[' || string_agg(e, ',' ORDER BY e) || ']}')
+MANIFEST = """e AS (SELECT source || '/' || doc_id AS chunk_id, '{"chunkId":'
+  || to_json(source || '/' || doc_id)::VARCHAR || ',"textSha256":"' || sha256(text) || '"}' AS e
+  FROM documents)"""
+ORACLES["corpus_manifest_hash"] = f"""
+WITH {MANIFEST}, h AS (SELECT chunk_id, sha256(e) AS d FROM e), t AS ({tree_sql("h", "chunk_id", "d")})
+SELECT sha256('{{"chunkCount":' || (SELECT count(*) FROM e) || ',"chunks":"' || base_hash || '"}}')
+  AS corpus_hash FROM t"""
+ORACLES["corpus_manifest_hash_flat"] = f"""
+WITH {MANIFEST}
+SELECT sha256('{{"chunkCount":' || count(*) || ',"chunks":[' || string_agg(e, ',' ORDER BY e) || ']}}')
   AS corpus_hash FROM e"""
 
 ORACLES["source_spans"] = f"""
@@ -684,8 +703,8 @@ VERBATIM = """verbatim AS (
 
 ORACLES["gate_separation"] = f"""
 WITH {RETRIEVAL}, {VERBATIM},
-numbered AS (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS k
-  FROM bm),
+numbered AS (SELECT query_id, evidence AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY evidence DESC) AS k FROM everything),
 stat AS (SELECT query_id, max(score) AS b, avg(score) AS m, stddev_pop(score) AS sd,
   coalesce(max(score) FILTER (k = 2), 0.0) AS s2,
   query_id IN (SELECT query_id FROM verbatim) AS inside FROM numbered GROUP BY query_id),
@@ -757,28 +776,31 @@ j AS (SELECT event_id, e.user_id, ts_ms, s FROM (SELECT * FROM ev WHERE event_ty
   ASOF LEFT JOIN l ON e.user_id = l.user_id AND e.ts_ms >= l.s),
 v AS (SELECT event_id, user_id, ts_ms, CASE WHEN ts_ms - s < 86400000 THEN s END AS s FROM j)
 SELECT event_id, s::VARCHAR AS issued_ms, s IS NOT NULL AND
-  row_number() OVER (PARTITION BY user_id, s ORDER BY ts_ms) = 1 AS accepted FROM v"""
+  row_number() OVER (PARTITION BY user_id, s ORDER BY ts_ms, event_id) = 1 AS accepted FROM v"""
 
-_HOUR = 3_600_000
+_HALF_DAY = 43_200_000
+# Client windows are kept as start and count, one map each.
 ORACLES["write_limits"] = f"""
-WITH RECURSIVE {TIMED}, sc AS (
-  SELECT *, event_type || '/' || (ts_ms // 86400000) AS scope FROM ev),
-nr AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ts_ms, event_id) AS k FROM sc),
+WITH RECURSIVE {TIMED},
+nr AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms, event_id) AS k FROM ev),
 fold AS (
-  SELECT scope, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS allowed,
-    MAP([]::BIGINT[], []::BIGINT[]) AS last_charge, NULL::BIGINT AS gs, 0 AS gn
-  FROM (SELECT DISTINCT scope FROM nr)
+  SELECT event_type, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS allowed,
+    MAP([]::BIGINT[], []::BIGINT[]) AS cs, MAP([]::BIGINT[], []::BIGINT[]) AS cn,
+    NULL::BIGINT AS gs, 0 AS gn
+  FROM (SELECT DISTINCT event_type FROM nr)
   UNION ALL
-  SELECT scope, k, event_id, ok,
-    CASE WHEN ok THEN map_concat(last_charge, MAP([user_id], [ts_ms])) ELSE last_charge END,
-    CASE WHEN ok AND fresh THEN ts_ms ELSE gs END,
-    CASE WHEN NOT ok THEN gn WHEN fresh THEN 1 ELSE gn + 1 END
+  SELECT event_type, k, event_id, ok,
+    CASE WHEN ok AND new_client THEN map_concat(cs, MAP([user_id], [ts_ms])) ELSE cs END,
+    CASE WHEN NOT ok THEN cn WHEN new_client THEN map_concat(cn, MAP([user_id], [1::BIGINT]))
+      ELSE map_concat(cn, MAP([user_id], [cn[user_id] + 1])) END,
+    CASE WHEN ok AND new_scope THEN ts_ms ELSE gs END,
+    CASE WHEN NOT ok THEN gn WHEN new_scope THEN 1 ELSE gn + 1 END
   FROM (
-    SELECT n.scope, n.k, n.event_id, n.user_id, n.ts_ms, last_charge, gs, gn,
-      gs IS NULL OR n.ts_ms - gs >= {_HOUR} AS fresh,
-      (last_charge[n.user_id] IS NULL OR n.ts_ms - last_charge[n.user_id] >= {_HOUR})
-        AND (gs IS NULL OR n.ts_ms - gs >= {_HOUR} OR gn < 3) AS ok
-    FROM fold f JOIN nr n ON n.scope = f.scope AND n.k = f.k + 1))
+    SELECT *, (new_client OR cn[user_id] < 2) AND (new_scope OR gn < 4) AS ok FROM (
+      SELECT n.event_type, n.k, n.event_id, n.user_id, n.ts_ms, cs, cn, gs, gn,
+        gs IS NULL OR n.ts_ms - gs >= {_HALF_DAY} AS new_scope,
+        cs[n.user_id] IS NULL OR n.ts_ms - cs[n.user_id] >= {_HALF_DAY} AS new_client
+      FROM fold f JOIN nr n ON n.event_type = f.event_type AND n.k = f.k + 1)))
 SELECT event_id, allowed FROM fold WHERE k > 0"""
 
 ORACLES["chunk_provenance"] = f"""

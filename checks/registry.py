@@ -345,6 +345,11 @@ def corpus_snapshot(spark, d):
     return snapshots.snapshot_row(revisions(spark, d), 1)
 
 
+@query
+def corpus_snapshot_flat(spark, d):
+    return snapshots.snapshot_row(revisions(spark, d), 1, kind=snapshots.FLAT)
+
+
 @query
 def chunk_records(spark, d):
     found = revisions(spark, d)
@@ -386,13 +391,21 @@ def ingest_no_op(spark, d):
     return snapshots.ingest_summary(found, found.select("source_path", "content_sha256"))
 
 
-@query
-def corpus_manifest_hash(spark, d):
-    """Manifest hash of the hand-made chunks: here every document is one chunk."""
-    chunks = documents(spark, d).select(
+def hand_made_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as one chunk."""
+    return documents(spark, d).select(
         F.concat_ws("/", "source", "doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")
     )
-    return snapshots.fixture_corpus_hash(chunks)
+
+
+@query
+def corpus_manifest_hash(spark, d):
+    return snapshots.fixture_corpus_hash(hand_made_chunks(spark, d))
+
+
+@query
+def corpus_manifest_hash_flat(spark, d):
+    return snapshots.fixture_corpus_hash(hand_made_chunks(spark, d), kind=snapshots.FLAT)
 
 
 @query
@@ -737,13 +750,14 @@ def gate_separation(spark, d):
         "query_id",
         F.when(F.col("_in"), F.lit("in-corpus")).otherwise(F.lit("out-of-corpus")).alias("class"),
     )
-    ranked = lexical.lexical_candidates(corpus(spark, d), questions(spark, d)).filter(
-        F.col("method") == lexical.BM25
-    )
-    scores = ranked.join(probes, "query_id").select(
-        F.col("query_id").alias("probe_id"), "class", "score"
+    chunks = corpus(spark, d)
+    pairs = lexical.score_pairs(lexical.scoring_input(chunks, questions(spark, d)))
+    scores = pairs.select(F.col("query_id").alias("probe_id"), F.col("evidence").alias("score"))
+    n_chunks = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
+    stats = evaluation.score_distribution(
+        scores, probes.withColumnRenamed("query_id", "probe_id"), n_chunks
     )
-    return evaluation.gate_separation(evaluation.score_distribution(scores))
+    return evaluation.gate_separation(stats)
 
 
 def golden_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -798,12 +812,10 @@ def attempt_limits_per_user(spark, d):
 
 @query
 def write_limits(spark, d):
-    """One serving process per day and event type, restarted with empty counters every day."""
-    day = F.floor(F.col("ts_ms") / 86_400_000).cast("string")
-    scoped = timed_events(spark, d).withColumn("scope", F.concat_ws("/", "event_type", day))
+    """Two writes per client and four per event type within twelve hours, over the whole log."""
     return limits.write_limits(
-        scoped, "scope", "user_id", window_ms=60 * limits.MINUTE_MS, per_client=1, per_scope=3,
-        order=("event_id",),
+        timed_events(spark, d), "event_type", "user_id", window_ms=12 * 60 * limits.MINUTE_MS,
+        per_client=2, per_scope=4, order=("event_id",),
     ).select("event_id", "allowed")
 
 
@@ -830,5 +842,5 @@ def challenge_use(spark, d):
     return limits.challenge_consumption(
         events.filter(F.col("event_type") == "signup"),
         events.filter(F.col("event_type") == "click"),
-        "user_id", ttl_ms=24 * 60 * limits.MINUTE_MS,
+        "user_id", ttl_ms=24 * 60 * limits.MINUTE_MS, order=("event_id",),
     ).select("event_id", as_text("issued_ms"), "accepted")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestra.domain import EXTRACTIVE_PROFILE, MESSAGE_BLOCKED, ProviderProfile
@@ -166,12 +167,25 @@ def test_evaluation(spark):
 def test_separation(spark):
     rows = [("i1", "in-corpus", s) for s in (0.9, 0.5, 0.1)] + [
         ("o1", "out-of-corpus", s) for s in (0.4, 0.4, 0.1)]
+    scored = spark.createDataFrame(rows, "probe_id string, class string, score double")
     stats = evaluation.score_distribution(
-        spark.createDataFrame(rows, "probe_id string, class string, score double"))
+        scored.select("probe_id", "score"), scored.select("probe_id", "class").distinct(), F.lit(3))
     got = {r["form"]: r["separation"] for r in evaluation.gate_separation(stats).collect()}
     assert got["best"] == 0.5 and got["mean"] == 0.2 and got["best_minus_second"] == 0.4
 
 
+def test_separation_counts_chunks_without_a_score(spark):
+    scores = spark.createDataFrame([("i", 0.8), ("o", 0.2), ("o", 0.1)], "probe_id string, score double")
+    probes = spark.createDataFrame(
+        [("i", "in-corpus"), ("o", "out-of-corpus"), ("none", "out-of-corpus")],
+        "probe_id string, class string")
+    got = {r["probe_id"]: r for r in evaluation.score_distribution(scores, probes, F.lit(4)).collect()}
+    assert got["i"]["mean"] == pytest.approx(0.2) and got["i"]["second"] == 0.0
+    assert got["o"]["second"] == 0.1 and got["o"]["mean"] == pytest.approx(0.075)
+    assert got["i"]["deviation"] == pytest.approx((0.64 / 4 - 0.04) ** 0.5)
+    assert got["none"]["best"] == got["none"]["mean"] == got["none"]["deviation"] == 0.0
+
+
 def test_bars(spark):
     frame = spark.createDataFrame([(1, "a", 0.0333), (1, "b", 0.0166), (1, "c", 0.001), (2, "d", 0.0)],
                                   "query_id int, chunk_id string, score double")

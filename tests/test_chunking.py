@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import chunking, snapshots
@@ -51,8 +52,7 @@ def test_offsets_point_at_the_source(spark):
 def test_snapshot_identity(spark):
     texts = ["a b c d e", "second"]
     row = snapshots.snapshot_row(revisions(spark, texts), 4, window=3, overlap=1).first()
-    hashes = "|".join(hashlib.sha256(t.encode()).hexdigest() for t in texts)
-    base = hashlib.sha256(hashes.encode()).hexdigest()
+    base = snapshots.corpus_digest(revisions(spark, texts)).first()["base_hash"]
     assert row["base_hash"] == base and row["chunk_count"] == 3
     assert row["snapshot_hash"] == hashlib.sha256(f"{base}:3".encode()).hexdigest()
     assert row["id"] == "snap_" + hashlib.sha256(f"4\0{base}".encode()).hexdigest()[:24]
@@ -60,11 +60,26 @@ def test_snapshot_identity(spark):
     assert empty["snapshot_hash"] == empty["base_hash"] and empty["chunk_count"] == 0
 
 
-def test_bucketed_digest_moves_with_content(spark):
-    digest = lambda t: snapshots.corpus_digest(revisions(spark, t), flat_limit=1).first()
+def test_digest_moves_with_content_and_not_with_size(spark):
+    digest = lambda t, **kw: snapshots.corpus_digest(revisions(spark, t), **kw).first()
     first, again, other = digest(["a", "b", "c"]), digest(["a", "b", "c"]), digest(["a", "b", "x"])
-    assert first["digest_kind"] == "bucketed"
+    assert first["digest_kind"] == "tree"
     assert first["base_hash"] == again["base_hash"] != other["base_hash"]
+    assert digest(["a", "b"], kind="flat")["digest_kind"] == "flat"
+    with pytest.raises(ValueError):
+        digest(["a"], kind="other")
+    # Hashes by hand, for few and for many documents: the rule is the same.
+    for n in (3, 700):
+        paths = {f"d/{i}": hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)}
+        frame = spark.createDataFrame(list(paths.items()), "source_path string, content_sha256 string")
+        leaves = {}
+        for path in sorted(paths):
+            leaves.setdefault(hashlib.sha256(path.encode()).hexdigest()[:4], []).append(paths[path])
+        leaf = [hashlib.sha256("|".join(leaves[b]).encode()).hexdigest() for b in sorted(leaves)]
+        want = hashlib.sha256("|".join(leaf).encode()).hexdigest()
+        assert snapshots.corpus_digest(frame).first()["base_hash"] == want
+        flat = hashlib.sha256("|".join(paths[p] for p in sorted(paths)).encode()).hexdigest()
+        assert snapshots.corpus_digest(frame, "flat").first()["base_hash"] == flat
 
 
 def test_provenance(spark):
@@ -87,7 +102,7 @@ def test_fixture_hash_moves(spark):
     base = [("a", "x"), ("b", "y")]
     assert digest(base) == digest(base[::-1])
     assert len({digest(base), digest([("a", "x!"), ("b", "y")]), digest([("c", "x"), ("b", "y")])}) == 3
-    assert digest(base, flat_limit=1) != digest([("a", "x!"), ("b", "y")], flat_limit=1)
+    assert digest(base, kind="flat") != digest([("a", "x!"), ("b", "y")], kind="flat")
 
 
 def test_window_count_matches(spark):

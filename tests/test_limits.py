@@ -42,13 +42,13 @@ def test_write_limits(spark, seed):
     assert [got[i] for i in range(len(rows))] == want
 
 
-def test_pruning_frees_memory_without_changing_verdicts():
-    small, big = limits.WriteLimiter(10, 2, 5, max_keys=3), limits.WriteLimiter(10, 2, 5)
-    rng, now = random.Random(1), 0
+def test_admission_equals_the_model():
+    rng, now, rows = random.Random(1), 0, []
     for _ in range(500):
         now += rng.randrange(4)
-        client = rng.randrange(40)
-        assert small.allow(client, now) == big.allow(client, now)
+        rows.append((rng.randrange(40), now))
+    want = model.write_limits([(0, c, t) for c, t in rows], 10, 2, 5)
+    assert list(limits.admitted(rows, 10, 2, 5)) == want
 
 
 def test_capacity(spark):

@@ -30,10 +30,13 @@ def test_directory_of_files(spark, tmp_path):
     (tmp_path / "sub" / "b.DOCX").write_bytes(docx("Hallo &amp; Welt"))
     (tmp_path / "c.docx").write_bytes(b"plain words")
     (tmp_path / "d.pdf").write_bytes(b"%PDF scanned-pdf text")
+    (tmp_path / "e.docX").write_bytes(docx("odd"))
+    (tmp_path / "f.mD").write_bytes(b"odd")
     (tmp_path / "skip.txt").write_bytes(b"no")
+    (tmp_path / "_hidden.md").write_bytes(b"no")
     rows = {r["source_path"].rsplit("/", 1)[1]: r
             for r in corpus_files.read_revisions(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"a.md", "b.DOCX", "c.docx", "d.pdf"}
+    assert set(rows) == {"a.md", "b.DOCX", "c.docx", "d.pdf", "e.docX", "f.mD"}
     assert rows["a.md"]["text"] == "Ä hidden-text\nzwei"
     assert rows["a.md"]["warnings"] == ["hidden-text-warning"]
     assert rows["b.DOCX"]["text"] == "Hallo & Welt" and rows["b.DOCX"]["warnings"] == []
