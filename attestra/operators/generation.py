@@ -28,7 +28,8 @@ NO_EVIDENCE_ANSWER = "CLAIM: Keine ausreichende Evidenz im Korpus."
 ECHO_ANSWER = "CLAIM: Die Antwort ist durch den Korpus belegt. [chunk:"
 MAX_CLAIMS = 3
 
-# A provider turns ``query_id, prompt`` into ``query_id, answer``.
+# A provider turns ``query_id, prompt, feedback`` into ``query_id, answer``. ``feedback`` holds the
+# validation errors of the attempt before, null at the first one.
 Provider = Callable[[DataFrame], DataFrame]
 
 
@@ -215,6 +216,8 @@ def _attempt(
     prompts_frame: DataFrame, provider: Provider, evidence: DataFrame, snapshot_id: Column
 ) -> DataFrame:
     """One provider call per prompt with its claims and errors folded into arrays."""
+    if "feedback" not in prompts_frame.columns:
+        prompts_frame = prompts_frame.withColumn("feedback", F.lit(None).cast(ERRORS_TYPE))
     answers = provider(prompts_frame)
     claims = parse_claims(answers)
     claim_lists = claims.groupBy("query_id").agg(
@@ -245,6 +248,26 @@ CLAIMS_TYPE = (
 ERRORS_TYPE = "array<struct<claim_index:int,citation_index:int,code:string,detail:string>>"
 
 
+def attempts(
+    prompt_rows: DataFrame,
+    provider: Provider,
+    evidence: DataFrame,
+    snapshot_id: Column,
+    deterministic: bool = True,
+) -> DataFrame:
+    """The last attempt at every prompt: ``query_id, answer, claims, errors``.
+
+    An answer that fails validation is tried once more, with its errors as feedback. A deterministic
+    provider that ignores feedback would repeat itself, so its second pass is left out.
+    """
+    first = _attempt(prompt_rows, provider, evidence, snapshot_id)
+    if deterministic:
+        return first
+    failing = first.filter(F.size("errors") > 0).select("query_id", F.col("errors").alias("feedback"))
+    second = _attempt(prompt_rows.join(failing, "query_id"), provider, evidence, snapshot_id)
+    return first.filter(F.size("errors") == 0).unionByName(second)
+
+
 def answer_outcomes(
     queries: DataFrame,
     gate: DataFrame,
@@ -259,19 +282,12 @@ def answer_outcomes(
 ) -> DataFrame:
     """Refuse, answer, or block — one row per query.
 
-    A refused query never reaches the provider. A failing answer is tried once more and blocked if
-    it fails again; a deterministic provider would repeat itself, so its second pass is left out.
+    A refused query never reaches the provider. A failing answer is tried once more, with feedback,
+    and blocked if it fails again.
     """
     asked = queries.join(gate.filter(~F.col("out_of_corpus")), "query_id", "left_semi")
     prompt_rows = prompts(asked, evidence, template)
-    first = _attempt(prompt_rows, provider, evidence, snapshot_id)
-    final = first
-    if not deterministic:
-        failing = first.filter(F.size("errors") > 0).select("query_id")
-        second = _attempt(
-            prompt_rows.join(failing, "query_id", "left_semi"), provider, evidence, snapshot_id
-        )
-        final = first.filter(F.size("errors") == 0).unionByName(second)
+    final = attempts(prompt_rows, provider, evidence, snapshot_id, deterministic)
     return outcome_rows(
         queries, gate, final, snapshot_id, snapshot_hash, profile, template, embedding_model
     )

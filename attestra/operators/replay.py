@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.domain import EXTRACTIVE_PROFILE, ProviderProfile
+from attestra.domain import DEFAULT_PROMPT, EXTRACTIVE_PROFILE, PromptTemplate, ProviderProfile
 from attestra.functions import canonical_json as J
 from attestra.functions import hashing
 from attestra.operators.generation import (
     Provider,
+    attempts,
     extractive_provider,
-    parse_claims,
-    validate_claims,
+    prompts,
 )
 
 # Operator messages.
@@ -54,45 +54,58 @@ def artifact_drift(artifacts: ReplayArtifacts) -> Column:
     )
 
 
+STORED_CHUNKS = "array<struct<chunkId:string,chunkText:string,corpusSnapshotId:string>>"
+
+
+def stored_evidence(entries: DataFrame) -> DataFrame:
+    """``query_id, rank, chunk_id, chunk_text, corpus_snapshot_id`` of the chunks a ledger row holds."""
+    chunks = F.posexplode(F.from_json("retrieved_chunks", STORED_CHUNKS)).alias("place", "c")
+    return entries.select(F.col("id").alias("query_id"), chunks).select(
+        "query_id",
+        (F.col("place") + 1).alias("rank"),
+        F.col("c.chunkId").alias("chunk_id"),
+        F.col("c.chunkText").alias("chunk_text"),
+        F.col("c.corpusSnapshotId").alias("corpus_snapshot_id"),
+    )
+
+
 def regenerate(
-    entries: DataFrame, evidence: DataFrame, provider: Provider = extractive_provider
+    entries: DataFrame,
+    provider: Provider = extractive_provider,
+    template: PromptTemplate = DEFAULT_PROMPT,
+    deterministic: bool = True,
 ) -> DataFrame:
-    """``id, regenerated``: the answer the provider gives to each entry's stored prompt.
+    """``id, regenerated``: the answer the provider gives to the prompt of each ledger row.
 
-    ``entries`` carries ``id, prompt, corpus_snapshot_id``; ``evidence`` the retrieved chunks as
-    ``id, chunk_id, corpus_snapshot_id``. An answer that fails validation regenerates as empty.
+    The prompt is rebuilt from the stored question and chunks. Rows without a question or an answer
+    are left out. An answer that fails validation regenerates as empty.
     """
-    asked = entries.select(F.col("id").alias("query_id"), "prompt")
-    answers = provider(asked)
-    known = evidence.withColumnRenamed("id", "query_id")
-    snapshot = entries.select(
+    asked = entries.filter(F.col("query_text").isNotNull() & F.col("generated_answer").isNotNull())
+    evidence = stored_evidence(asked)
+    prompt_rows = prompts(asked.select(F.col("id").alias("query_id"), "query_text"), evidence, template)
+    snapshot = asked.select(
         F.col("id").alias("query_id"), F.col("corpus_snapshot_id").alias("_entry_snapshot")
     )
-    claims = parse_claims(answers)
-    errors = validate_claims(
-        claims,
-        known.join(snapshot, "query_id").withColumn(
-            "corpus_snapshot_id",
-            F.when(F.col("corpus_snapshot_id") == F.col("_entry_snapshot"), F.lit("same"))
-            .otherwise(F.lit("other")),
-        ),
-        F.lit("same"),
+    own = F.col("corpus_snapshot_id").eqNullSafe(F.col("_entry_snapshot"))
+    known = evidence.join(snapshot, "query_id").withColumn(
+        "corpus_snapshot_id", F.when(own, F.lit("same")).otherwise(F.lit("other"))
     )
-    failed = errors.select("query_id").distinct().withColumn("_failed", F.lit(True))
-    return answers.join(failed, "query_id", "left").select(
+    answers = attempts(prompt_rows, provider, known, F.lit("same"), deterministic)
+    return answers.select(
         F.col("query_id").alias("id"),
-        F.when(F.col("_failed"), F.lit("")).otherwise(F.col("answer")).alias("regenerated"),
+        F.when(F.size("errors") > 0, F.lit("")).otherwise(F.col("answer")).alias("regenerated"),
     )
 
 
 def replay_entries(
     entries: DataFrame,
-    evidence: DataFrame,
     artifacts: ReplayArtifacts | None = None,
     provider: Provider = extractive_provider,
     profile: ProviderProfile = EXTRACTIVE_PROFILE,
+    template: PromptTemplate = DEFAULT_PROMPT,
+    deterministic: bool = True,
 ) -> DataFrame:
-    """One result per entry.
+    """One result per ledger row, from nothing but the row.
 
     The capability is tested before anything else, then artifacts, then bytes. Entries without a
     question or an answer cannot be replayed; they report status ``error`` with drift ``unknown``
@@ -102,7 +115,7 @@ def replay_entries(
     unsupported = F.lit(profile.replay_capability == "unsupported")
     compared = (
         entries.withColumn("_drift", artifact_drift(used))
-        .join(regenerate(entries, evidence, provider), "id", "left")
+        .join(regenerate(entries, provider, template, deterministic), "id", "left")
         .withColumn(
             "_unknown", F.col("query_text").isNull() | F.col("generated_answer").isNull()
         )

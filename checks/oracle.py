@@ -478,6 +478,16 @@ tr AS (
   SELECT query_id, 'bm25' AS method, chunk_id, score,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM served_all QUALIFY rank <= 50)"""
+ORACLES["supplied_scores"] = f"""
+WITH {CORPUS}, {HASH_DENSE},
+given AS (SELECT query_id, chunk_id, floor((score - 0.35) * 10) / 10 AS v FROM hd),
+full_map AS (SELECT a.query_id, c.chunk_id, coalesce(round(v, 6), 0.0) AS score
+  FROM asked a CROSS JOIN chunks c LEFT JOIN given g
+    ON g.query_id = a.query_id AND g.chunk_id = c.chunk_id)
+SELECT query_id, chunk_id, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+FROM full_map QUALIFY rank <= 50"""
+
 ORACLES["served_terms_ranking"] = f"""
 WITH {CORPUS}, {COVERS} SELECT query_id, rank, chunk_id, score FROM tr"""
 
@@ -529,6 +539,16 @@ SELECT query_id, CASE WHEN out_of_corpus THEN 'refused-out-of-corpus' ELSE 'answ
     || chunk_id || ']' END AS answer
 FROM gate LEFT JOIN (SELECT * FROM cited WHERE rank = 1) USING (query_id)"""
 
+ORACLES["blocked_answers"] = f"""
+WITH {RETRIEVAL}
+SELECT query_id, CASE WHEN out_of_corpus THEN 'refused-out-of-corpus' WHEN query_id % 2 = 0
+    THEN 'answered' ELSE 'blocked-uncited' END AS outcome,
+  CASE WHEN NOT out_of_corpus AND query_id % 2 = 0
+    THEN 'CLAIM: Die Antwort ist durch den Korpus belegt. [chunk:' || chunk_id || ']' END AS answer,
+  CASE WHEN NOT out_of_corpus AND query_id % 2 = 1 THEN 'missing_citation' ELSE '' END AS errors,
+  CASE WHEN NOT out_of_corpus AND query_id % 2 = 0 THEN 1 ELSE 0 END AS n_claims
+FROM gate LEFT JOIN (SELECT * FROM cited WHERE rank = 1) USING (query_id)"""
+
 LINES = f"""marked AS (
   SELECT conv_id || '-' || turn AS query_id, array_to_string(list_transform(
     string_split(text, chr(10)), lambda l, k: CASE WHEN k % 3 = 0 THEN l
@@ -694,6 +714,25 @@ SELECT query_id::VARCHAR AS id, status, artifact AS drift_artifact,
   CASE WHEN status = 'passed' THEN '{replay_texts.MESSAGE_PASSED}'
     ELSE '{replay_texts.MESSAGE_DRIFT}' || artifact || '.' END AS operator_message FROM d"""
 
+ORACLES["replay_from_ledger"] = f"""
+WITH {RETRIEVAL}, {ANSWERS},
+e AS (
+  SELECT query_id, answer, CASE WHEN query_id % 7 = 3 THEN answer || ' ' ELSE answer END AS stored,
+    CASE WHEN query_id % 5 = 1 AND query_id % 2 = 1 THEN 'corpus_snapshot'
+      WHEN query_id % 5 = 2 THEN 'prompt' WHEN query_id % 5 = 3 THEN 'embedding_model'
+      WHEN query_id % 5 = 4 THEN 'model' END AS drift
+  FROM gate LEFT JOIN ans USING (query_id))
+SELECT 'supported' AS profile, query_id::VARCHAR AS id,
+  CASE WHEN drift IS NOT NULL THEN 'drift' WHEN stored IS NULL THEN 'error'
+    WHEN stored <> answer THEN 'drift' ELSE 'passed' END AS status,
+  CASE WHEN drift IS NOT NULL THEN 'false' WHEN stored IS NOT NULL THEN (stored = answer)::VARCHAR
+    END AS byte_equal,
+  CASE WHEN drift IS NOT NULL THEN drift WHEN stored IS NULL THEN 'unknown'
+    WHEN stored <> answer THEN 'provider_infrastructure' END AS drift_artifact
+FROM e
+UNION ALL
+SELECT 'unsupported', query_id::VARCHAR, 'unsupported', NULL, drift FROM e"""
+
 # ---- evaluation ---------------------------------------------------------------------------------
 
 VERBATIM = """verbatim AS (

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.domain import EXTRACTIVE_PROFILE, ProviderProfile
 from attestra.functions import canonical_json as J
 from attestra.functions import hashing, html, redaction, text as T, vector
 from attestra.functions.time import epoch_ms
@@ -14,6 +15,7 @@ from attestra.operators import chunking, dense, evaluation, generation, ledger,
 from attestra.operators import limits, replay, report, served, snapshots
 from attestra.operators.embedding import hash_embedding
 from attestra.plans import answering, retrieval
+from attestra.session import cut_lineage
 from attestra.sources import fixtures
 from attestra.sources.tables import read_table, read_text_table
 from checks.constants import (
@@ -500,6 +502,21 @@ def semantic_retrieval(spark, d):
     return found.evidence.select("query_id", "rank", "chunk_id", "score", "evidence")
 
 
+@query
+def supplied_scores(spark, d):
+    """A ranking by supplied scores: steps of a tenth, so many tie, and many are negative; chunks
+    beyond a question's 50 best have none."""
+    chunks, asked = corpus(spark, d), questions(spark, d)
+    scores = retrieval.hash_dense_scores(chunks, asked, SERVED_DIMENSION).select(
+        "query_id", "chunk_id", F.lit(None).cast("string").alias("source_path"),
+        (F.floor((F.col("score") - 0.35) * 10) / 10).alias("score"),
+    )
+    bare = chunks.withColumn("source_path", F.lit(None).cast("string"))
+    return retrieval.dense_candidates(scores, bare, asked, lexical.CANDIDATE_LIMIT).select(
+        "query_id", "rank", "chunk_id", "score"
+    )
+
+
 @query
 def served_terms_ranking(spark, d):
     return served.all_terms_candidates(corpus(spark, d), questions(spark, d)).select(
@@ -533,6 +550,31 @@ def cited_answers(spark, d):
     )
 
 
+def hesitant_provider(prompts: DataFrame) -> DataFrame:
+    """Cites nothing at first; told so, it cites for even questions and stays as it was for odd ones."""
+    cited = generation.echo_provider(prompts).withColumnRenamed("answer", "cited")
+    told = F.size(F.coalesce("feedback", F.array().cast(generation.ERRORS_TYPE))) > 0
+    return prompts.join(cited, "query_id").select(
+        "query_id",
+        F.when(told & (F.col("query_id") % 2 == 0), F.col("cited"))
+        .otherwise(F.lit("CLAIM: Ohne Beleg."))
+        .alias("answer"),
+    )
+
+
+@query
+def blocked_answers(spark, d):
+    outcomes, _, _ = answering.answer_queries(
+        revisions(spark, d), questions(spark, d), SNAPSHOT_ID, SNAPSHOT_HASH,
+        provider=hesitant_provider, deterministic=False,
+    )
+    errors = F.transform("validation_errors", lambda e: e["code"])
+    return outcomes.select(
+        "query_id", "outcome", "answer", F.array_join(errors, ",").alias("errors"),
+        F.size("claims").alias("n_claims"),
+    )
+
+
 @query
 def echo_answers(spark, d):
     outcomes, _, _ = answering.answer_queries(
@@ -675,40 +717,49 @@ def health(spark, d):
     return report.health(event_inputs(spark, d), corpus(spark, d))
 
 
-def replay_results(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded answers, some altered or recorded under other artifacts, replayed."""
-    outcomes, evidence, _ = answered(spark, d)
-    q = F.col("query_id")
-    altered = F.when(q % 7 == 3, F.concat("answer", F.lit(" "))).otherwise(F.col("answer"))
-    entries = outcomes.join(
-        generation.prompts(questions(spark, d), evidence).select("query_id", "prompt"), "query_id"
-    ).select(
-        F.lit("queries").alias("ledger_id"),
-        q.cast("string").alias("id"),
-        "query_text",
-        "prompt",
-        altered.alias("generated_answer"),
-        hashing.sha256_hex(altered).alias("generated_answer_sha256"),
-        "corpus_snapshot_id",
-        F.when(q % 5 == 1, F.lit("older")).otherwise(F.col("corpus_snapshot_hash")).alias(
-            "corpus_snapshot_hash"
-        ),
-        F.when(q % 5 == 2, F.lit("older")).otherwise(F.col("prompt_hash")).alias("prompt_hash"),
-        F.when(q % 5 == 3, F.lit("older")).otherwise(F.col("embedding_model_version")).alias(
-            "embedding_model_version"
-        ),
-        F.when(q % 5 == 4, F.lit("older")).otherwise(F.col("model_version")).alias("model_version"),
-        "prompt_version",
-        "seed",
+def query_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger rows the answered questions leave, chunks included."""
+    outcomes, _, found = answered(spark, d)
+    records = retrieval.fetch_chunk_records(
+        revisions(spark, d),
+        found.evidence.select("query_id", "rank", "chunk_id", "source_path", "score"),
+        SNAPSHOT_ID,
+        SNAPSHOT_HASH,
+    )
+    inputs = answering.query_ledger_inputs(outcomes, records, "queries", "u" * 64, "session", 1_700_000_000_000)
+    return cut_lineage(ledger.append_entries(inputs, ["append_order"]))
+
+
+def replay_results(
+    spark: SparkSession, d: str, profile: ProviderProfile = EXTRACTIVE_PROFILE
+) -> DataFrame:
+    """Ledger rows, some altered or recorded under other artifacts, replayed from what they hold."""
+    q = F.col("append_order")
+    altered = F.when(q % 7 == 3, F.concat("generated_answer", F.lit(" "))).otherwise(
+        F.col("generated_answer")
+    )
+
+    def older(k: int, column: str) -> Column:
+        return F.when(q % 5 == k, F.lit("older")).otherwise(F.col(column))
+
+    entries = query_ledger(spark, d).withColumns(
+        {
+            "id": q.cast("string"),
+            "generated_answer": altered,
+            "generated_answer_sha256": hashing.sha256_hex(altered),
+            "corpus_snapshot_hash": older(1, "corpus_snapshot_hash"),
+            "prompt_hash": older(2, "prompt_hash"),
+            "embedding_model_version": older(3, "embedding_model_version"),
+            "model_version": older(4, "model_version"),
+        }
     )
-    found = evidence.select(q.cast("string").alias("id"), "chunk_id", "corpus_snapshot_id")
     artifacts = replay.ReplayArtifacts(
         F.when(q_id() % 2 == 0, F.col("corpus_snapshot_hash")).otherwise(F.lit(SNAPSHOT_HASH)),
         F.lit(generation.DEFAULT_PROMPT.sha256),
         F.lit(generation.DEFAULT_EMBEDDING_MODEL),
         F.lit(generation.EXTRACTIVE_PROFILE.model_version),
     )
-    return replay.replay_entries(entries, found, artifacts)
+    return replay.replay_entries(entries, artifacts, profile=profile)
 
 
 def q_id():
@@ -724,6 +775,17 @@ def replay_status(spark, d):
     )
 
 
+@query
+def replay_from_ledger(spark, d):
+    """The same rows under a profile that supports replay and under one that does not."""
+    none = ProviderProfile("hosted", "hosted", "hosted@1", "unsupported", False)
+    columns = ["id", "status", F.col("byte_equal").cast("string").alias("byte_equal"), "drift_artifact"]
+    supported = replay_results(spark, d).select(F.lit("supported").alias("profile"), *columns)
+    return supported.unionByName(
+        replay_results(spark, d, none).select(F.lit("unsupported").alias("profile"), *columns)
+    )
+
+
 # ---- evaluation ---------------------------------------------------------------------------------
 
 

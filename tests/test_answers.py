@@ -114,14 +114,9 @@ def test_ledger_inputs_and_replay(spark):
     summary = answering.result_summary(outcomes, entries, "sess")
     assert summary.filter("ledger_entry_id IS NULL").count() == 0
 
-    prompts = generation.prompts(queries, evidence).select(F.col("query_id").alias("append_order"), "prompt")
-    recorded = cut_lineage(entries.join(prompts, "append_order"))
-    seen = cut_lineage(evidence.join(
-        entries.select(F.col("append_order").alias("query_id"), "id"), "query_id"
-    ).select("id", "chunk_id", "corpus_snapshot_id"))
     status = lambda **kw: {
         r["append_order"]: (r["status"], r["byte_equal"], r["drift_artifact"])
-        for r in replay.replay_entries(recorded, seen, **kw).collect()}
+        for r in replay.replay_entries(entries, **kw).collect()}
     assert status() == {1: ("passed", True, None), 2: ("passed", True, None),
                         3: ("error", None, "unknown")}
     moved = replay.ReplayArtifacts(prompt_hash=F.lit("p"), model_version=F.lit("m"))
@@ -130,7 +125,7 @@ def test_ledger_inputs_and_replay(spark):
     assert status(profile=none, artifacts=moved)[1] == ("unsupported", None, "prompt")
     other = status(provider=generation.echo_provider)
     assert other[1] == ("drift", False, "provider_infrastructure")
-    new_rows = replay.replay_inputs(replay.replay_entries(recorded, seen))
+    new_rows = replay.replay_inputs(replay.replay_entries(entries))
     assert sorted(r["entry_type"] for r in new_rows.collect()) == ["replay.passed", "replay.passed"]
 
 
