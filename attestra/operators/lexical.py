@@ -1,15 +1,16 @@
-"""IDF-weighted coverage ranking as a postings join.
+"""IDF-weighted coverage ranking over postings.
 
-Shape of the plan for a query batch that fits a broadcast:
+Shape of the plan for ranked lists:
 
 1. tokenise every chunk once and keep only terms some query asks for (map side);
 2. one exchange by ``chunk_id`` carrying those short arrays, never the text;
-3. both the document-frequency pass and the scoring pass read that same exchange;
-4. scoring explodes the arrays, joins the broadcast query weights and aggregates by
-   (chunk, query) without another exchange, because the rows already sit together by chunk;
-5. every task cuts to its own best candidates before the last, small exchange by query.
+3. the document-frequency pass and the scoring pass read that same exchange;
+4. scoring adds up the weights of a block of queries in Arrow batches (``lexical_scan``); no row is
+   made for a pair of query and chunk, and every task keeps its own best candidates;
+5. one small exchange by query merges the tasks' lists.
 
-A batch too large to broadcast takes a shuffled, salted join on the term instead.
+``score_pairs`` gives every pair that shares a term, for statistics over all of them: it joins the
+query weights, broadcast or salted by term, and aggregates by (chunk, query).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
+from attestra.operators.lexical_scan import BEST, scan_lists
 from attestra.operators.topk import default_fanout, fits_broadcast, top_k
 
 # Fixed values of the ranking formula.
@@ -212,19 +214,10 @@ def candidate_order(score: str = "score") -> list[Column]:
     return [F.col(score).desc(), F.col("chunk_id").asc()]
 
 
-def _both_rankings(pairs: DataFrame) -> DataFrame:
-    # One pass feeds both rankings; scoring twice would repeat the aggregation.
-    return pairs.select(
-        "query_id",
-        "chunk_id",
-        "source_path",
-        F.inline(
-            F.array(
-                F.struct(F.lit(DENSE).alias("method"), F.col("coverage").alias("score")),
-                F.struct(F.lit(BM25).alias("method"), F.col("evidence").alias("score")),
-            )
-        ),
-    )
+def ranked_lists(given: ScoringInput, k: int, bound: float = 0.0) -> DataFrame:
+    """Each task's best of both rankings, and its best evidence per query as method ``BEST``."""
+    formula = (MAX_DENSITY, MIN_LENGTH, SCORE_DECIMALS)
+    return scan_lists(given.postings, given.weights, k, (DENSE, BM25), formula, bound)
 
 
 def lowest_chunks(chunks: DataFrame, k: int, whole_row: Column | None = None) -> Column:
@@ -235,21 +228,24 @@ def lowest_chunks(chunks: DataFrame, k: int, whole_row: Column | None = None) ->
 
 
 def rank_with_fill(
-    scored: DataFrame, lowest: Column, queries: DataFrame, methods: list[str], k: int
+    scored: DataFrame,
+    lowest: Column,
+    queries: DataFrame,
+    methods: list[str],
+    k: int,
+    negative: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``k`` per (query, method), completed with zero-score chunks where fewer match.
 
     Every active chunk is ranked, so short lists end in zero rows; a chunk with a score of its own
     is never filled in. ``lowest`` holds the lowest chunk ids of the corpus: any zero row that makes
     a list of ``k`` is among them as long as a list has no more negative scores than ``lowest`` has
-    ids beyond ``k``.
+    ids beyond ``k``. ``negative`` holds the rows of ``scored`` below zero, if there can be any.
     """
     columns = ["query_id", "method", "chunk_id", "source_path", "score"]
     matched = top_k(
         scored, ["query_id", "method"], candidate_order(), k, fanout=default_fanout(scored)
     ).select(*columns)
-    negative = F.col("score") < 0
-    scored_low = scored.filter(negative).select("query_id", "method", "chunk_id")
     fillers = queries.select(
         "query_id",
         F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"),
@@ -257,7 +253,10 @@ def rank_with_fill(
     ).select("query_id", "method", F.inline("_fillers"), F.lit(0.0).alias("score"))
     # Chunks with a positive score outrank their own filler; only those with a negative one, which
     # may have been cut from the list, have to be looked up.
-    free = fillers.select(*columns).join(scored_low, ["query_id", "method", "chunk_id"], "left_anti")
+    free = fillers.select(*columns)
+    if negative is not None:
+        keys = ["query_id", "method", "chunk_id"]
+        free = free.join(negative.select(*keys), keys, "left_anti")
     best = matched.withColumn("_given", F.lit(1)).unionByName(free.withColumn("_given", F.lit(0)))
     once = best.groupBy("query_id", "method", "chunk_id", "source_path").agg(
         F.max(F.struct("_given", "score")).alias("_best")
@@ -277,7 +276,8 @@ def lexical_candidates(
     """Both lexical rankings: ``query_id, method, rank, chunk_id, source_path, score``."""
     given = scoring_input(chunks, queries, broadcast_rows)
     lowest = lowest_chunks(given.postings, k, _whole_row())
-    return rank_with_fill(_both_rankings(score_pairs(given)), lowest, queries, [DENSE, BM25], k)
+    lists = ranked_lists(given, k).filter(F.col("method") != BEST)
+    return rank_with_fill(lists, lowest, queries, [DENSE, BM25], k)
 
 
 @dataclass(frozen=True)
@@ -292,21 +292,34 @@ class EvidenceBound:
         return self.threshold / (1.0 + MAX_DENSITY) - 2e-6
 
 
-def best_evidence(pairs: DataFrame) -> DataFrame:
-    """``query_id, best`` over all pairs: combined on the map side, nothing is sorted."""
-    return pairs.groupBy("query_id").agg(F.max("evidence").alias("best"))
-
-
-def citable_pairs(pairs: DataFrame, k: int = CANDIDATE_LIMIT) -> DataFrame:
-    """Both rankings cut to pairs that can still lead to a citation.
+def citable_lists(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = CANDIDATE_LIMIT,
+    broadcast_rows: int = BROADCAST_TERM_ROWS,
+) -> DataFrame:
+    """``ranked_lists`` cut to chunks that can still lead to a citation.
 
     Only chunks whose evidence clears the bar are ever cited, and everything ranked above such a
     chunk also clears the coverage bound. So ranks of citable chunks equal those of the full lists,
-    while pairs that share only common words are dropped before any sort.
+    while chunks that share only common words are dropped before any sort.
     """
-    scored = _both_rankings(pairs.filter(F.col("coverage") >= EvidenceBound().coverage))
+    given = scoring_input(chunks, queries, broadcast_rows)
+    return ranked_lists(given, k, EvidenceBound().coverage)
+
+
+def merged_lists(lists: DataFrame, k: int = CANDIDATE_LIMIT) -> DataFrame:
+    """Both rankings of all tasks' lists."""
     return top_k(
-        scored, ["query_id", "method"], candidate_order(), k, fanout=default_fanout(scored)
+        lists.filter(F.col("method") != BEST),
+        ["query_id", "method"], candidate_order(), k, fanout=default_fanout(lists),
+    )
+
+
+def best_evidence(lists: DataFrame) -> DataFrame:
+    """``query_id, best`` over all chunks, carried or not."""
+    return (
+        lists.filter(F.col("method") == BEST).groupBy("query_id").agg(F.max("score").alias("best"))
     )
 
 
@@ -316,5 +329,5 @@ def evidence_candidates(
     k: int = CANDIDATE_LIMIT,
     broadcast_rows: int = BROADCAST_TERM_ROWS,
 ) -> DataFrame:
-    """``citable_pairs`` of a query batch over a corpus."""
-    return citable_pairs(score_pairs(scoring_input(chunks, queries, broadcast_rows)), k)
+    """Both rankings of the chunks that can be cited."""
+    return merged_lists(citable_lists(chunks, queries, k, broadcast_rows), k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +49,23 @@ def default_fanout(frame: DataFrame) -> int:
 def fits_broadcast(frame: DataFrame, max_rows: int) -> bool:
     """Whether a side has at most ``max_rows`` rows; counts no further than that."""
     return frame.limit(max_rows + 1).count() <= max_rows
+
+
+def best_rows(
+    scores: np.ndarray, ids: np.ndarray, k: int, rows: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Best k by score, ties by id, with the numbers of the chosen ``rows`` if they are given.
+
+    Only rows at or above the k-th score are sorted. A score that is no number is not ranked.
+    """
+    number = np.arange(len(scores)) if rows is None else rows
+    if np.isnan(scores).any():
+        keep = np.flatnonzero(~np.isnan(scores))
+        scores, ids, number = scores[keep], ids[keep], number[keep]
+    if len(scores) > k:
+        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+        keep = np.flatnonzero(scores >= bar)
+        scores, ids, number = scores[keep], ids[keep], number[keep]
+    order = np.lexsort((ids, -scores))[:k]
+    best = scores[order], ids[order]
+    return best if rows is None else (*best, number[order])

@@ -63,7 +63,9 @@ def dense_candidates(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k
     short = (F.col("n") - F.col("below") < k) & (F.col("n") < total)
     most = taken.filter(short).agg(F.max("below")).first()[0] or 0
     lowest = lexical.lowest_chunks(chunks, k + most)
-    return lexical.rank_with_fill(rows, lowest, queries, [lexical.DENSE], k)
+    return lexical.rank_with_fill(
+        rows, lowest, queries, [lexical.DENSE], k, negative=rows.filter(below)
+    )
 
 
 def retrieve(
@@ -94,10 +96,12 @@ def retrieve(
     elif trace:
         ranked = lexical.lexical_candidates(chunks, queries, k)
     else:
-        pairs = lexical.score_pairs(lexical.scoring_input(chunks, queries))
-        ranked = lexical.citable_pairs(pairs, k)
-        # The best score may belong to a pair that is too weak to be carried.
-        best = lexical.best_evidence(pairs)
+        lists = lexical.citable_lists(chunks, queries, k)
+        if materialize:
+            lists = cut_lineage(lists)
+        ranked = lexical.merged_lists(lists, k)
+        # The best score may belong to a chunk that is too weak to be carried.
+        best = lexical.best_evidence(lists)
     if materialize:
         ranked = cut_lineage(ranked)
     fused = fusion.reciprocal_rank_fusion(ranked)

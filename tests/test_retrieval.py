@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import dense, fusion, lexical, served, topk
+from attestra.operators import dense, fusion, lexical, lexical_scan, served, topk
 from attestra.plans import retrieval
 from tests import model
 
@@ -65,8 +65,9 @@ def test_evidence_and_gate_match_model(spark, trace):
         _, final, refused, best = model.retrieve(text, chunks)
         assert [(x[1], x[2]) for x in sorted(evidence.get(qid, []))] == final
         assert gate[qid]["out_of_corpus"] == refused
-        if trace:
-            assert gate[qid]["best_evidence"] == pytest.approx(best)
+        assert gate[qid]["best_evidence"] == pytest.approx(best)
+    refused = {r["query_id"]: r["out_of_corpus"] for r in found.refused.collect()}
+    assert refused == {q: r["out_of_corpus"] for q, r in gate.items()}
 
 
 def test_shuffled_path_equals_broadcast_path(spark):
@@ -77,6 +78,49 @@ def test_shuffled_path_equals_broadcast_path(spark):
     )
 
 
+def test_lists_equal_all_pairs(spark):
+    """Questions of common words only, and blocks of a few queries, against the pair-wise scores."""
+    rng = random.Random(4)
+    words = ["und", "der", "die", "das"] + [f"wort{i}" for i in range(40)]
+    weights = [30, 25, 20, 15] + [1] * 40
+    chunks = {f"c{i:03d}": " ".join(rng.choices(words, weights, k=rng.randrange(3, 30))) for i in range(150)}
+    asked = [(i, " ".join(rng.choices(words, weights, k=rng.randrange(1, 7)))) for i in range(12)]
+    c = spark.createDataFrame([(k, "p", v) for k, v in chunks.items()],
+                              "chunk_id string, source_path string, chunk_text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id int, query_text string")
+    given = lexical.scoring_input(c, q)
+    pairs = lexical.score_pairs(given).collect()
+    for size in (lexical_scan.MATRIX_BYTES, 600):
+        lists = lexical_scan.scan_lists(given.postings, given.weights, 7, ("dense", "bm25"),
+                                        (lexical.MAX_DENSITY, lexical.MIN_LENGTH, 6), matrix_bytes=size)
+        got = {}
+        for r in lexical.merged_lists(lists, 7).collect():
+            got.setdefault((r["query_id"], r["method"]), []).append((-r["score"], r["chunk_id"]))
+        want, best = {}, {}
+        for r in pairs:
+            want.setdefault((r["query_id"], "dense"), []).append((-r["coverage"], r["chunk_id"]))
+            want.setdefault((r["query_id"], "bm25"), []).append((-r["evidence"], r["chunk_id"]))
+            best[r["query_id"]] = max(best.get(r["query_id"], 0.0), r["evidence"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:7] for k, v in want.items()}
+        assert {r["query_id"]: r["best"] for r in lexical.best_evidence(lists).collect()} == best
+
+
+def test_supplied_scores_below_zero(spark):
+    c = spark.createDataFrame([(x, "p", "text") for x in "abcdef"], "chunk_id string, source_path string, chunk_text string")
+    q = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, query_text string")
+    scores = spark.createDataFrame(
+        [(1, "a", "p", -0.5), (1, "b", "p", 0.4), (1, "c", "p", -0.1), (2, "a", "p", -0.2), (2, "b", "p", 0.0)],
+        "query_id int, chunk_id string, source_path string, score double")
+    got = retrieval.dense_candidates(scores, c, q, 5).orderBy("query_id", "rank").collect()
+    assert [(r["chunk_id"], r["score"]) for r in got if r["query_id"] == 1] == [
+        ("b", 0.4), ("d", 0.0), ("e", 0.0), ("f", 0.0), ("c", -0.1)]
+    assert [(r["chunk_id"], r["score"]) for r in got if r["query_id"] == 2] == [
+        ("b", 0.0), ("c", 0.0), ("d", 0.0), ("e", 0.0), ("f", 0.0)]
+    three = c.filter("chunk_id < 'd'")
+    got = retrieval.dense_candidates(scores, three, q, 5).filter("query_id = 1").orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["b", "c", "a"]
+
+
 def test_dense_scores_reorder_but_never_open_the_gate(spark):
     chunks = corpus(80, seed=7)
     c, q = frames(spark, chunks)
