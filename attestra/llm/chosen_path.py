@@ -4,9 +4,12 @@ Documents with equal sets form a class, one member stands for it. A set is embed
 minimum hashes. A run starts all sets at one node; a node picks one or two coordinates by its own hash
 and sends every set to a child for the value it has there, so sets that share sampled tokens stay
 together. Buckets of one set vanish, buckets of at most ``LIMIT`` sets are compared at once by their
-embedding, larger ones are split again, up to ``DEPTH`` levels. What is still together then joins as it
-is. Runs are repeated so that a pair at the threshold is missed with a probability below one percent
-(``expected_recall``).
+embedding. In larger ones all sets are compared with one of them, drawn by hash, and linked to it if
+similar; those clearly similar to it stop there, since the exact check meets its whole cluster (and what
+is similar to them is, by the triangle inequality of the Jaccard distance, not far from the drawn one
+either), the others are split again, up to ``DEPTH`` levels. So dense buckets empty quickly.
+What is still together then joins as it is. Runs are repeated so that a pair at the threshold is missed
+with a probability below one in a thousand (``expected_recall``).
 
 Candidate links give clusters; the sets of a cluster meet and are compared exactly, block against block
 where a cluster is large, so neither a bucket nor a cluster is collected whole. Links are counted and
@@ -35,12 +38,13 @@ from attestra.llm.components import connected_components
 SHINGLE = 5
 PERCENT = 80
 COORDINATES = 32
-RUNS = 5
+RUNS = 8
 FIRST_DEPTH = 2
-DEPTH = 8
+DEPTH = 6
 SECOND_CHOICE = 0.43
 LIMIT = 64
-CANDIDATE_MATCHES = 18  # of 32 coordinates; a pair at 0.8 agrees on fewer with probability 0.2 percent
+CANDIDATE_MATCHES = 16  # of 32 coordinates; a pair at 0.8 agrees on fewer with probability 2e-5
+CLOSE_MATCHES = 22  # of 32 coordinates: so near to the set drawn from a bucket that it speaks for both
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 21
 PACK_SHINGLES = 1 << 20
@@ -206,21 +210,49 @@ def bucket_links(buckets: DataFrame) -> DataFrame:
     return ordered.mapInArrow(task, "a long, b long")
 
 
+def draw_key():
+    """A different order of sets in every bucket."""
+    return F.xxhash64("node", "id")
+
+
+def agreement_with_drawn(large: DataFrame) -> DataFrame:
+    """Large buckets with ``agree``: coordinates a set shares with the set drawn from its bucket."""
+    drawn = large.filter(draw_key() == F.col("least")).select(
+        F.col("node").alias("_node"), F.col("signature").alias("_drawn"), F.col("id").alias("drawn")
+    )
+    met = large.join(drawn, F.col("node") == F.col("_node"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, drawn = signatures(batch.column("signature")), signatures(batch.column("_drawn"))
+                agree = pa.array((own == drawn).sum(axis=1), pa.int32())
+                yield batch.drop_columns(["_drawn"]).append_column("agree", agree)
+
+    columns = met.select("node", "id", "signature", "drawn", "_drawn")
+    return columns.mapInArrow(task, "node long, id long, signature binary, drawn long, agree int")
+
+
 def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     """Links that connect candidates; walks down the paths level by level."""
     paths, found = first_paths(sets, runs), None
     for depth in range(FIRST_DEPTH, DEPTH + 1):
-        sizes = paths.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        sizes = paths.groupBy("node").agg(F.count("*").alias("n"), F.min(draw_key()).alias("least"))
+        # Stored apart, so that the join is free to split the sets of a large bucket.
         together = cut(paths.join(cut(sizes.filter(F.col("n") > 1)), "node"))
-        large = together.filter(F.col("n") > LIMIT)
         links = bucket_links(together.filter(F.col("n") <= LIMIT))
-        if depth == DEPTH:
-            links = links.unionByName(large.select(F.col("id").alias("a"), F.col("least").alias("b")))
-        links = cut(links.distinct())
+        large = together.filter(F.col("n") > LIMIT)
+        ended = large.isEmpty()
+        if not ended:
+            large = cut(agreement_with_drawn(large))
+            near = F.lit(True) if depth == DEPTH else F.col("agree") >= CANDIDATE_MATCHES
+            links = links.unionByName(
+                large.filter(near).select(F.col("id").alias("a"), F.col("drawn").alias("b"))
+            )
         found = links if found is None else found.unionByName(links)
-        if depth == DEPTH or large.isEmpty():
+        if depth == DEPTH or ended:
             return found
-        paths = longer_paths(large)
+        paths = longer_paths(large.filter(F.col("agree") < CLOSE_MATCHES))
 
 
 def exact_links(left: list, right: list, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:

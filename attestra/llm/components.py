@@ -10,7 +10,9 @@ from attestra.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # Stored apart, so that the join is free to split the neighbours of a hub. The other step groups
+    # by the larger id of an edge, which is never a hub.
+    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
     return (
         both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     )
