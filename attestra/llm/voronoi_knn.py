@@ -34,6 +34,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1).astype(np.int64)
 
 
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows; in floating point where no sum can leave 2^53."""
+    largest = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0))
+    if largest * left.shape[1] < 2**53:
+        return (left.astype(float) @ right.astype(float).T).astype(np.int64)
+    return left @ right.T
+
+
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
     """(id, v): vectors of integers, unusable rows left out."""
     element = F.transform(vector_column, lambda x: x.cast("double"))
@@ -80,7 +88,7 @@ def needed_cells(queries: DataFrame, pivot_ids: np.ndarray, pivots: np.ndarray,
                 continue
             ids = batch.column("id").to_numpy()
             rows = matrix(batch.column("v"))
-            exact = rows @ pivots.T
+            exact = products(rows, pivots)
             near = exact[:, numbers].astype(float)
             reach = np.linalg.norm(rows, axis=1)[:, None] * radius
             low, high = near - reach, near + reach
@@ -111,7 +119,7 @@ def best_in_block(k: int):
         if asked.num_rows and held.num_rows:
             asked, held = asked.combine_chunks(), held.combine_chunks().sort_by("id")
             queries, ids = asked["id"].to_numpy(), held["id"].to_numpy()
-            scores = matrix(asked["v"].chunk(0)) @ matrix(held["v"].chunk(0)).T
+            scores = products(matrix(asked["v"].chunk(0)), matrix(held["v"].chunk(0)))
             for query, row in zip(queries, scores):
                 usable = np.flatnonzero(ids != query)
                 values = row[usable]
