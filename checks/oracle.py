@@ -318,6 +318,17 @@ def tree_sql(rows: str, key: str, digest: str) -> str:
 
 
 ORACLES["corpus_snapshot"] = snapshot_sql("tree", tree_sql("rev", "source_path", "content_sha256"))
+ORACLES["next_sequence"] = """
+SELECT CAST(max(CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 3 ELSE 2 END) + 1 AS INTEGER) AS next_sequence
+FROM documents"""
+# Only documents of the latest active snapshot are chunked, counted and ranked.
+CURRENT = ",\n".join(
+    (REV, TOK, WIN, CHUNKS.replace("FROM win", "FROM win WHERE lang NOT IN ('en', 'de')"), QUESTIONS)
+)
+ORACLES["active_snapshot_ranking"] = f"""
+WITH {CURRENT}, {TERMS}, {BM25}, {LEXICAL_DENSE}
+SELECT query_id, method, rank, chunk_id, score FROM dn
+UNION ALL SELECT query_id, method, rank, chunk_id, score FROM bm"""
 ORACLES["corpus_snapshot_flat"] = snapshot_sql(
     "flat", "SELECT sha256(string_agg(content_sha256, '|' ORDER BY source_path)) AS base_hash FROM rev"
 )

@@ -347,6 +347,43 @@ def corpus_snapshot(spark, d):
     return snapshots.snapshot_row(revisions(spark, d), 1)
 
 
+def stored_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots, English documents first and all others later, and one that failed."""
+    english = F.col("lang") == "en"
+    listed = documents(spark, d).groupBy(
+        F.when(english, F.lit("older")).when(F.col("lang") == "de", F.lit("failed"))
+        .otherwise(F.lit("current")).alias("id")
+    ).agg(F.count(F.lit(1)).alias("document_count"))
+    sequence = F.when(F.col("id") == "older", 1).when(F.col("id") == "current", 2).otherwise(3)
+    status = F.when(F.col("id") == "failed", F.lit("failed")).otherwise(F.lit("active"))
+    return listed.withColumn("sequence", sequence).withColumn("status", status)
+
+
+@query
+def next_sequence(spark, d):
+    return snapshots.next_sequence(stored_snapshots(spark, d))
+
+
+@query
+def active_snapshot_ranking(spark, d):
+    """Rankings over the active snapshot of a chunk table that holds all three."""
+    found = documents(spark, d)
+    held = None
+    for name, chosen in (
+        ("older", F.col("lang") == "en"),
+        ("failed", F.col("lang") == "de"),
+        ("current", ~F.col("lang").isin("en", "de")),
+    ):
+        part = answering.corpus(
+            chunking.revisions_from_documents(found.filter(chosen)), SNAPSHOT_ID
+        ).withColumn("corpus_snapshot_id", F.lit(name))
+        held = part if held is None else held.unionByName(part)
+    active = snapshots.active_snapshot(stored_snapshots(spark, d)).first()["id"]
+    return lexical.lexical_candidates(
+        retrieval.active_chunks(held, active), questions(spark, d)
+    ).select("query_id", "method", "rank", "chunk_id", "score")
+
+
 @query
 def corpus_snapshot_flat(spark, d):
     return snapshots.snapshot_row(revisions(spark, d), 1, kind=snapshots.FLAT)
