@@ -181,6 +181,28 @@ def ingest_summary(
     )
 
 
+# The event an ingest leaves in the ledger.
+INGEST_EVENT, INGEST_OUTCOME = "corpus.ingest.completed", "corpus-ingest-completed"
+INGEST_USER = "system-ingest"
+
+
+def ingest_events(snapshot: DataFrame, ledger_id: Column, timestamp_ms: Column) -> DataFrame:
+    """Ledger inputs of activated snapshots (rows of ``snapshot_row``): which snapshot, how large."""
+    counts = {"chunkCount": F.col("chunk_count"), "documentCount": F.col("document_count")}
+    return snapshot.select(
+        ledger_id.alias("ledger_id"),
+        F.col("sequence").alias("append_order"),
+        F.lit(INGEST_EVENT).alias("entry_type"),
+        F.lit(INGEST_OUTCOME).alias("outcome"),
+        F.lit(DEFAULT_EMBEDDING_MODEL).alias("embedding_model_version"),
+        F.col("id").alias("corpus_snapshot_id"),
+        F.col("snapshot_hash").alias("corpus_snapshot_hash"),
+        hashing.sha256_hex(F.lit(INGEST_USER)).alias("user_id_hash"),
+        timestamp_ms.cast("bigint").alias("timestamp_ms"),
+        J.json_object({k: J.json_integer(v) for k, v in counts.items()}).alias("metadata"),
+    )
+
+
 def fixture_corpus_hash(chunks: DataFrame, kind: str = TREE) -> DataFrame:
     """Hash of a hand-chunked corpus: canonical manifest of (chunk id, text hash) and count.
 

@@ -318,6 +318,13 @@ def tree_sql(rows: str, key: str, digest: str) -> str:
 
 
 ORACLES["corpus_snapshot"] = snapshot_sql("tree", tree_sql("rev", "source_path", "content_sha256"))
+ORACLES["ingest_events"] = f"""
+WITH snap AS ({ORACLES["corpus_snapshot"]})
+SELECT 1 AS sequence, 'corpus.ingest.completed' AS entry_type,
+  'corpus-ingest-completed' AS outcome, embedding_model_version, id AS corpus_snapshot_id,
+  snapshot_hash AS corpus_snapshot_hash, sha256('system-ingest') AS user_id_hash,
+  '{{"chunkCount":' || chunk_count || ',"documentCount":' || document_count || '}}' AS metadata,
+  'not-applicable' AS model_version FROM snap"""
 ORACLES["next_sequence"] = """
 SELECT CAST(max(CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 3 ELSE 2 END) + 1 AS INTEGER) AS next_sequence
 FROM documents"""

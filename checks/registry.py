@@ -347,6 +347,18 @@ def corpus_snapshot(spark, d):
     return snapshots.snapshot_row(revisions(spark, d), 1)
 
 
+@query
+def ingest_events(spark, d):
+    """The ledger row an ingest of the documents leaves."""
+    inputs = snapshots.ingest_events(
+        snapshots.snapshot_row(revisions(spark, d), 1), F.lit("main"), F.lit(1_700_000_000_000)
+    )
+    return ledger.append_entries(inputs, ["append_order"]).select(
+        "sequence", "entry_type", "outcome", "embedding_model_version", "corpus_snapshot_id",
+        "corpus_snapshot_hash", "user_id_hash", "metadata", "model_version",
+    )
+
+
 def stored_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Two snapshots, English documents first and all others later, and one that failed."""
     english = F.col("lang") == "en"
