@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import id_and_text, small_batches, text_bytes, text_slices
-from attestra.llm.samples import bounded_sample, with_texts
+from attestra.llm.samples import bounded_sample, fit_in_task, with_texts
 
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -116,8 +116,10 @@ def train_language_model(docs: DataFrame) -> LanguageModel:
     """``docs``: id, text, lang of the rows that may be learned from."""
     docs = docs.dropna()
     chosen = bounded_sample(docs.select("id", "lang"), "lang", SAMPLE_PER_LANGUAGE)
-    rows = with_texts(chosen, docs.drop("lang")).orderBy("id").toPandas()
-    return LanguageModel(rows["text"].tolist(), rows["lang"].tolist())
+    sample = with_texts(chosen, docs.drop("lang"))
+    model = LanguageModel.__new__(LanguageModel)
+    model.__dict__.update(fit_in_task(sample, lambda c: vars(LanguageModel(c["text"], c["lang"]))))
+    return model
 
 
 def identify_language(

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +33,21 @@ def bounded_sample(rows: DataFrame, label: str, per_label: dict | int) -> DataFr
 def with_texts(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     """The texts of sampled ids; the sample's documented bound allows the broadcast."""
     return docs.join(F.broadcast(chosen), "id")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[dict[str, list]], Any]) -> Any:
+    """``fit`` applied to the columns of a bounded sample, ordered by id, in one task; only what it
+    returns, plain values and arrays, comes back to the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: dict[str, list] = {name: [] for name in names}
+        for batch in batches:
+            for name in names:
+                columns[name] += batch.column(name).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(columns))], pa.binary())], ["model"])
+
+    names = sample.columns
+    ordered = sample.repartition(1).sortWithinPartitions("id")
+    row = ordered.mapInArrow(task, "model binary").first()
+    # An empty sample has no task.
+    return fit({name: [] for name in names}) if row is None else pickle.loads(row[0])
