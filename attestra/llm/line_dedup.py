@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import id_and_text, small_batches, text_slices
+from attestra.llm.common import cut, id_and_text, small_batches, text_slices
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -65,7 +65,7 @@ def lost_lines(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame
     if min_documents > 2:
         shared = shared.filter(F.col("n") >= min_documents)
     return (
-        lines.join(shared.select("h1", "h2", "first_id"), ["h1", "h2"])
+        lines.join(cut(shared.select("h1", "h2", "first_id")), ["h1", "h2"])
         .filter(F.col("id") > F.col("first_id"))
         .groupBy("id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
