@@ -47,7 +47,7 @@ CANDIDATE_MATCHES = 16  # of 32 coordinates; a pair at 0.8 agrees on fewer with
 CLOSE_MATCHES = 22  # of 32 coordinates: so near to the set drawn from a bucket that it speaks for both
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 21
-PACK_SHINGLES = 1 << 20
+PACK_SHINGLES = 1 << 18
 STREAM_ROWS = 8192
 
 _draw = np.random.default_rng(77)
