@@ -1,11 +1,11 @@
 """Licence texts and notices, found through a positional index of rare words.
 
-Templates are indexed by word position. Inverse document frequencies of all template words are
-counted over the whole corpus, and each template is looked up by its rarest words only: every place
-of such a word in a file gives an alignment (its place minus its position in the template).
-Alignments of several rare words at about the same relative position are verified against the whole
-template and its mandatory key phrase. Fixed phrases are templates whose words must all stand in a
-row. Words are compared by 64-bit hash while searching and by their bytes at the end.
+Inverse document frequencies of all template words are counted over the whole corpus. A notice counts
+only with the mandatory key phrase of its template, so each template is looked up by the rarest word
+of that phrase, whose place in a file says where the phrase would begin. Where it does, the template
+is aligned at every start whose window holds the phrase, and the best alignment is the match. Fixed
+phrases are templates whose words must all stand in a row. Words are compared by 64-bit hash while
+searching and by their bytes at the end.
 
 Defined results: null or empty texts have no words, labels or places. Repeated ids are judged row by
 row. An empty table gives an empty result.
@@ -46,7 +46,6 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced", "all rights reserved"),
 )
 
-ANCHORS = 4
 SLACK = 3
 COVERAGE = 0.6
 
@@ -82,74 +81,70 @@ class Template:
     def __init__(self, label: str, text: str, mandatory: str, frequency: dict[bytes, int], exact: bool):
         self.label, self.exact = label, exact
         self.words = text.encode().split()
-        self.hash = hash_words(self.words)
         self.mandatory = mandatory.encode().split()
-        first = {}
-        for place, word in enumerate(self.words):
-            first.setdefault(word, place)
-        rare = sorted(first, key=lambda word: (frequency.get(word, 0), word))
-        self.anchors = [first[word] for word in rare[: 1 if exact else ANCHORS]]
+        # Necessary for a match, unlike the other words of a template.
+        self.anchor = min(self.mandatory, key=lambda word: (frequency.get(word, 0), word))
 
 
 class Index:
-    """Postings of the rarest template words: hash to (template, position)."""
+    """Postings of the anchors: hash to (template, position in its mandatory phrase)."""
 
     def __init__(self, templates: list[Template]):
         self.templates = templates
         postings: dict[int, list[tuple[int, int]]] = {}
         for number, template in enumerate(templates):
-            for place in template.anchors:
-                postings.setdefault(int(template.hash[place]), []).append((number, place))
+            position = template.mandatory.index(template.anchor)  # so each place of a phrase is met once
+            postings.setdefault(int(hash_words([template.anchor])[0]), []).append((number, position))
         self.rare = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(h)] for h in self.rare]
 
-    def alignments(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
-        """(template, row, word where it would start, rare words that agree) of all candidates."""
+    def candidates(self, words: Words) -> Iterator[tuple[int, int, int]]:
+        """(template, row, word where its mandatory phrase would begin) for every place of an anchor."""
         if not len(words.hash):
             return
         slot = np.minimum(np.searchsorted(self.rare, words.hash), len(self.rare) - 1)
         places = np.flatnonzero(self.rare[slot] == words.hash)
         rows = np.searchsorted(words.bounds, places, side="right") - 1
-        met: dict[tuple[int, int], list[int]] = {}
         for place, row, number in zip(places.tolist(), rows.tolist(), slot[places].tolist()):
             for template, position in self.postings[number]:
-                met.setdefault((template, row), []).append(place - position)
-        for (template, row), starts in met.items():
-            starts.sort()
-            if self.templates[template].exact:
-                for start in starts:
-                    yield template, row, start, 1
-                continue
-            begin = 0
-            while begin < len(starts):
-                end = begin
-                while end + 1 < len(starts) and starts[end + 1] - starts[end] <= SLACK:
-                    end += 1
-                yield template, row, starts[begin], end - begin + 1
-                begin = end + 1
-
-    def verify(self, words: Words, template: Template, row: int, start: int) -> tuple[float, int, int] | None:
-        """(share of the template found, first and last word of the match) or None."""
+                yield template, row, place - position
+
+    def verify(self, words: Words, template: Template, row: int, start: int) -> tuple | None:
+        """(best share of the template found near a mandatory phrase, share, first and last word of
+        the match around it) or None. ``start``: where the phrase begins."""
         low, high = int(words.bounds[row]), int(words.bounds[row + 1])
-        size = len(template.words)
+        size, phrase = len(template.words), template.mandatory
+        if start < low or start + len(phrase) > high:
+            return None
+        if any(words.word(start + i) != word for i, word in enumerate(phrase)):
+            return None
         if template.exact:
-            if start < low or start + size > high:
-                return None
-            same = all(words.word(start + i) == word for i, word in enumerate(template.words))
-            return (1.0, start, start + size - 1) if same else None
-        first, last = max(low, start - SLACK), min(high, start + size + 2 * SLACK)
-        near = [words.word(i) for i in range(first, last)]
-        phrase = template.mandatory
-        if not any(near[i : i + len(phrase)] == phrase for i in range(len(near) - len(phrase) + 1)):
+            return 1.0, 1.0, start, start + size - 1
+        begins = range(start + len(phrase) - size - 2 * SLACK, start + SLACK + 1)
+        first = max(low, begins[0] - SLACK)
+        near = [words.word(i) for i in range(first, min(high, begins[-1] + size + 2 * SLACK))]
+        known = set(near)
+        if sum(word in known for word in template.words) < COVERAGE * size:
             return None
-        at, hits = 0, []
-        for word in template.words:  # in order, each within reach of the one before
-            reach = near[at : at + 2 * SLACK + 1]
-            if word in reach:
-                at += reach.index(word) + 1
-                hits.append(at - 1)
-        share = len(hits) / size
-        return (share, first + hits[0], first + hits[-1]) if share >= COVERAGE else None
+        top, best = 0.0, None
+        for begin in begins:
+            window = near[max(low, begin - SLACK) - first : begin + size + 2 * SLACK - first]
+            at, hits = max(low, begin - SLACK), []
+            origin = at
+            for word in template.words:  # in order, each within reach of the one before
+                reach = window[at - origin : at - origin + 2 * SLACK + 1]
+                if word in reach:
+                    at += reach.index(word) + 1
+                    hits.append(at - 1)
+            share = len(hits) / size
+            if share < COVERAGE:
+                continue
+            top = max(top, share)
+            # A notice beside this one holds a phrase of its own. Of equal shares, that of fewer words.
+            around = hits[0] <= start and start + len(phrase) - 1 <= hits[-1]
+            found = (around, share, hits[0] - hits[-1], hits[0], hits[-1])
+            best = found if best is None else max(best, found)
+        return (top, best[1], *best[3:]) if best else None
 
 
 SCHEMA = (
@@ -173,23 +168,22 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in text_slices(batches):
             words = Words(batch.column("text"))
             rows = [
-                {"base": [], "base_labels": set(), "labels": set(), "score": 0.0, "matches": []}
+                {"base": [], "base_labels": set(), "labels": set(), "score": 0.0, "matches": {}}
                 for _ in range(batch.num_rows)
             ]
-            for number, row, start, agreeing in index.alignments(words):
+            for number, row, start in index.candidates(words):
                 template = index.templates[number]
-                if not template.exact and agreeing < min(2, len(template.anchors)):
-                    continue
                 match = index.verify(words, template, row, start)
                 if match is None:
                     continue
-                share, first, last = match
+                top, share, first, last = match
                 low, into = int(words.bounds[row]), rows[row]
                 into["labels"].add(template.label)
-                into["score"] = max(into["score"], share)
-                into["matches"].append(
-                    {"label": template.label, "first": first - low, "last": last - low, "share": share}
-                )
+                into["score"] = max(into["score"], top)
+                # A notice that holds its phrase twice is one match.
+                into["matches"][number, first, last] = {
+                    "label": template.label, "first": first - low, "last": last - low, "share": share
+                }
                 if template.exact:
                     into["base"].append(first - low)
                     into["base_labels"].add(template.label)
@@ -204,7 +198,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                         "base_labels": sorted(row["base_labels"]),
                         "labels": sorted(row["labels"]),
                         "score": row["score"],
-                        "matches": row["matches"],
+                        "matches": list(row["matches"].values()),
                     }
                     for owner, count, row in zip(
                         batch.column("id").to_pylist(), np.diff(words.bounds), rows

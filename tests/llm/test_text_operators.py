@@ -165,6 +165,24 @@ def test_license_scan(spark, odd, odd_rows, empty):
     assert license_scan.scan_licenses(odd).count() == len(odd_rows)
 
 
+def test_notices_without_words_the_corpus_lacks(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    gpl = license_scan.TEMPLATES[2][1].split()
+    texts = [
+        mit, "word " * 30 + mit, f"{mit} {mit}", "Permission is hereby granted, free of charge, to",
+        " ".join(gpl[:13] + ["and", "so", "on"] + gpl[13:26]), "gnu general public license",
+    ]
+    got = {
+        r.id: r
+        for r in license_scan.scan_licenses(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    }
+    assert [got[i]["labels"] for i in range(6)] == [["mit"], ["mit"], ["mit"], [], ["gpl"], []]
+    assert [got[i]["score"] for i in range(4)] == [0.8, 0.8, 0.8, 0.0]
+    assert [(m["first"], m["last"]) for m in got[1]["matches"]] == [(30, 45)]
+    assert [(m["first"], m["last"]) for m in got[2]["matches"]] == [(0, 15), (16, 31)]
+
+
 # ---- packing ------------------------------------------------------------------------------------
 
 
