@@ -1,15 +1,16 @@
 """Jaccard similarity join of word-shingle sets along chosen paths.
 
 Documents with equal sets form a class, one member stands for it. A set is embedded as ``COORDINATES``
-minimum hashes. A run starts all sets at one node; a node picks one or two coordinates by its own hash
+minimum hashes for each run, so that runs are independent. A run starts all sets at one node; a node picks one or two coordinates by its own hash
 and sends every set to a child for the value it has there, so sets that share sampled tokens stay
 together. Buckets of one set vanish, buckets of at most ``LIMIT`` sets are compared at once by their
 embedding. In larger ones all sets are compared with one of them, drawn by hash, and linked to it if
 similar; those clearly similar to it stop there, since the exact check meets its whole cluster (and what
 is similar to them is, by the triangle inequality of the Jaccard distance, not far from the drawn one
 either), the others are split again, up to ``DEPTH`` levels. So dense buckets empty quickly.
-What is still together then joins as it is. Runs are repeated so that a pair at the threshold is missed
-with a probability below one in a thousand (``expected_recall``).
+What is still together then joins as it is. Runs are repeated so that a pair at the threshold whose
+buckets stay large down to the last level comes apart in all of them with a probability below one in a
+thousand (``expected_recall``).
 
 Candidate links give clusters; the sets of a cluster meet and are compared exactly, block against block
 where a cluster is large, so neither a bucket nor a cluster is collected whole. Links are counted and
@@ -24,6 +25,7 @@ graph. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,26 +45,30 @@ FIRST_DEPTH = 2
 DEPTH = 6
 SECOND_CHOICE = 0.43
 LIMIT = 64
-CANDIDATE_MATCHES = 16  # of 32 coordinates; a pair at 0.8 agrees on fewer with probability 2e-5
+CANDIDATE_MATCHES = 16  # of the 32 coordinates of a run; a pair at 0.8 agrees on fewer with probability 2e-5
 CLOSE_MATCHES = 22  # of 32 coordinates: so near to the set drawn from a bucket that it speaks for both
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 21
 PACK_SHINGLES = 1 << 18
 STREAM_ROWS = 8192
 
-_draw = np.random.default_rng(77)
-MASKS = _draw.integers(0, 2**63, COORDINATES, dtype=np.uint64)
-FACTORS = _draw.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COORDINATE_SEED = 77
 CHILD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def expected_recall(similarity: float = PERCENT / 100, depth: int = FIRST_DEPTH + 1, runs: int = RUNS) -> float:
-    """Probability that two sets meet in some bucket ``depth`` levels down."""
-    together = 1.0
-    for _ in range(depth):
-        apart = 1 - similarity * together
-        together = 1 - (1 - SECOND_CHOICE) * apart - SECOND_CHOICE * apart**2
-    return 1 - (1 - together) ** runs
+def expected_recall(similarity: float = PERCENT / 100, depth: int = DEPTH, runs: int = RUNS) -> float:
+    """Probability that two sets are together in some bucket ``depth`` levels down. Within a run they
+    agree on a fixed part of its coordinates; each run has its own."""
+    n, parted = COORDINATES, 0.0
+    for k in range(n + 1):
+        together = 1.0
+        for _ in range(depth):
+            apart = 1 - together
+            one = (k * apart + n - k) / n
+            two = (k * (k - 1) * apart**2 + 2 * k * (n - k) * apart + (n - k) * (n - k - 1)) / (n * (n - 1))
+            together = 1 - (1 - SECOND_CHOICE) * one - SECOND_CHOICE * two
+        parted += comb(n, k) * similarity**k * (1 - similarity) ** (n - k) * (1 - together)
+    return 1 - parted**runs
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,18 +79,21 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.searchsorted(rows[order], np.arange(len(texts) + 1))
 
 
-def embed(docs: DataFrame) -> DataFrame:
-    """(id, digest, size, signature) of documents with a set."""
+def embed(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+    """(id, digest, size, signature) of documents with a set; the signature holds all runs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(COORDINATE_SEED)
+        drawn = draw.integers(0, 2**63, (runs * COORDINATES, 2), dtype=np.uint64)
+        masks, factors = drawn[:, 0], drawn[:, 1] * np.uint64(2) + np.uint64(1)
         for batch in text_slices(batches):
             hashes, bounds = shingle_sets(batch.column("text"))
             some = np.flatnonzero(np.diff(bounds) > 0)
             sets = [np.unique(hashes[bounds[row] : bounds[row + 1]]) for row in some]
-            values = np.zeros((len(some), COORDINATES), "<u2")
+            values = np.zeros((len(some), runs * COORDINATES), "<u2")
             if len(some):
-                for i in range(COORDINATES):
-                    least = np.minimum.reduceat((hashes ^ MASKS[i]) * FACTORS[i], bounds[:-1][some])
+                for i in range(runs * COORDINATES):
+                    least = np.minimum.reduceat((hashes ^ masks[i]) * factors[i], bounds[:-1][some])
                     values[:, i] = mix(least) >> np.uint64(48)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,6 +109,7 @@ def embed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(column: pa.Array) -> np.ndarray:
+    """Rows of ``COORDINATES`` values; several a set where its signature holds all runs."""
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
 
 
@@ -130,14 +140,15 @@ def first_paths(sets: DataFrame, runs: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = signatures(batch.column("signature"))
+            values = signatures(batch.column("signature"))  # row: set, then run
             roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * CHILD)
-            nodes = np.repeat(roots, len(values))
-            owner = np.tile(np.arange(len(values)), runs)
+            nodes = np.tile(roots, batch.num_rows)
+            owner = np.arange(len(values))
             for _ in range(FIRST_DEPTH):
                 rows, nodes = children(nodes, values[owner])
                 owner = owner[rows]
-            yield path_rows(nodes, batch.column("id"), batch.column("signature"), owner)
+            ids = batch.column("id").take(pa.array(np.arange(len(values)) // runs))
+            yield path_rows(nodes, ids, pa.array([x.tobytes() for x in values], pa.binary()), owner)
 
     return sets.select("id", "signature").mapInArrow(task, PATHS)
 
@@ -380,7 +391,7 @@ def similar_groups(
     small_batches(docs.sparkSession)
     docs = id_and_text(docs, id_column, text_column)
     known = docs.filter(F.col("id").isNotNull())
-    embedded = cut(embed(known))
+    embedded = cut(embed(known, runs))
     classes = cut(
         embedded.groupBy("digest").agg(
             F.min("id").alias("id"),

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.llm import chosen_path, decontamination, license_scan, line_dedup, packing, suffix_dedup
 from attestra.llm.common import Words, hash_words
@@ -317,6 +318,24 @@ def test_expected_recall():
     assert chosen_path.expected_recall() > 0.999
 
 
+def test_pairs_in_large_buckets_stay_together(spark):
+    """Pairs at 0.8 that share a passage with all others, walked down to the last level."""
+    rng = random.Random(12)
+    hot, pairs, rows = [f"hot{k}" for k in range(14)], 4000, []
+    for pair in range(pairs):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(40)]
+        for side in (own[:35], own[:30] + own[35:]):  # of 45 shingles each 40 are equal
+            rows.append((len(rows), " ".join(hot + side)))
+    sets = chosen_path.embed(spark.createDataFrame(rows, "id long, text string").repartition(8))
+    paths = chosen_path.first_paths(sets, chosen_path.RUNS)
+    for _ in range(chosen_path.FIRST_DEPTH, chosen_path.DEPTH):
+        paths = chosen_path.longer_paths(paths)
+    nodes = paths.groupBy("node", F.floor(F.col("id") / 2).alias("pair")).agg(F.count_distinct("id").alias("n"))
+    met = nodes.filter("n = 2").select("pair").distinct().count()
+    assert met > 0.999 * pairs
+    assert chosen_path.expected_recall(depth=chosen_path.DEPTH) > 0.999
+
+
 # ---- repeated byte strings ----------------------------------------------------------------------
 
 
