@@ -296,18 +296,35 @@ def exact_links(left: list, right: list, same: bool, percent: int) -> tuple[np.n
     return (i, j) if same else (i, j + a)
 
 
+def first_of_each(table: pa.Table) -> pa.Array:
+    """Rows ordered by cluster and id, without those that repeat an id and its set: one that comes from
+    several tasks is a single member, whose weight counts its documents."""
+    clusters, ids = table["cluster"].to_numpy(), table["id"].to_numpy()
+    kept = np.ones(len(ids), bool)
+    same = (clusters[1:] == clusters[:-1]) & (ids[1:] == ids[:-1])
+    seen: set[bytes] = set()
+    for row in (np.flatnonzero(same) + 1).tolist():
+        if row == 1 or not same[row - 2]:
+            seen = {table["shingles"][row - 1].as_py()}
+        value = table["shingles"][row].as_py()
+        kept[row] = value not in seen
+        seen.add(value)
+    return pa.array(np.flatnonzero(kept))
+
+
 CONFIRMED = "id long, links long, parent long"
 
 
 def confirm(percent: int):
     """Compares the sets of one group of the exact check: whole clusters, or two blocks of one."""
 
-    def cluster(ids: np.ndarray, weights: np.ndarray, sides: np.ndarray, sets: list) -> tuple:
+    def cluster(ids: np.ndarray, weights: np.ndarray, sides: np.ndarray, sets: list, same: bool) -> tuple:
         order = np.lexsort((ids, sides))
         ids, weights, sides = ids[order], weights[order], sides[order]
         sets = [sets[i] for i in order]
         cutoff = int(np.searchsorted(sides, 1))
-        same = cutoff in (0, len(ids))
+        if not same and cutoff in (0, len(ids)):  # the other block is empty
+            return (np.zeros(0, np.int64),) * 3
         i, j = exact_links(sets if same else sets[:cutoff], [] if same else sets[cutoff:], same, percent)
         counts = np.bincount(i, weights[j], minlength=len(ids)) + np.bincount(j, weights[i], minlength=len(ids))
         rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # labels follow the ids' order
@@ -315,13 +332,17 @@ def confirm(percent: int):
         return ids, counts.astype(np.int64), np.sort(ids)[label[rank]]
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
+        same = key[1].as_py() == key[2].as_py()  # a whole cluster or a block with itself
         table = table.sort_by([("cluster", "ascending"), ("id", "ascending")]).combine_chunks()
+        table = table.take(first_of_each(table))
         clusters, ids = table["cluster"].to_numpy(), table["id"].to_numpy()
         weights, sides = table["weight"].to_numpy(), table["side"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         edges = [*np.flatnonzero(np.r_[True, clusters[1:] != clusters[:-1]]).tolist(), len(ids)]
         parts = [
-            cluster(ids[a:b], weights[a:b], sides[a:b], sets[a:b]) for a, b in zip(edges, edges[1:]) if b - a > 1
+            cluster(ids[a:b], weights[a:b], sides[a:b], sets[a:b], same)
+            for a, b in zip(edges, edges[1:])
+            if b - a > 1
         ]
         columns = zip(*parts) if parts else ((), (), ())
         return pa.table(
@@ -347,6 +368,7 @@ def exact_check(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percen
     members = members.join(shapes, "group")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, bytes]] = set()  # rows that repeat an id and its text meet in one task
         for batch in text_slices(batches):
             hashes, bounds = shingle_sets(batch.column("text"))
             found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
@@ -355,7 +377,13 @@ def exact_check(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percen
                 [batch.column(c) for c in ("id", "group", "weight", "blocks")] + [pa.array(found, pa.binary())],
                 ["id", "group", "weight", "blocks", "shingles"],
             )
-            yield out.filter(pc.equal(digests, batch.column("digest")))
+            own = pc.equal(digests, batch.column("digest")).to_numpy(zero_copy_only=False)
+            ids = batch.column("id").to_pylist()
+            for row in np.flatnonzero(own).tolist():
+                member = (ids[row], digests[row].as_py())
+                own[row] = member not in sent
+                sent.add(member)
+            yield out.filter(pa.array(own))
 
     texts = docs.join(members.hint("shuffle_hash"), "id").mapInArrow(
         sets, "id long, group long, weight long, blocks int, shingles binary"

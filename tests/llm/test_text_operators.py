@@ -314,6 +314,28 @@ def test_many_near_copies(spark, monkeypatch, limits):
     assert sorted((r.id, r.group, r.n_links) for r in got) == sorted(groups_of(rows))
 
 
+def test_links_of_repeated_rows(spark):
+    rng = random.Random(3)
+    base = prose(rng, 120)
+    rows = [(1, base), (1, base), (2, base + " neu"), (3, prose(rng, 50)), (4, base), (4, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = chosen_path.similar_groups(docs).collect()
+    assert sorted((r.id, r.group, r.n_links) for r in got) == [
+        (1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 3, 0), (4, 1, 4), (4, 1, 4)]
+
+
+def test_links_beside_empty_blocks(spark, monkeypatch):
+    """Two long texts a cluster, in two blocks: often in one of them, so that the other is empty."""
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 250)
+    rng = random.Random(4)
+    rows = []
+    for _ in range(8):
+        base = prose(rng, 200)
+        rows += [(len(rows), base), (len(rows) + 1, base + " neu")]
+    got = chosen_path.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.group, r.n_links) for r in got) == sorted(groups_of(rows))
+
+
 def test_expected_recall():
     assert chosen_path.expected_recall() > 0.999
 
