@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
+    bloom_dedup,
     chosen_path,
     decontamination,
     language_id,
@@ -184,3 +185,22 @@ def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op13_bloom_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return bloom_dedup.dedup_exact(documents(spark, d)).select(
+        F.col("id").alias("doc_id"),
+        "keep_id",
+        "group_size",
+        "kept",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+ORACLES["op13_bloom_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
