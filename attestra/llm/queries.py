@@ -18,7 +18,9 @@ from attestra.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    vector_codes,
     voronoi_knn,
+    whitening,
 )
 from attestra.llm.common import crc_remainder
 from attestra.sources.tables import read_table
@@ -187,6 +189,65 @@ def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op11_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(read_table(spark, d, "embeddings"), label=F.col("label"))
+    return coded.withColumnRenamed("id", "vec_id").withColumn(
+        "codebooks_sha256", F.lit(books.digest() if books else None).cast("string")
+    )
+
+
+def vector_codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Every round as two tables: the nearest entry of each part, the moved entries."""
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), pieces AS MATERIALIZED (
+  SELECT vec_id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS v
+  FROM kept, range({parts}) AS t(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v
+  FROM pieces WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(pieces.v) AS v,
+         min({{'d': list_sum(list_transform(list_zip(pieces.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best
+  FROM pieces JOIN book{i} b USING (p) GROUP BY vec_id, p
+)""")
+        if i < rounds:
+            steps.append(f"""
+book{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v FROM (
+      SELECT p, best.e AS e, place, sum(v[place]) AS s, count(*) AS n
+      FROM near{i}, range(1, 1 + len(v)) AS t(place) GROUP BY ALL
+    ) GROUP BY p, e
+  ) m USING (p, e)
+)""")
+    return "WITH" + ",".join(steps) + f"""
+, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v[place] AS VARCHAR), ',' ORDER BY p, e, place))
+        FROM book{rounds}, range(1, 1 + len(v)) AS t(place)) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+ORACLES["op11_vector_codes"] = vector_codes_sql(parts=8, entries=16, rounds=6, scale=4096)
+
+
+@query
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op13_bloom_dedup(spark: SparkSession, d: str) -> DataFrame:
     return bloom_dedup.dedup_exact(documents(spark, d)).select(
