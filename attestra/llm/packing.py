@@ -19,7 +19,7 @@ import unicodedata
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +27,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from attestra.llm.common import id_and_text, process_store, small_batches, text_slices
+from attestra.llm.common import (
+    BASE,
+    UNBASE,
+    id_and_text,
+    powers,
+    process_store,
+    small_batches,
+    text_slices,
+)
 
 SEGMENT = 1 << 18
 REPLANNED = 8
@@ -35,8 +43,9 @@ HARD_STEP = 256
 SENTENCE_PENALTY = 48
 HARD_PENALTY = 192
 WINDOW_COST = 8
-CACHED_CHUNKS = 400_000
-CACHED_WORDS = 300_000
+CACHED_PIECES = 600_000
+CACHED_LENGTH = 64
+TEXT_SLICE = 4 << 20
 
 
 def printable_bytes() -> dict[int, str]:
@@ -47,11 +56,58 @@ def printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordTokens(dict):
-    """Token ids (little-endian bytes) of blank-separated chunks, found once per chunk.
-
-    No token crosses a blank, so a text's ids are those of its chunks in a row. A chunk that is a
-    word with closing marks is split into both before the vocabulary is asked.
+# Code points below this bound need no composition, and one character lower-cases to one.
+PLAIN = 0x250
+SPACE, LETTER, NUMBER, OTHER, UNUSUAL = range(5)
+# The white space of the vocabulary's pattern below PLAIN, and its short forms.
+BLANKS = (*range(9, 14), 32, 0x85, 0xA0)
+SHORT_FORMS = ("s", "t", "m", "d", "re", "ve", "ll")
+
+
+def plain_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower-case code of every code point below PLAIN."""
+    kinds = np.full(PLAIN + 1, OTHER, np.uint8)
+    lower = np.arange(PLAIN + 1, dtype=np.uint32)
+    for code in range(PLAIN):
+        low = chr(code).lower()
+        category = unicodedata.category(chr(code))[0]
+        if len(low) != 1:
+            kinds[code] = UNUSUAL
+            continue
+        lower[code] = ord(low)
+        kinds[code] = {"L": LETTER, "N": NUMBER}.get(category, OTHER)
+    kinds[list(BLANKS)] = SPACE
+    kinds[PLAIN] = UNUSUAL
+    return kinds, lower
+
+
+class TwoGenerations:
+    """A bounded cache: what is asked for stays, what is not goes with the older half."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def values(self, keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
+        """The value of every key; ``make`` is called for those not known."""
+        found = list(map(self.young.get, keys))
+        for place in [i for i, value in enumerate(found) if value is None]:
+            key = keys[place]
+            value = self.old.get(key)
+            found[place] = value = make(key) if value is None else value
+            if len(key) <= CACHED_LENGTH:
+                if len(self.young) >= self.limit:
+                    self.old, self.young = self.young, {}
+                self.young[key] = value
+        return found
+
+
+class WordTokens:
+    """Token ids (unsigned, little-endian) of texts.
+
+    The vocabulary cuts a text into words, single digits, short forms and runs of marks; no token
+    crosses one of these pieces. All pieces of a slice of texts are found and hashed in numpy, each
+    distinct one is looked up once, and only pieces never met before reach the library. Texts with
+    characters outside the Latin blocks or with the vocabulary's special strings go to it whole.
     """
 
     def __init__(self, path: str):
@@ -59,8 +115,15 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.known = TwoGenerations(CACHED_PIECES)
         self.shown = printable_bytes()
+        self.kinds, self.lower = plain_tables()
+        self.codes = np.random.default_rng(7).integers(1, 2**63, PLAIN + 1, dtype=np.uint64) * np.uint64(2)
+        self.codes = self.codes[np.minimum(self.lower, PLAIN)] + np.uint64(1)
+        # A lower case beyond PLAIN belongs to one character below it.
+        far = np.flatnonzero(self.lower > PLAIN)
+        self.codes[far] += np.uint64(2) * far.astype(np.uint64)
+        self.codes[self.kinds == SPACE] = 0
         vocabulary = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, index in vocabulary.items():
@@ -68,46 +131,77 @@ class WordTokens(dict):
             if piece != core and core and set(core) <= set(".!?"):
                 self.sentence_end[index] = True
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHED_CHUNKS:
-            self.clear()
-        core = chunk.rstrip(".,!?;:")
-        if core.isalpha():
-            ids = self.of_word(core)
-            if len(core) < len(chunk):
-                ids += self[chunk[len(core) :]]
-        else:
-            ids = self.of_any(chunk)
-        self[chunk] = ids
-        return ids
-
-    def of_word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            if word.isascii():
-                shown = word.lower()
-            else:
-                normal = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-                if not normal.isalpha():
-                    return self.of_any(word)
-                shown = "".join([self.shown[b] for b in normal.encode()])
-            ids = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
-            self.words[word] = ids
-        return ids
-
-    def of_any(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            found = self.of_any(text)
+    def of_piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalnum() else "".join([self.shown[b] for b in piece.encode()])
+        return array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
+
+    def of_any(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def starts(self, kinds: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Where pieces begin."""
+        before = np.concatenate([[SPACE], kinds[:-1]])
+        begins = (kinds != SPACE) & ((kinds != before) | (kinds == NUMBER))
+        marks = np.flatnonzero(begins & (low == ord("'")))
+        marks = marks[marks + 1 < len(low)]
+        marks = marks[kinds[marks + 1] == LETTER]
+        for form in SHORT_FORMS:
+            fits = marks[marks + len(form) < len(low)]
+            for place, letter in enumerate(form, 1):
+                fits = fits[low[fits + place] == ord(letter)]
+            begins[fits + 1] = False
+            after = fits + 1 + len(form)
+            after = after[after < len(low)]
+            begins[after[kinds[after] == LETTER]] = True
+        return np.flatnonzero(begins)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        joined = "\n".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(lengths + 1) - 1
+        code = np.minimum(code, PLAIN).astype(np.uint16)
+        unusual = np.flatnonzero(self.kinds[code] == UNUSUAL)
+        odd = set(np.searchsorted(ends, unusual, "right").tolist())
+        if "<|" in joined:
+            odd |= {i for i, text in enumerate(texts) if "<|" in text}
+        for i in odd:
+            code[ends[i] - lengths[i] : ends[i]] = ord(" ")
+        kinds, low = self.kinds[code], self.lower[code]
+        starts = self.starts(kinds, low)
+        if len(starts):
+            flat, counts = self.of_pieces(code, kinds, low, starts)
         else:
-            if text.isascii():
-                text = text.lower()
-            found = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        return np.frombuffer(found, "<u4")
+            flat, counts = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        until = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, ends)]
+        found = np.split(flat, until[:-1])[: len(texts)]
+        for i in odd:
+            found[i] = self.of_any(texts[i])
+        return found
+
+    def of_pieces(
+        self, code: np.ndarray, kinds: np.ndarray, low: np.ndarray, starts: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each piece has."""
+        n = len(code)
+        terms = self.codes[code]
+        terms *= powers(BASE, n, "powers")
+        hashes = np.add.reduceat(terms, starts) * powers(UNBASE, n, "unpowers")[starts]
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        text = low.astype("<u4").tobytes().decode("utf-32-le")
+        begin = starts[first]
+        # A piece ends at a blank or where the next one begins.
+        stops = np.flatnonzero(kinds == SPACE)
+        blank = np.append(stops, n)[np.searchsorted(stops, begin)]
+        end = np.minimum(blank, np.append(starts, n)[first + 1])
+        pieces = [text[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        each = self.known.values(pieces, self.of_piece)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        offsets = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        places = np.repeat(offsets[which] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return np.frombuffer(b"".join(each), "<u4")[places], counts
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -118,15 +212,16 @@ def word_tokens(path: str) -> WordTokens:
 
 
 def candidates(
-    ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray
+    ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, hard_step: int = HARD_STEP
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may end and the penalty of cutting there. ``ends``: document ends."""
+    """Positions where a window may end and the penalty of cutting there. ``ends``: document ends.
+    No two neighbours are further apart than ``hard_step``."""
     known = np.minimum(ids, len(sentence_end) - 1)
     soft = np.flatnonzero(sentence_end[known]) + 1
     place = np.unique(np.concatenate([[0], soft, ends]))
     gaps = np.diff(place)
-    wide = np.flatnonzero(gaps > HARD_STEP)
-    hard = [np.arange(place[i] + HARD_STEP, place[i + 1], HARD_STEP) for i in wide]
+    wide = np.flatnonzero(gaps > hard_step)
+    hard = [np.arange(place[i] + hard_step, place[i + 1], hard_step) for i in wide]
     hard = np.concatenate(hard) if hard else np.zeros(0, np.int64)
     every = np.concatenate([place, hard])
     cost = np.concatenate(
@@ -138,21 +233,27 @@ def candidates(
     return every[order], cost[order]
 
 
-def free_starts(place: np.ndarray, size: int) -> list[list[int]]:
-    """For each boundary the earlier boundaries at a distance that is a power of two."""
-    found: list[list[int]] = [[] for _ in range(len(place))]
-    length = size
-    while length >= 1:
-        at = np.searchsorted(place, place - length)
-        for j in np.flatnonzero(place[np.minimum(at, len(place) - 1)] == place - length).tolist():
-            found[j].append(int(at[j]))
-        length //= 2
-    return found
+def free_starts(place: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """Earlier boundaries at a distance that needs no padding, ``size`` or a power of two: those of
+    boundary j are ``found[begin[j]:begin[j + 1]]``."""
+    index = np.full(place[-1] + 1, -1, np.int64)
+    index[place] = np.arange(len(place))
+    ends, starts = [], []
+    for length in {size, *(1 << k for k in range(size.bit_length()))}:
+        later = np.searchsorted(place, length)
+        at = index[place[later:] - length]
+        hit = np.flatnonzero(at >= 0)
+        ends.append(hit + later)
+        starts.append(at[hit])
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(ends, kind="stable")
+    begin = np.searchsorted(ends[order], np.arange(len(place) + 1))
+    return starts[order].tolist(), begin.tolist()
 
 
 def cheapest_cuts(place: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """Indexes of the boundaries that end windows, the last boundary included."""
-    free = free_starts(place, size)
+    free, begin = free_starts(place, size)
     at, fee = place.tolist(), penalty.tolist()
     best, came = [0] * len(at), [0] * len(at)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, index), increasing
@@ -161,7 +262,7 @@ def cheapest_cuts(place: np.ndarray, penalty: np.ndarray, size: int) -> list[int
         while at[queue[0][1]] < here - size:
             queue.popleft()
         value, start = queue[0][0] + size - here, queue[0][1]
-        for i in free[j]:
+        for i in free[begin[j] : begin[j + 1]]:
             if best[i] < value:
                 value, start = best[i], i
         value += fee[j] + WINDOW_COST
@@ -197,7 +298,7 @@ class Packer:
             return []
         ids = np.concatenate([tokens[done:] for _, tokens, done in self.docs])
         ends = np.cumsum([len(tokens) - done for _, tokens, done in self.docs])
-        place, penalty = candidates(ids, ends, self.sentence_end)
+        place, penalty = candidates(ids, ends, self.sentence_end, min(HARD_STEP, self.size))
         cuts = cheapest_cuts(place, penalty, self.size)
         if not final:
             cuts = cuts[:-REPLANNED]
@@ -251,9 +352,10 @@ def pack_documents(
                 arrays = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays(arrays, list(Packer.COLUMNS))
 
-        for batch in text_slices(batches):
-            for owner, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                packer.add(owner, np.concatenate([words.ids(text or ""), end]))
+        for batch in text_slices(batches, most=TEXT_SLICE):
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for owner, found in zip(batch.column("id").to_pylist(), words.ids(texts)):
+                packer.add(owner, np.concatenate([found, end]))
                 yield from arrow(packer.pieces(final=False))
         yield from arrow(packer.pieces(final=True))
 

@@ -257,6 +257,47 @@ def test_special_strings_and_empty(spark, empty):
     assert pieces_and_ids(empty, 4096)[0] == []
 
 
+def test_ids_equal_the_library():
+    words = packing.WordTokens(vocabulary_path("word_bpe_49k.json"))
+    rng = random.Random(7)
+    marks = ["'", "'s", "'re", "'ll", "'tis", "''s", "'s's", ",'s", "'D", "don't", "I'M", "\x00", "\u0085", "\xa0",
+             "\x1c", "1²", "x" * 300, "ŉ", "ǅ", "İ", "é", "e\u0301", "Σ", "<|endoftext|>", "<|", "🙂", "\u2028"]
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 'S{chr(c)} {chr(c)}'t1" for c in range(0x260)]
+    texts += ["", "'", "'s", " '", "x '"]
+    texts += ["".join(rng.choice([*marks, " ", "\n", "a", "Zs", "9", "."]) for _ in range(30)) for _ in range(800)]
+    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for limit in (packing.CACHED_PIECES, 3):
+        words.known = packing.TwoGenerations(limit)
+        assert [x.tolist() for x in words.ids(texts)] == want
+        assert [x.tolist() for x in words.ids(texts)] == want
+        assert len(words.known.young) <= limit and len(words.known.old) <= limit
+    assert words.ids([]) == [] and [len(x) for x in words.ids(["", " ", ""])] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("size", [128, 3000, 1])
+def test_packing_into_other_sizes(odd, size):
+    rows, _ = pieces_and_ids(odd, size)
+    filled, padding = Counter(), 0
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    for total in filled.values():
+        assert total <= size
+        padding += 0 if total & (total - 1) == 0 else size - total
+    assert padding < 0.15 * sum(filled.values())
+    starts = {(r.id, r.doc_tokens): 0 for r in rows}
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0) and starts
+
+
+def test_free_starts_are_powers_of_two_and_the_size():
+    import numpy as np
+
+    place = np.array([0, 3, 4, 7, 8, 11, 12, 24])
+    found, begin = packing.free_starts(place, 12)
+    got = {(j, i) for j in range(len(place)) for i in found[begin[j] : begin[j + 1]]}
+    lengths = {1, 2, 4, 8, 12}
+    assert got == {(j, i) for j in range(len(place)) for i in range(j) if place[j] - place[i] in lengths}
+
+
 # ---- chosen path --------------------------------------------------------------------------------
 
 
