@@ -250,8 +250,11 @@ def ledger_heads(entries: DataFrame) -> DataFrame:
     )
 
 
-def with_previous_id(entries: DataFrame, bucket_rows: int = VERIFY_BUCKET_ROWS) -> DataFrame:
-    """Add ``_expected_previous``: the id of the preceding row of the same ledger.
+def with_previous_id(
+    entries: DataFrame, bucket_rows: int = VERIFY_BUCKET_ROWS, start: Column | None = None
+) -> DataFrame:
+    """Add ``_expected_previous``: the id of the preceding row of the same ledger; ``start``, or the
+    genesis hash, for a ledger's first row.
 
     A ledger is cut into sequence ranges that are ordered in parallel; the first row of a range
     takes the last id of the range before it from a table with one row per range.
@@ -269,7 +272,8 @@ def with_previous_id(entries: DataFrame, bucket_rows: int = VERIFY_BUCKET_ROWS)
         bucketed.withColumn("_lagged", F.lag("id").over(inside))
         .join(starts, ["ledger_id", "_bucket"], "left")
         .withColumn(
-            "_expected_previous", F.coalesce("_lagged", "_carried", F.lit(GENESIS_HASH))
+            "_expected_previous",
+            F.coalesce("_lagged", "_carried", F.lit(GENESIS_HASH) if start is None else start),
         )
         .drop("_lagged", "_carried")
     )
@@ -279,6 +283,7 @@ def row_problems(
     entries: DataFrame,
     signature_valid: Column | None = None,
     bucket_rows: int = VERIFY_BUCKET_ROWS,
+    start: Column | None = None,
 ) -> DataFrame:
     """Every row with its ``problem`` (null when sound), checks in fixed order.
 
@@ -286,7 +291,7 @@ def row_problems(
     """
     expected = F.col("_expected_previous")
     payload = canonical_payload(F.col("previous_hash"), F.col("sequence"))
-    linked = with_previous_id(entries, bucket_rows).withColumn("_payload", payload)
+    linked = with_previous_id(entries, bucket_rows, start).withColumn("_payload", payload)
     signed = (F.length(F.coalesce("signature", F.lit(""))) > 0) if signature_valid is None \
         else signature_valid
     reason = "signature missing" if signature_valid is None else "signature mismatch"
@@ -309,9 +314,10 @@ def verify_entries(
     entries: DataFrame,
     signature_valid: Column | None = None,
     bucket_rows: int = VERIFY_BUCKET_ROWS,
+    start: Column | None = None,
 ) -> DataFrame:
     """One row per ledger: sound or not, rows before the first bad one, its sequence and reason."""
-    checked = row_problems(entries, signature_valid, bucket_rows)
+    checked = row_problems(entries, signature_valid, bucket_rows, start)
     bad = F.col("problem").isNotNull()
     inside = Window.partitionBy("ledger_id", "_bucket")
     first = F.min(F.when(bad, F.col("sequence"))).over(inside)
@@ -341,6 +347,42 @@ def verify_entries(
     )
 
 
+def verify_after(
+    entries: DataFrame,
+    marks: DataFrame,
+    signature_valid: Column | None = None,
+    bucket_rows: int = VERIFY_BUCKET_ROWS,
+) -> DataFrame:
+    """``verify_entries`` of the rows behind each ledger's mark, which continue from the marked id.
+
+    ``marks``: ``ledger_id, last_sequence, last_id`` of what was verified before. Rows up to a mark
+    are not looked at again; a ledger without new rows is sound with none checked, one without a mark
+    is verified from its beginning.
+    """
+    known = marks.select(
+        "ledger_id", F.col("last_sequence").alias("_mark"), F.col("last_id").alias("_mark_id")
+    )
+    fresh = entries.join(known, "ledger_id", "left").filter(
+        F.col("_mark").isNull() | (F.col("sequence") > F.col("_mark"))
+    )
+    start = F.coalesce("_mark_id", F.lit(GENESIS_HASH))
+    verdicts = verify_entries(fresh, signature_valid, bucket_rows, start)
+    return known.select("ledger_id").join(verdicts, "ledger_id", "full_outer").select(
+        "ledger_id",
+        F.coalesce("ok", F.lit(True)).alias("ok"),
+        F.coalesce("checked_rows", F.lit(0)).alias("checked_rows"),
+        "first_invalid_sequence",
+        "reason",
+    )
+
+
+def moved_marks(entries: DataFrame, marks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Marks after a verification: sound ledgers are marked at their last row, others stay."""
+    sound = verdicts.filter("ok").select("ledger_id")
+    heads = ledger_heads(entries).join(sound, "ledger_id", "left_semi")
+    return heads.unionByName(marks.join(heads, "ledger_id", "left_anti"))
+
+
 def window_entries(
     entries: DataFrame, since_ms: int, until_ms: int, exclude: tuple[str, ...] = ()
 ) -> DataFrame:

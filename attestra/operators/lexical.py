@@ -15,6 +15,7 @@ query weights, broadcast or salted by term, and aggregates by (chunk, query).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -154,15 +155,20 @@ def bucketed_vocabulary(wanted: DataFrame, buckets: int = VOCABULARY_BUCKETS) ->
 
 
 def restrict_terms(
-    frame: DataFrame, column: str, wanted: DataFrame, buckets: int = VOCABULARY_BUCKETS
+    frame: DataFrame,
+    column: str,
+    wanted: DataFrame,
+    buckets: int = VOCABULARY_BUCKETS,
+    term: Callable[[Column], Column] = lambda item: item,
 ) -> DataFrame:
-    """Keep only asked terms of an array column; each term is compared with its own slot alone."""
-    kept = F.filter(
-        column,
-        lambda t: F.array_contains(
-            F.get(F.col("_vocabulary"), F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")), t
-        ),
-    )
+    """Keep only items of an array column whose ``term`` is asked; each term is compared with its
+    own slot alone."""
+
+    def asked(t: Column) -> Column:
+        slot = F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
+        return F.array_contains(F.get(F.col("_vocabulary"), slot), t)
+
+    kept = F.filter(column, lambda item: asked(term(item)))
     # The optimizer folds the helper column into the filter, so it is never stored with a row.
     return (
         frame.withColumn("_vocabulary", bucketed_vocabulary(wanted, buckets))
@@ -275,7 +281,11 @@ def lexical_candidates(
 ) -> DataFrame:
     """Both lexical rankings: ``query_id, method, rank, chunk_id, source_path, score``."""
     given = scoring_input(chunks, queries, broadcast_rows)
-    lowest = lowest_chunks(given.postings, k, _whole_row())
+    return filled_candidates(given, lowest_chunks(given.postings, k, _whole_row()), queries, k)
+
+
+def filled_candidates(given: ScoringInput, lowest: Column, queries: DataFrame, k: int) -> DataFrame:
+    """Both rankings of every chunk; ``lowest``: as in ``rank_with_fill``."""
     lists = ranked_lists(given, k).filter(F.col("method") != BEST)
     return rank_with_fill(lists, lowest, queries, [DENSE, BM25], k)
 
@@ -304,7 +314,10 @@ def citable_lists(
     chunk also clears the coverage bound. So ranks of citable chunks equal those of the full lists,
     while chunks that share only common words are dropped before any sort.
     """
-    given = scoring_input(chunks, queries, broadcast_rows)
+    return citable_of(scoring_input(chunks, queries, broadcast_rows), k)
+
+
+def citable_of(given: ScoringInput, k: int = CANDIDATE_LIMIT) -> DataFrame:
     return ranked_lists(given, k, EvidenceBound().coverage)
 
 

@@ -30,7 +30,7 @@ def _ordered_digest(path: Column, digest: Column) -> Column:
     return hashing.sha256_hex(F.array_join(F.transform(ordered, lambda x: x["d"]), "|"))
 
 
-def _tree_digest(keyed: DataFrame) -> DataFrame:
+def tree_digest(keyed: DataFrame) -> DataFrame:
     """``base_hash`` of ``key, digest``: a hash per bucket of keys, then one over the buckets."""
     bucket = F.substring(F.sha2("key", 256), 1, DIGEST_BUCKET_DIGITS)
     leaves = keyed.groupBy(bucket.alias("bucket")).agg(
@@ -72,7 +72,7 @@ def corpus_digest(revisions: DataFrame, kind: str = TREE) -> DataFrame:
         F.col("source_path").alias("key"), F.col("content_sha256").alias("digest")
     )
     if _known_kind(kind) == TREE:
-        digest = _tree_digest(keyed)
+        digest = tree_digest(keyed)
     else:
         digest = _streamed_hash(keyed.withColumnRenamed("digest", "part"), "", "|", "")
     return digest.withColumn("digest_kind", F.lit(kind))
@@ -224,7 +224,7 @@ def fixture_corpus_hash(chunks: DataFrame, kind: str = TREE) -> DataFrame:
     keyed = chunks.select(F.col("chunk_id").alias("key"), F.sha2(entry, 256).alias("digest"))
     count = chunks.agg(F.count(F.lit(1)).cast("string").alias("n")).scalar()
     manifest = F.concat(F.lit('{"chunkCount":'), count, F.lit(',"chunks":"'), "base_hash", F.lit('"}'))
-    return _tree_digest(keyed).select(hashing.sha256_hex(manifest).alias("corpus_hash"))
+    return tree_digest(keyed).select(hashing.sha256_hex(manifest).alias("corpus_hash"))
 
 
 def provenance(sources: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from attestra.sources.stores import LedgerStore
+from attestra.sources.ledger_store import LedgerStore
 
 
 def append_stream(
@@ -13,8 +13,8 @@ def append_stream(
 ) -> DataStreamWriter:
     """A writer that appends every micro-batch under its own number.
 
-    A micro-batch that is retried after a failure overwrites its own folder, so each input row is
-    chained exactly once.
+    A micro-batch that is retried after its commit is left as it is, one that failed before it is
+    staged anew, so each input row is chained exactly once.
     """
 
     def write(batch: DataFrame, number: int) -> None:

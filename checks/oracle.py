@@ -519,6 +519,50 @@ SELECT query_id, chunk_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
 FROM merged JOIN opened USING (query_id) QUALIFY rank <= 8"""
 
+# ---- stored snapshots ---------------------------------------------------------------------------
+
+
+def stored_corpus(sequence: int, where: str) -> str:
+    """The chunks an ingest stores, with the ids of its own snapshot."""
+    rev = REV.replace("FROM documents)", f"FROM documents WHERE {where})")
+    base = tree_sql("rev", "source_path", "content_sha256")
+    snap = stable("snap", quoted(str(sequence)), "base_hash")
+    chunk = stable("chunk", "snap_id", "source_path", "i", "sha256(chunk_text)")
+    return f"""{rev},
+{TOK},
+{WIN},
+snap AS (SELECT {snap} AS snap_id, base_hash FROM ({base})),
+chunks AS (SELECT source_path, i AS chunk_index, chunk_text, {chunk} AS chunk_id FROM win, snap),
+{QUESTIONS}"""
+
+
+NEWER, OLDER = stored_corpus(2, "true"), stored_corpus(1, "lang = 'en'")
+
+
+def stored_listing(sequence: int, where: str) -> str:
+    return f"""SELECT {sequence} AS sequence, * FROM (
+  WITH {stored_corpus(sequence, where)} SELECT any_value(snap_id) AS id,
+    sha256(any_value(base_hash) || ':' || count(*)) AS snapshot_hash, 'active' AS status,
+    (SELECT count(*) FROM rev) AS document_count, count(*) AS chunk_count FROM chunks, snap)"""
+
+
+ORACLES["stored_snapshots_listing"] = (
+    stored_listing(1, "lang = 'en'") + " UNION ALL " + stored_listing(2, "true")
+)
+ORACLES["stored_retrieval"] = f"""
+WITH {NEWER}, {TERMS}, {BM25}, {LEXICAL_DENSE}, {FUSION}
+SELECT query_id, rank, chunk_id, score, evidence FROM cited"""
+ORACLES["stored_older_retrieval"] = f"""
+WITH {OLDER}, {TERMS}, {BM25}, {LEXICAL_DENSE}, {FUSION}
+SELECT query_id, rank, chunk_id, score, evidence FROM cited"""
+ORACLES["stored_served_retrieval"] = ORACLES["served_retrieval"].replace(CORPUS, NEWER)
+ORACLES["stored_chunks"] = f"""
+WITH {stored_corpus(2, 'true')}, r AS ({ORACLES["chunk_records"]}),
+n AS (SELECT count(*) AS n FROM chunks)
+SELECT c.chunk_id, source_path, chunk_index, char_start, char_end, chunk_sha256,
+  snap_id AS corpus_snapshot_id, sha256(base_hash || ':' || n) AS corpus_snapshot_hash
+FROM chunks c JOIN r USING (source_path, chunk_index), snap, n"""
+
 # ---- answers ------------------------------------------------------------------------------------
 
 ANSWERS = f"""evid AS (
@@ -674,6 +718,16 @@ SELECT ledger_id, kind = 0 OR n < 3 AS ok, CASE WHEN kind = 0 OR n < 3 THEN n EL
     WHEN 2 THEN 'previous hash mismatch' WHEN 3 THEN 'row hash mismatch'
     WHEN 4 THEN 'signature missing' END END AS reason FROM s"""
 
+_CUTOFF = f"epoch_ms(TIMESTAMP '{SINCE[:10]}')"
+ORACLES["ledger_verify_incremental"] = f"""
+WITH {INPUTS}, s AS (SELECT ledger_id, count(*) FILTER (timestamp_ms < {_CUTOFF}) AS n_before,
+  count(*) FILTER (timestamp_ms >= {_CUTOFF}) AS n_after, substr(ledger_id, 6)::BIGINT % 3 AS kind
+  FROM inputs GROUP BY ledger_id),
+v AS (SELECT *, n_after > 0 AND (kind = 2 OR kind = 1 AND n_before = 0) AS bad FROM s)
+SELECT ledger_id, NOT bad AS ok, CASE WHEN bad THEN 0 ELSE n_after END AS checked_rows,
+  CASE WHEN bad THEN (n_before + 1)::VARCHAR END AS first_invalid_sequence,
+  CASE WHEN bad THEN 'canonical payload mismatch' END AS reason FROM v"""
+
 _window = (
     f"timestamp_ms BETWEEN epoch_ms(TIMESTAMP '{SINCE[:10]}') AND epoch_ms(TIMESTAMP '{UNTIL[:10]}')"
 )

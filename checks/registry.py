@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,10 @@ from attestra.functions.time import epoch_ms
 from attestra.operators import chunking, dense, evaluation, generation, ledger, lexical
 from attestra.operators import limits, replay, report, served, snapshots
 from attestra.operators.embedding import hash_embedding
-from attestra.plans import answering, retrieval
-from attestra.session import cut_lineage
+from attestra.plans import answering, retrieval, stored
+from attestra.session import checkpoint_directory, cut_lineage
 from attestra.sources import fixtures
+from attestra.sources.snapshot_store import SnapshotStore
 from attestra.sources.tables import read_table, read_text_table
 from checks.constants import (
     ALLOWED_HOSTS,
@@ -586,6 +588,64 @@ def served_retrieval(spark, d):
     return found.evidence.select("query_id", "rank", "chunk_id", "score")
 
 
+# ---- stored snapshots ---------------------------------------------------------------------------
+
+
+STORES: dict[tuple[str, str], SnapshotStore] = {}
+
+
+def snapshot_store(spark: SparkSession, d: str) -> SnapshotStore:
+    """A store in the shared folder with two ingests: English documents, then all of them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in STORES:
+        store = SnapshotStore(spark, f"{checkpoint_directory(spark)}/store-{uuid.uuid4().hex}")
+        found = documents(spark, d)
+        for part in (found.filter(F.col("lang") == "en"), found):
+            store.ingest(chunking.revisions_from_documents(part), dimension=SERVED_DIMENSION)
+        STORES[key] = store
+    return STORES[key]
+
+
+@query
+def stored_snapshots_listing(spark, d):
+    return snapshot_store(spark, d).snapshots().select(
+        "sequence", "id", "snapshot_hash", "status", "document_count", "chunk_count"
+    )
+
+
+@query
+def stored_chunks(spark, d):
+    """Chunk records of the active snapshot as they were stored."""
+    return snapshot_store(spark, d).open().chunks().select(
+        "chunk_id", "source_path", "chunk_index", "char_start", "char_end", "chunk_sha256",
+        "corpus_snapshot_id", "corpus_snapshot_hash",
+    )
+
+
+@query
+def stored_retrieval(spark, d):
+    """Cited evidence from stored postings of the active snapshot."""
+    found = stored.retrieve_stored(snapshot_store(spark, d).open(), questions(spark, d))
+    return found.evidence.select("query_id", "rank", "chunk_id", "score", "evidence")
+
+
+@query
+def stored_older_retrieval(spark, d):
+    """The same from the older snapshot; nothing of the newer one shows."""
+    store = snapshot_store(spark, d)
+    older = store.snapshots().filter("sequence = 1").first()["id"]
+    found = stored.retrieve_stored(store.open(older), questions(spark, d))
+    return found.evidence.select("query_id", "rank", "chunk_id", "score", "evidence")
+
+
+@query
+def stored_served_retrieval(spark, d):
+    """Stored vectors, all cells probed, and stored positions."""
+    corpus = snapshot_store(spark, d).open()
+    found = stored.retrieve_served_stored(corpus, questions(spark, d), probes=corpus.cells().count())
+    return found.evidence.select("query_id", "rank", "chunk_id", "score")
+
+
 # ---- answers ------------------------------------------------------------------------------------
 
 
@@ -717,6 +777,30 @@ def ledger_verify_tampered(spark, d):
     return verdicts(tampered_entries(spark, d))
 
 
+@query
+def ledger_verify_incremental(spark, d):
+    """Rows behind a mark only. Two kinds of tampering: at a ledger's beginning, which a mark hides,
+    and at the first row behind the mark, which is found."""
+    cutoff, _ = report.parse_window(SINCE, UNTIL)
+    inputs = event_inputs(spark, d)
+    order = ["timestamp_ms", "event_id"]
+    before = ledger.append_entries(inputs.filter(F.col("timestamp_ms") < cutoff), order)
+    marks = cut_lineage(ledger.ledger_heads(before))
+    after = ledger.append_entries(inputs.filter(F.col("timestamp_ms") >= cutoff), order, marks)
+    entries = before.unionByName(after).withColumn("signature", F.substring("id", 1, 16))
+    kind = F.pmod(F.substring("ledger_id", 6, 20).cast("bigint"), F.lit(3))
+    first = entries.join(
+        marks.select("ledger_id", (F.col("last_sequence") + 1).alias("_fresh")), "ledger_id", "left"
+    )
+    at = F.when(kind == 1, F.lit(1)).otherwise(F.coalesce("_fresh", F.lit(1)))
+    changed = ledger.tampered(
+        first, (kind > 0) & (F.col("sequence") == at), {"outcome": F.lit("provider-error")}
+    ).drop("_fresh")
+    return ledger.verify_after(changed, marks).select(
+        "ledger_id", "ok", "checked_rows", as_text("first_invalid_sequence"), "reason"
+    )
+
+
 @query
 def ledger_window(spark, d):
     start, end = report.parse_window(SINCE, UNTIL)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from attestra.functions import canonical_json as J
 from attestra.operators import report
 from attestra.plans import providers, reporting
-from attestra.sources.stores import LedgerStore
+from attestra.sources.ledger_store import LedgerStore
 from tests.test_ledger import inputs
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from attestra.functions import ed25519
 from attestra.operators import ledger
 from attestra.sources import corpus_files, fixtures, json_lines
-from attestra.sources.stores import LedgerStore, SnapshotStore
+from attestra.sources.ledger_store import LedgerStore, sealed_digest
+from attestra.sources.snapshot_store import SnapshotStore
 from attestra.streaming.ledger_sink import append_stream
 from attestra.streaming.limiter import attempt_stream
 from tests import model
@@ -143,8 +144,8 @@ def test_ingest_life_cycle(spark, tmp_path):
     texts = {r["chunk_text"] for r in store.chunks(two.snapshot_id).collect()}
     assert texts == {"a b c d e", "second text, revised"}
     assert {r["corpus_snapshot_id"] for r in store.chunks(one.snapshot_id).collect()} == {one.snapshot_id}
-    plan = store.chunks(two.snapshot_id)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(corpus_snapshot_id" in plan
+    attempts = {r["id"]: r["attempt"] for r in store.snapshots().collect()}
+    assert all(attempts[two.snapshot_id] in f for f in store.chunks(two.snapshot_id).inputFiles())
 
 
 SEED = bytes(range(32))
@@ -155,7 +156,7 @@ def test_ledger_store(spark, tmp_path):
     everything = inputs(spark, 9, 2)
     assert store.append(everything.filter("n < 4"), ["n"]) == 0
     assert store.append(everything.filter("n >= 4"), ["n"]) == 1
-    # The same batch again replaces itself.
+    # A batch that is committed stays as it is.
     store.append(everything.filter("n >= 4"), ["n"], batch=1)
     entries = store.entries()
     assert entries.count() == 9
@@ -164,12 +165,17 @@ def test_ledger_store(spark, tmp_path):
     assert all(r["ok"] for r in store.verify().collect())
     some = entries.first()["id"]
     assert store.find(some).count() == 1
-    with pytest.raises(ValueError):
-        store.append(everything, ["n"], batch=0)
+    assert store.append(everything, ["n"], batch=0) == 0 and store.entries().count() == 9
     forged = LedgerStore(spark, store.path, bytes(32))
     assert {r["reason"] for r in forged.verify().collect()} == {"signature mismatch"}
-    manifest = store.export_sealed(str(tmp_path / "out"), 1002, 1007, ("report.generated",))
+    manifest = store.export_sealed(str(tmp_path / "out"), 1002, 1007, ("report.generated",), seal_rows=2)
     assert manifest["rowCount"] == 4 and manifest["privateKeysIncluded"] is False
+    assert sealed_digest(spark, str(tmp_path / "out"), 2) == manifest["ledgerSha256"]
+    assert sealed_digest(spark, str(tmp_path / "out"), 3) != manifest["ledgerSha256"]
+    ranges = spark.read.parquet(str(tmp_path / "out" / "ranges")).collect()
+    assert sum(r["rows"] for r in ranges) == 4 and max(r["rows"] for r in ranges) <= 2
+    again = store.export_sealed(str(tmp_path / "again"), 1002, 1007, ("report.generated",), seal_rows=2)
+    assert again == manifest
     body = spark.read.text(str(tmp_path / "out" / "manifest")).first()[0]
     import base64
     signature = base64.b64decode(spark.read.text(str(tmp_path / "out" / "signature")).first()[0])
