@@ -1,8 +1,9 @@
 """Attempt windows, write limits, sessions and challenges over event logs.
 
 Windows start at the first event of a key, not on the clock, so each decision depends on earlier
-ones. Long keys are cut where they must restart anyway (a gap of a whole window) and rows stream
-through a task with constant state per key; validity look-backs are bounded and cut by time.
+ones. Attempt windows compose pointers over time ranges (``anchored``). Write limits cut long scopes
+where they must restart anyway (a gap of a whole window) and stream with constant state per scope;
+validity look-backs are bounded and cut by time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from attestra.operators.anchored import RANGE_WINDOWS, anchored_windows
 from attestra.operators.topk import default_fanout, top_k
 
 # Limits and lifetimes in milliseconds.
@@ -83,55 +85,19 @@ def quiet_segments(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
     )
 
 
-def _attempts(key: str, window_ms: int, limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start, used = None, 0, 0
-        for batch in batches:
-            starts, counts, allowed = [], [], []
-            for name, segment, now in zip(
-                batch[key], batch["_segment"], batch["ts_ms"], strict=True
-            ):
-                fresh = (name, segment) != current
-                if fresh or now - start >= window_ms:
-                    current, start, used = (name, segment), now, 0
-                ok = used < limit
-                # A rejected attempt is not stored and leaves the window as it was.
-                used += ok
-                starts.append(start)
-                counts.append(used if ok else used + 1)
-                allowed.append(ok)
-            yield batch.drop(columns=["_segment"]).assign(
-                window_start_ms=starts, attempt=counts, allowed=allowed
-            )
-
-    return run
-
-
 def attempt_windows(
     events: DataFrame,
     key: str,
     window_ms: int = ATTEMPT_WINDOW_MS,
     limit: int = MAX_ATTEMPTS,
     order: tuple[str, ...] = (),
+    range_windows: int = RANGE_WINDOWS,
 ) -> DataFrame:
     """Fixed windows anchored at a key's first event: start, attempt number and verdict.
 
     ``events`` carries the key and ``ts_ms``; ``order`` breaks ties of equal times.
     """
-    segmented = quiet_segments(events, key, window_ms)
-    ready = segmented.repartition(key, "_segment").sortWithinPartitions(
-        key, "_segment", "ts_ms", *order
-    )
-    fields = [S.StructField(f.name, f.dataType) for f in events.schema.fields]
-    fields += [
-        S.StructField("window_start_ms", S.LongType()),
-        S.StructField("attempt", S.IntegerType()),
-        S.StructField("allowed", S.BooleanType()),
-    ]
-    columns = [*events.columns, "_segment"]
-    return ready.select(*columns).mapInPandas(
-        _attempts(key, window_ms, limit), S.StructType(fields)
-    )
+    return anchored_windows(events, key, window_ms, limit, order, range_windows)
 
 
 def admitted(

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import limits
 from tests import model
@@ -15,16 +16,37 @@ def events(spark, seed, n=400, keys=3, span=4000, hot=0.5):
     return rows, spark.createDataFrame(rows, "event_id int, k int, client int, ts_ms bigint")
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_attempt_windows(spark, seed):
+@pytest.mark.parametrize("seed, ranges", [(0, 256), (1, 1), (2, 2), (3, 5)])
+def test_attempt_windows(spark, seed, ranges):
     rows, frame = events(spark, seed)
     got = {r["event_id"]: r for r in limits.attempt_windows(
-        frame, "k", window_ms=100, limit=3, order=("event_id",)).collect()}
+        frame, "k", window_ms=100, limit=3, order=("event_id",), range_windows=ranges).collect()}
     want = model.attempts([(k, t) for _, k, _, t in rows], 100, 3)
     assert [got[i]["allowed"] for i in range(len(rows))] == want
     assert all(g["attempt"] == 4 for g in got.values() if not g["allowed"])
 
 
+def test_a_key_that_never_pauses_is_spread_over_ranges(spark):
+    # Every millisecond but some, so the windows' phase is never lost; one key is null.
+    times = [t for t in range(3000) if t % 7 and t % 11]
+    rows = [(i, k, t) for i, (k, t) in enumerate([(k, t) for k in (None, 4) for t in times for _ in range(1 + t % 2)])]
+    frame = spark.createDataFrame(rows, "event_id int, k int, ts_ms bigint").repartition(4)
+    out = limits.attempt_windows(frame, "k", window_ms=20, limit=9, order=("event_id",), range_windows=4)
+    got = {r["event_id"]: (r["window_start_ms"], r["attempt"], r["allowed"]) for r in out.collect()}
+    start, used, before = None, 0, object()
+    for i, k, t in rows:
+        if k != before or t - start >= 20:
+            before, start, used = k, t, 0
+        used += 1
+        assert got[i] == (start, min(used, 10), used <= 9), (i, k, t)
+    # Small partitions would be merged into one.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    busy = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(busy) > 1 and max(r["count"] for r in busy) < 0.6 * len(rows)
+    assert limits.attempt_windows(frame.limit(0), "k").collect() == []
+
+
 def test_the_sixth_attempt_is_refused_and_the_window_ends_inclusively(spark):
     frame = spark.createDataFrame(
         [(i, 1, i) for i in range(6)] + [(6, 1, limits.ATTEMPT_WINDOW_MS)],
