@@ -43,9 +43,9 @@ HARD_STEP = 256
 SENTENCE_PENALTY = 48
 HARD_PENALTY = 192
 WINDOW_COST = 8
-CACHED_PIECES = 600_000
+CACHED_PIECES = 250_000
 CACHED_LENGTH = 64
-TEXT_SLICE = 4 << 20
+TEXT_SLICE = 2 << 20
 
 
 def printable_bytes() -> dict[int, str]:
