@@ -1,11 +1,14 @@
 """Licence texts and notices, found through a positional index of rare words.
 
 Inverse document frequencies of all template words are counted over the whole corpus. A notice counts
-only with the mandatory key phrase of its template, so each template is looked up by the rarest word
-of that phrase, whose place in a file says where the phrase would begin. Where it does, the template
-is aligned at every start whose window holds the phrase, and the best alignment is the match. Fixed
-phrases are templates whose words must all stand in a row. Words are compared by 64-bit hash while
-searching and by their bytes at the end.
+only with the mandatory key phrase of its template, so the index holds the rarest words of each phrase
+(``ROOTS``) with their positions in it. A file is looked up by the licence words it has, those of highest
+inverse document frequency first; the postings of a template's words are intersected by relative
+position, that is by the place where the phrase would begin, and a template whose words do not agree on
+one goes no further. All words of a phrase are required, so nothing is lost. Where the whole phrase
+stands, the template is aligned at every start whose window holds it, and the best alignment is the
+match. Fixed phrases are templates whose words must all stand in a row. Words are compared by 64-bit
+hash while searching and by their bytes at the end.
 
 Defined results: null or empty texts have no words, labels or places. Repeated ids are judged row by
 row. An empty table gives an empty result.
@@ -46,6 +49,7 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced", "all rights reserved"),
 )
 
+ROOTS = 3
 SLACK = 3
 COVERAGE = 0.6
 
@@ -78,44 +82,58 @@ def document_frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int
 
 
 class Template:
-    def __init__(self, label: str, text: str, mandatory: str, frequency: dict[bytes, int], exact: bool):
+    def __init__(self, label: str, text: str, mandatory: str, exact: bool):
         self.label, self.exact = label, exact
         self.words = text.encode().split()
         self.mandatory = mandatory.encode().split()
-        # Necessary for a match, unlike the other words of a template.
-        self.anchor = min(self.mandatory, key=lambda word: (frequency.get(word, 0), word))
+
+    def roots(self, frequency: dict[bytes, int]) -> list[tuple[bytes, int]]:
+        """The rarest words of the mandatory phrase, rarest first, with a position of each."""
+        order = sorted(set(self.mandatory), key=lambda word: (frequency.get(word, 0), word))
+        return [(word, self.mandatory.index(word)) for word in order[:ROOTS]]
 
 
 class Index:
-    """Postings of the anchors: hash to (template, position in its mandatory phrase)."""
+    """Postings of the roots of all templates: word to templates and positions in their phrases."""
 
-    def __init__(self, templates: list[Template]):
+    def __init__(self, templates: list[Template], frequency: dict[bytes, int]):
         self.templates = templates
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for number, template in enumerate(templates):
-            position = template.mandatory.index(template.anchor)  # so each place of a phrase is met once
-            postings.setdefault(int(hash_words([template.anchor])[0]), []).append((number, position))
-        self.rare = np.array(sorted(postings), np.uint64)
-        self.postings = [postings[int(h)] for h in self.rare]
-
-    def candidates(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(template, row, word where its mandatory phrase would begin) for every place of an anchor."""
+        roots = [template.roots(frequency) for template in templates]
+        self.rare = np.unique(hash_words(sorted({word for each in roots for word, _ in each})))
+        self.roots = [
+            [(int(np.searchsorted(self.rare, hash_words([word])[0])), position) for word, position in each]
+            for each in roots
+        ]
+
+    def candidates(self, words: Words) -> list[tuple[int, int, int]]:
+        """(row, word, template) wherever the roots of a template agree on the word at which its
+        mandatory phrase would begin; in reading order."""
         if not len(words.hash):
-            return
+            return []
         slot = np.minimum(np.searchsorted(self.rare, words.hash), len(self.rare) - 1)
         places = np.flatnonzero(self.rare[slot] == words.hash)
-        rows = np.searchsorted(words.bounds, places, side="right") - 1
-        for place, row, number in zip(places.tolist(), rows.tolist(), slot[places].tolist()):
-            for template, position in self.postings[number]:
-                yield template, row, place - position
+        order = np.argsort(slot[places], kind="stable")
+        bounds = np.searchsorted(slot[places][order], np.arange(len(self.rare) + 1))
+        found = []
+        for number, roots in enumerate(self.roots):
+            begins = None
+            for word, position in roots:
+                here = places[order[bounds[word] : bounds[word + 1]]] - position
+                begins = here if begins is None else np.intersect1d(begins, here, assume_unique=True)
+                if not len(begins):
+                    break
+            begins = begins[begins >= 0]
+            rows = np.searchsorted(words.bounds, begins, side="right") - 1
+            inside = begins + len(self.templates[number].mandatory) <= words.bounds[rows + 1]
+            begins, rows = begins[inside], rows[inside]
+            found += zip(rows.tolist(), begins.tolist(), [number] * len(begins))
+        return sorted(found)
 
     def verify(self, words: Words, template: Template, row: int, start: int) -> tuple | None:
         """(best share of the template found near a mandatory phrase, share, first and last word of
         the match around it) or None. ``start``: where the phrase begins."""
         low, high = int(words.bounds[row]), int(words.bounds[row + 1])
         size, phrase = len(template.words), template.mandatory
-        if start < low or start + len(phrase) > high:
-            return None
         if any(words.word(start + i) != word for i, word in enumerate(phrase)):
             return None
         if template.exact:
@@ -162,8 +180,9 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(
-            [Template(label, text, text, frequency, True) for text, label in PHRASES]
-            + [Template(*template, frequency, False) for template in TEMPLATES]
+            [Template(label, text, text, True) for text, label in PHRASES]
+            + [Template(*template, False) for template in TEMPLATES],
+            frequency,
         )
         for batch in text_slices(batches):
             words = Words(batch.column("text"))
@@ -171,7 +190,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 {"base": [], "base_labels": set(), "labels": set(), "score": 0.0, "matches": {}}
                 for _ in range(batch.num_rows)
             ]
-            for number, row, start in index.candidates(words):
+            for row, start, number in index.candidates(words):
                 template = index.templates[number]
                 match = index.verify(words, template, row, start)
                 if match is None:
@@ -226,5 +245,3 @@ ARROW = pa.schema(
         ),
     ]
 )
-
-
