@@ -79,13 +79,14 @@ def cluster(vectors: np.ndarray, wanted: int, rounds: int = 12) -> np.ndarray:
 
 
 class LanguageModel:
-    def __init__(self, texts: list[str], languages: list[str]):
+    def __init__(self, texts: list[str], languages: list[str], frequencies: np.ndarray, total: int):
+        """``frequencies``: in how many of ``total`` texts each hashed run occurs."""
         self.languages = sorted(set(languages))
         counts = np.concatenate(
             [ngram_counts(pa.array(texts[i : i + 64], pa.string())) for i in range(0, len(texts), 64)]
             or [np.zeros((0, DIMENSIONS), np.float32)]
         )
-        self.idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+        self.idf = np.log((1 + total) / (1 + frequencies)).astype(np.float32) + 1
         vectors, labels = self.vectors(counts), np.array(languages)
         rows = [cluster(vectors[labels == name], CENTROIDS) for name in self.languages]
         self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -112,13 +113,33 @@ class LanguageModel:
         return names, score, ~seen | (score < self.least[winner])
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each hashed run occurs, over all rows, and the number of rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(DIMENSIONS + 1, np.int64)
+        for batch in text_slices(batches):
+            for start in range(0, batch.num_rows, 64):
+                part = ngram_counts(batch.column("text").slice(start, 64))
+                counts[:-1] += (part > 0).sum(axis=0)
+                counts[-1] += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1)), pa.array(counts)], ["place", "n"])
+
+    found = np.zeros(DIMENSIONS + 1, np.int64)
+    for row in docs.select("text").mapInArrow(task, "place long, n long").groupBy("place").sum("n").collect():
+        found[row[0]] = row[1]
+    return found[:-1], int(found[-1])
+
+
 def train_language_model(docs: DataFrame) -> LanguageModel:
-    """``docs``: id, text, lang of the rows that may be learned from."""
+    """``docs``: id, text, lang of the rows that may be learned from. Frequencies are counted over all
+    of them, centroids fitted on the sample."""
     docs = docs.dropna()
+    frequencies, total = document_frequencies(docs)
     chosen = bounded_sample(docs.select("id", "lang"), "lang", SAMPLE_PER_LANGUAGE)
     sample = with_texts(chosen, docs.drop("lang"))
     model = LanguageModel.__new__(LanguageModel)
-    model.__dict__.update(fit_in_task(sample, lambda c: vars(LanguageModel(c["text"], c["lang"]))))
+    model.__dict__.update(fit_in_task(sample, lambda c: vars(LanguageModel(c["text"], c["lang"], frequencies, total))))
     return model
 
 
