@@ -3,8 +3,8 @@
 Every vector belongs to the cell of its nearest pivot. Summaries of the cells (rows, largest distance
 to the pivot) bound what a query can find there: ``q.p + |q| * r`` from above, ``q.p - |q| * r`` from
 below. The bounds, with the scores of the pivots themselves, give a score each query surely reaches
-k times; cells that cannot reach it are not visited. Queries are grouped by their own cell, and a
-cell's rows go only to groups that need them. Cells are cut into blocks of at most ``BLOCK`` rows and
+k times; cells that cannot reach it are not visited. Queries are grouped by their own cell, small groups
+of neighbouring cells together, and a cell's rows go only to groups that need them. Cells are cut into blocks of at most ``BLOCK`` rows and
 groups into chunks, so copies of one vector never meet in one task; block results are merged.
 
 Components become integers, so scores and ties are exact. Defined results: rows with a null id, a
@@ -112,6 +112,23 @@ def needed_cells(queries: DataFrame, pivot_ids: np.ndarray, pivots: np.ndarray,
     return queries.select("id", "v", "cell").mapInArrow(task, "id long, v array<long>, cell int, cells array<int>")
 
 
+def packed_homes(counts: dict[int, int], points: np.ndarray, most: int) -> dict[int, int]:
+    """Home cells to groups of about ``most`` queries; neighbours come after each other, as they need
+    much the same cells, so that those are sent once for all of them."""
+    rest = sorted(counts)
+    chain = [rest.pop(0)] if rest else []
+    while rest:
+        gaps = ((points[rest] - points[chain[-1]]).astype(float) ** 2).sum(axis=1)
+        chain.append(rest.pop(int(gaps.argmin())))
+    found, group, held = {}, 0, 0
+    for home in chain:
+        if held and held + counts[home] > most:
+            group, held = group + 1, 0
+        found[home] = group
+        held += counts[home]
+    return found
+
+
 def best_in_block(k: int):
     def solve(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         queries, ids = [], []
@@ -174,9 +191,16 @@ def knn_join(
             shares = [F.lit(x) for c, n in sorted(counts.items()) for x in (c, -(-n // most))]
             return F.create_map(*shares)[F.col("cell")] if shares else F.lit(1)
 
+        homes = packed_homes(groups, points, CHUNK)
+        packs: dict[int, int] = {}
+        for home, pack in homes.items():
+            packs[pack] = packs.get(pack, 0) + groups[home]
+        if homes:
+            pairs = [F.lit(x) for pair in sorted(homes.items()) for x in pair]
+            asked = asked.withColumn("cell", F.create_map(*pairs)[F.col("cell")])
         spot = F.xxhash64("id", F.lit(23))
         data = data.select("id", "v", "cell", F.pmod(spot, pieces({c: n for c, (n, _) in cells.items()}, BLOCK)).alias("block"))
-        asked = asked.withColumn("part", F.pmod(spot, pieces(groups, CHUNK))).withColumnRenamed("cell", "home")
+        asked = asked.withColumn("part", F.pmod(spot, pieces(packs, CHUNK))).withColumnRenamed("cell", "home")
         asked = asked.select("id", "v", "home", "part", F.explode("cells").alias("cell"))
         blocks = pieces({c: n for c, (n, _) in cells.items()}, BLOCK)
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
