@@ -14,7 +14,7 @@ block whose core is nowhere else has no repeated start; blocks with equal unions
 equal cores have different unions, one representative of each union goes to the next level, which
 cuts it into narrower blocks; at the last level a block is a single start and the verdict is exact.
 
-A start is known by document id, a check of the text, and position. Union names have 128 bits. Defined
+A start is known by document id (for a null id a hash of the text), a check of the text, and position. Union names have 128 bits. Defined
 results: a null or empty text has no bytes. Shorter texts than ``length`` lose nothing. Rows that repeat
 an id and its text hold the same strings twice and lose them. Null ids take part like others. Kept bytes
 need not be valid UTF-8. An empty table gives an empty result.
@@ -26,8 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import (
@@ -49,7 +48,7 @@ WIDTHS = (128, 16, 1)
 SECOND_BASE = (BASE * BASE * 5 + 8) % (1 << 64) | 5
 SECOND_UNBASE = pow(SECOND_BASE, -1, 1 << 64)
 SLICE = 1 << 20
-# Stands for a null id, which cannot be joined on.
+# Set in the hash of its text that stands for a null id, which cannot be joined on.
 NO_ID = -(1 << 63)
 
 BLOCKS = "core long, u1 long, u2 long, id long, check int, start int, size int, reach int"
@@ -131,8 +130,10 @@ def block_rows(found: dict[str, np.ndarray], ids: np.ndarray, checks: np.ndarray
     )
 
 
-def text_check(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) >> 1
+def text_check() -> Column:
+    """31 bits of the text, which tell rows of one id apart."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return F.shiftright(F.crc32(text), 1).cast("int")
 
 
 def document_blocks(docs: DataFrame, length: int) -> DataFrame:
@@ -151,7 +152,7 @@ def document_blocks(docs: DataFrame, length: int) -> DataFrame:
                 continue
             found = name_blocks(prints, start, sampled[start], row[start], WIDTHS[0], length)
             raw = data.tobytes()
-            checks = np.array([text_check(raw[a:b]) for a, b in zip(offsets, offsets[1:])])
+            checks = batch.column("check").to_numpy()
             owner = found["piece"]
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             yield block_rows(found, ids[owner], checks[owner], found["start"] - offsets[owner])
@@ -207,26 +208,24 @@ PIECES = "id long, check int, start int, size int, reach int, bytes binary"
 
 def cut_pieces(docs: DataFrame, closer: DataFrame, length: int) -> DataFrame:
     """The bytes of the blocks to look at, taken from their documents."""
-    wanted = closer.groupBy("id").agg(
-        F.collect_set(F.struct("check", "start", "size", "reach")).alias("parts")
-    )
+    wanted = closer.groupBy("id", "check").agg(F.collect_set(F.struct("start", "size", "reach")).alias("parts"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=SLICE):
             out = []
-            for owner, text, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "parts"))):
+            columns = (batch.column(c).to_pylist() for c in ("id", "check", "text", "parts"))
+            for owner, check, text, parts in zip(*columns):
                 raw = (text or "").encode()
-                check = text_check(raw)
                 out += [
-                    {**part, "id": owner, "bytes": raw[part["start"] : part["start"] + part["size"] + length - 1]}
+                    {**part, "id": owner, "check": check,
+                     "bytes": raw[part["start"] : part["start"] + part["size"] + length - 1]}
                     for part in parts
-                    if part["check"] == check
                 ]
             yield pa.RecordBatch.from_pylist(out, schema=ARROW_PIECES)
 
     # A row repeated as a whole has the pieces of one row.
     return (
-        docs.join(wanted.hint("shuffle_hash"), "id")
+        docs.join(wanted.hint("shuffle_hash"), ["id", "check"])
         .mapInArrow(task, PIECES)
         .dropDuplicates(["id", "check", "start", "size"])
     )
@@ -286,9 +285,13 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document row: id, kept (binary), n_bytes, n_removed, spans (byte ranges)."""
     small_batches(docs.sparkSession)
-    docs = id_and_text(docs, id_column, text_column).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+    docs = id_and_text(docs, id_column, text_column).withColumn("unnamed", F.col("id").isNull())
+    stand_in = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(NO_ID))
+    docs = docs.withColumns({"id": F.coalesce("id", stand_in), "check": text_check()})
     starts = repeated_starts(docs, length)
-    runs = starts.groupBy("id").agg(F.collect_list(F.struct("check", "start", "size")).alias("runs"))
+    # A group is one text: documents without an id, or that share one, do not meet here. Copies among
+    # them have the same runs.
+    runs = starts.groupBy("id", "check").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=SLICE):
@@ -298,11 +301,10 @@ def remove_repeats(
                 edges = np.zeros((0, 2), np.int64)
                 if runs.is_valid:
                     values = runs.values
-                    check, start, size = (values.field(i).to_numpy() for i in range(3))
-                    own = check == text_check(raw)
+                    start, size = (values.field(i).to_numpy() for i in range(2))
                     change = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(change, start[own], 1)
-                    np.add.at(change, start[own] + size[own] + length - 1, -1)
+                    np.add.at(change, start, 1)
+                    np.add.at(change, start + size + length - 1, -1)
                     covered = np.cumsum(change)[:-1] > 0
                     steps = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
                     edges = np.flatnonzero(steps).reshape(-1, 2)
@@ -313,15 +315,16 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("unnamed"),
                     pa.array(kept, pa.binary()),
                     pa.array(totals, pa.int64()),
                     pa.array([t - len(k) for t, k in zip(totals, kept)], pa.int64()),
                     pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 ],
-                ["id", "kept", "n_bytes", "n_removed", "spans"],
+                ["id", "unnamed", "kept", "n_bytes", "n_removed", "spans"],
             )
 
-    out = docs.join(runs.hint("shuffle_hash"), "id", "left").mapInArrow(
-        task, "id long, kept binary, n_bytes long, n_removed long, spans array<array<long>>"
+    out = docs.join(runs.hint("shuffle_hash"), ["id", "check"], "left").mapInArrow(
+        task, "id long, unnamed boolean, kept binary, n_bytes long, n_removed long, spans array<array<long>>"
     )
-    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+    return out.withColumn("id", F.when(~F.col("unnamed"), F.col("id"))).drop("unnamed")

@@ -184,6 +184,25 @@ def test_notices_without_words_the_corpus_lacks(spark):
     assert [(m["first"], m["last"]) for m in got[2]["matches"]] == [(0, 15), (16, 31)]
 
 
+def test_roots_must_agree_on_the_phrase():
+    import pyarrow as pa
+
+    templates = [license_scan.Template("x", "alpha beta gamma delta", "beta gamma delta", False)]
+    index = license_scan.Index(templates, {b"beta": 9, b"gamma": 1, b"delta": 5})
+    assert templates[0].roots({b"beta": 9, b"gamma": 1, b"delta": 5}) == [(b"gamma", 1), (b"delta", 2), (b"beta", 0)]
+    texts = ["gamma beta delta", "beta gamma delta beta gamma delta", "delta", "beta gamma", "delta beta", "", None]
+    assert index.candidates(Words(pa.array(texts, pa.string()))) == [(1, 3, 0), (1, 6, 0)]
+
+
+def test_a_phrase_repeated_very_often(spark):
+    text = "Under the MIT license, " * 4000 + "licensed under CC BY SA 4.0 " * 300
+    frame = spark.createDataFrame([(1, text), (2, "license mit the under " * 4000)], "doc_id long, text string")
+    got = {r.id: r for r in license_scan.scan_licenses(frame).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word) == (4000, 0, 4 * 3999)
+    assert got[1].labels == ["cc-by-sa", "mit"] and got[1].score == 1.0 and len(got[1].matches) == 4300
+    assert got[2].n_base == 3999 and got[2].base_labels == ["mit"] or got[2].n_base == 0
+
+
 # ---- packing ------------------------------------------------------------------------------------
 
 
@@ -442,6 +461,18 @@ def test_overlapping_passages_and_periods(spark):
     assert digests(frame, 150) == bytes_kept(rows, 150)
 
 
+def test_many_documents_without_an_id_or_with_one_id(spark):
+    rng = random.Random(6)
+    parts = [prose(rng, 40) for _ in range(4)]
+    rows = [(None if k % 3 else 7, prose(rng, 10) + rng.choice(parts) + prose(rng, rng.randrange(9))) for k in range(60)]
+    rows += [(None, rows[0][1]), (None, rows[1][1]), (7, rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert digests(frame, 150) == bytes_kept(rows, 150)
+    # Joins and groups go by id and text, so no id gathers many texts.
+    docs = frame.selectExpr("doc_id AS id", "text").withColumn("check", suffix_dedup.text_check())
+    assert docs.select("check").distinct().count() == len({t for _, t in rows})
+
+
 # ---- whole tables -------------------------------------------------------------------------------
 
 
