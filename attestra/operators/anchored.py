@@ -118,6 +118,39 @@ def reached_entries(edges: DataFrame, roots: DataFrame) -> DataFrame:
         jumps = cut_lineage(doubled.select("k", "ts_ms", F.col("end_ms").alias("to_ms")))
 
 
+def open_windows(times: DataFrame, spans: DataFrame, window_ms: int, width: int) -> DataFrame:
+    """(other_k, other_range, carried, carried_n): the window open where each range begins and the
+    events it already holds."""
+    early = F.col("ts_ms") - F.col("_range") * width < window_ms
+    across = Window.partitionBy("k").orderBy("_range")
+    ends = spans.select(F.col("k").alias("other_k"), F.col("_range").alias("other_range"), "beyond")
+    copies = F.when(early, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    dealt = times.withColumn("copied", F.explode(copies)).withColumn(
+        "_range", F.when(F.col("copied"), F.col("_range") - 1).otherwise(F.col("_range"))
+    )
+    meets = dealt["k"].eqNullSafe(ends["other_k"]) & (dealt["_range"] == ends["other_range"])
+    kind = times.schema["k"].dataType.simpleString()
+    edges = cut_lineage(
+        dealt.join(ends, meets).select("k", "_range", "ts_ms", "n", "copied", "beyond")
+        .groupBy("k", "_range")
+        .applyInArrow(
+            pointers(window_ms, width), f"k {kind}, ts_ms bigint, to_ms bigint, _range bigint, last_ms bigint, tail bigint"
+        )
+    )
+    roots = spans.groupBy("k").agg(F.min("first").alias("ts_ms"))
+    chain = reached_entries(edges, roots).select(F.col("k").alias("other_k"), F.col("ts_ms").alias("entry_ms"))
+    passed = edges.join(chain, _same(edges, chain) & (F.col("ts_ms") == F.col("entry_ms"))).select(
+        "other_k", F.col("_range").alias("other_range"), F.struct("last_ms", "tail").alias("open")
+    )
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    return spans.join(
+        passed, spans["k"].eqNullSafe(passed["other_k"]) & (spans["_range"] == passed["other_range"]), "left"
+    ).withColumn("open", F.last("open", ignorenulls=True).over(earlier)).select(
+        F.col("k").alias("other_k"), F.col("_range").alias("other_range"),
+        F.col("open.last_ms").alias("carried"), F.col("open.tail").alias("carried_n"),
+    )
+
+
 def anchored_windows(
     events: DataFrame,
     key: str,
@@ -144,33 +177,16 @@ def anchored_windows(
     after_next = F.coalesce(F.lead("later").over(across), F.lead("first", 2).over(across))
     spans = cut_lineage(
         spans.withColumn("beyond", F.when(beside, after_next).otherwise(F.lead("first").over(across)))
+        .withColumn("next_range", F.lead("_range").over(across))
     )
-    ends = spans.select(F.col("k").alias("other_k"), F.col("_range").alias("other_range"), "beyond")
-    copies = F.when(early, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    dealt = times.withColumn("copied", F.explode(copies)).withColumn(
-        "_range", F.when(F.col("copied"), F.col("_range") - 1).otherwise(F.col("_range"))
-    )
-    meets = dealt["k"].eqNullSafe(ends["other_k"]) & (dealt["_range"] == ends["other_range"])
-    kind = times.schema["k"].dataType.simpleString()
-    edges = cut_lineage(
-        dealt.join(ends, meets).select("k", "_range", "ts_ms", "n", "copied", "beyond")
-        .groupBy("k", "_range")
-        .applyInArrow(
-            pointers(window_ms, width), f"k {kind}, ts_ms bigint, to_ms bigint, _range bigint, last_ms bigint, tail bigint"
+    if spans.filter("next_range IS NOT NULL").isEmpty():
+        nothing = F.lit(None).cast("bigint")
+        opened = spans.select(
+            F.col("k").alias("other_k"), F.col("_range").alias("other_range"),
+            nothing.alias("carried"), nothing.alias("carried_n"),
         )
-    )
-    roots = spans.groupBy("k").agg(F.min("first").alias("ts_ms"))
-    chain = reached_entries(edges, roots).select(F.col("k").alias("other_k"), F.col("ts_ms").alias("entry_ms"))
-    passed = edges.join(chain, _same(edges, chain) & (F.col("ts_ms") == F.col("entry_ms"))).select(
-        "other_k", F.col("_range").alias("other_range"), F.struct("last_ms", "tail").alias("open")
-    )
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    opened = spans.join(
-        passed, spans["k"].eqNullSafe(passed["other_k"]) & (spans["_range"] == passed["other_range"]), "left"
-    ).withColumn("open", F.last("open", ignorenulls=True).over(earlier)).select(
-        F.col("k").alias("other_k"), F.col("_range").alias("other_range"),
-        F.col("open.last_ms").alias("carried"), F.col("open.tail").alias("carried_n"),
-    )
+    else:
+        opened = open_windows(times, spans, window_ms, width)
     ready = ranged.join(
         opened, ranged["_k"].eqNullSafe(opened["other_k"]) & (ranged["_range"] == opened["other_range"])
     ).drop("other_k", "other_range")

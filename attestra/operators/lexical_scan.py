@@ -1,8 +1,9 @@
 """Best chunks per query straight from the postings, without a row per (query, chunk) pair.
 
-The weights of a block of queries form a matrix over their terms. A task adds, for all chunks of a
-batch, the rows of the terms each chunk holds and keeps a running best-k per query and ranking, so
-at most k rows per query leave it, however many chunks share its common words.
+The weights of a batch of queries are compressed rows: every asked term with its few queries. A task
+adds, for the chunks of a batch, the rows of the terms each chunk holds, in pieces of bounded size, and
+keeps a running best-k per query and ranking. A pair whose score is below its query's k-th best so far
+goes no further, so at most k rows per query leave a task, however many chunks share its common words.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from attestra.operators.topk import best_rows
+from attestra.session import cut_lineage
 
-MATRIX_BYTES = 64 * 1024 * 1024
-WORK_BYTES = 16 * 1024 * 1024
+# Weights of one pass: a row each for a query and a term of it.
+WEIGHT_ROWS = 1_000_000
+PAIRS = 2_000_000
 BEST = "best"
 
 
@@ -28,45 +31,70 @@ def half_up(values: np.ndarray, decimals: int) -> np.ndarray:
     return np.floor(values * scale + 0.5) / scale
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, max(1, rows)):
-            yield batch.slice(start, max(1, rows))
-
-
-class WeightBlock:
-    """Terms by queries: the weight a term adds to a query."""
+class Weights:
+    """Terms by queries, the weight a term adds to a query, as compressed rows."""
 
     def __init__(self, rows: list):
         self.queries = sorted({r["query_id"] for r in rows})
         self.terms = sorted({r["term"] for r in rows})
         column = {q: i for i, q in enumerate(self.queries)}
-        row = {t: i for i, t in enumerate(self.terms)}
-        self.matrix = np.zeros((len(self.terms), len(self.queries)))
+        line = {t: i for i, t in enumerate(self.terms)}
+        of_term = np.array([line[r["term"]] for r in rows], np.int64)
+        order = np.argsort(of_term, kind="stable")
+        self.column = np.array([column[r["query_id"]] for r in rows], np.int64)[order]
+        self.weight = np.array([r["weight"] for r in rows], float)[order]
+        self.begin = np.searchsorted(of_term[order], np.arange(len(self.terms) + 1))
         self.totals = np.ones(len(self.queries))
         for r in rows:
-            self.matrix[row[r["term"]], column[r["query_id"]]] = r["weight"]
             self.totals[column[r["query_id"]]] = r["query_weight"]
 
-    def matched(self, terms: pa.Array) -> np.ndarray:
-        """Chunks by queries: total weight of a query's terms each chunk holds."""
-        n = len(terms)
+    def matched(self, terms: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunk, query and total weight of every pair that shares a term, for some chunks at a time."""
         lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
         found = pc.index_in(terms.flatten(), value_set=pa.array(self.terms, pa.string()))
         found = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(n), lengths)[found >= 0]
+        owner = np.repeat(np.arange(len(terms)), lengths)[found >= 0]
         found = found[found >= 0]
-        total = np.zeros((n, len(self.queries)))
-        step = max(1, WORK_BYTES // (8 * len(self.queries)))
-        start = 0
-        while start < len(owner):
-            # Whole chunks with about ``step`` terms at a time.
-            end = int(np.searchsorted(owner, owner[min(start + step, len(owner)) - 1], side="right"))
-            part = owner[start:end]
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            total[part[first]] = np.add.reduceat(self.matrix[found[start:end]], first, axis=0)
-            start = end
-        return total
+        sizes = self.begin[found + 1] - self.begin[found]
+        many = len(self.queries)
+        # Whole chunks with about PAIRS pairs and as many sums at a time.
+        cost = np.concatenate([[0], np.cumsum(np.bincount(owner, sizes, len(terms)) + many)])
+        chunk = 0
+        while chunk < len(terms):
+            until = max(chunk + 1, int(np.searchsorted(cost, cost[chunk] + PAIRS, side="right")) - 1)
+            low, high = np.searchsorted(owner, [chunk, until])
+            own, size = found[low:high], sizes[low:high]
+            place = np.repeat(self.begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            spot = np.repeat(owner[low:high] - chunk, size) * many + self.column[place]
+            total = np.bincount(spot, self.weight[place], (until - chunk) * many)
+            pair = np.flatnonzero(total)
+            yield pair // many + chunk, pair % many, total[pair]
+            chunk = until
+
+
+class Best:
+    """Running best ``k`` per query: score, id and path."""
+
+    def __init__(self, queries: int, k: int):
+        nothing = np.zeros(0), np.zeros(0, "<U1"), np.zeros(0, object)
+        self.k, self.kept = k, [nothing] * queries
+        self.bar = np.full(queries, -np.inf)
+
+    def add(self, query: np.ndarray, score: np.ndarray, chunk: np.ndarray, ids: np.ndarray, paths: np.ndarray) -> None:
+        live = score >= self.bar[query]
+        query, score, chunk = query[live], score[live], chunk[live]
+        order = np.argsort(query, kind="stable")
+        query, score, chunk = query[order], score[order], chunk[order]
+        cuts = np.flatnonzero(np.diff(query, prepend=-1, append=-1)) if len(query) else []
+        for low, high in zip(cuts, cuts[1:]):
+            j, own = int(query[low]), chunk[low:high]
+            scores, names, places = self.kept[j]
+            scores, names = np.concatenate([scores, score[low:high]]), np.concatenate([names, ids[own]])
+            places = np.concatenate([places, paths[own]])
+            scores, names, rows = best_rows(scores, names, self.k, np.arange(len(scores)))
+            self.kept[j] = scores, names, places[rows]
+            if len(scores) == self.k:
+                self.bar[j] = scores[-1]
 
 
 def scan_block(
@@ -78,7 +106,7 @@ def scan_block(
     formula: tuple[float, float, int],
     bound: float,
 ) -> DataFrame:
-    block = WeightBlock(rows)
+    block = Weights(rows)
     max_density, min_length, decimals = formula
     ddl = f"query_id {query_type.simpleString()}, method string, chunk_id string, source_path string, score double"
     schema = pa.schema(
@@ -88,36 +116,27 @@ def scan_block(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = (np.zeros(0), np.zeros(0, "<U1"))
-        kept = {(m, j): nothing for m in methods for j in range(len(block.queries))}
-        highest = np.full(len(block.queries), -1.0)
-        paths: dict[str, str | None] = {}
-        for batch in slices(batches, 4 * WORK_BYTES // (8 * max(1, len(block.queries)))):
-            total = block.matched(batch.column("terms"))
-            length = np.maximum(min_length, batch.column("n_terms").to_numpy())[:, None]
-            base = total / block.totals
-            evidence = half_up(np.minimum(1, base + base * np.minimum(max_density, total / length)), decimals)
-            coverage = half_up(np.minimum(1, base), decimals)
-            shares = total > 0
-            highest = np.maximum(highest, np.where(shares, evidence, -1.0).max(axis=0))
-            eligible = shares & (coverage >= bound)
-            ids = np.asarray(batch.column("chunk_id").to_pylist())
-            listed = batch.column("source_path").to_pylist()
-            for j in np.flatnonzero(eligible.any(axis=0)).tolist():
-                own = np.flatnonzero(eligible[:, j])
+        many = len(block.queries)
+        kept = {method: Best(many, k) for method in methods}
+        highest = np.full(many, -1.0)
+        for batch in batches:
+            ids = np.asarray(batch.column("chunk_id").to_pylist(), dtype=str)
+            paths = np.asarray(batch.column("source_path").to_pylist(), dtype=object)
+            length = np.maximum(min_length, batch.column("n_terms").to_numpy())
+            for chunk, query, total in block.matched(batch.column("terms")):
+                base = total / block.totals[query]
+                density = np.minimum(max_density, total / length[chunk])
+                evidence = half_up(np.minimum(1, base + base * density), decimals)
+                coverage = half_up(np.minimum(1, base), decimals)
+                np.maximum.at(highest, query, evidence)
+                clears = coverage >= bound
                 for method, scores in zip(methods, (coverage, evidence)):
-                    best = best_rows(scores[own, j], ids[own], k, own)
-                    paths |= {ids[i]: listed[i] for i in best[2].tolist()}
-                    before = kept[method, j]
-                    kept[method, j] = best_rows(
-                        np.concatenate([before[0], best[0]]), np.concatenate([before[1], best[1]]), k
-                    )
-            used = {i for _, names in kept.values() for i in names.tolist()}
-            paths = {i: paths[i] for i in used}
+                    kept[method].add(query[clears], scores[clears], chunk[clears], ids, paths)
         out = [
-            (block.queries[j], method, i, paths[i], s)
-            for (method, j), (scores, names) in kept.items()
-            for s, i in zip(scores.tolist(), names.tolist())
+            (block.queries[j], method, i, p, s)
+            for method, best in kept.items()
+            for j, (scores, names, places) in enumerate(best.kept)
+            for s, i, p in zip(scores.tolist(), names.tolist(), places.tolist())
         ]
         out += [(q, BEST, None, None, s) for q, s in zip(block.queries, highest.tolist()) if s >= 0]
         columns = zip(*out) if out else [[]] * len(schema)
@@ -133,18 +152,17 @@ def scan_lists(
     methods: tuple[str, str],
     formula: tuple[float, float, int],
     bound: float = 0.0,
-    matrix_bytes: int = MATRIX_BYTES,
+    weight_rows: int = WEIGHT_ROWS,
 ) -> DataFrame:
     """``query_id, method, chunk_id, source_path, score``: the best ``k`` of every task per query and
     ranking among chunks with at least ``bound`` coverage, and as method ``BEST`` the highest
     evidence of every task over all chunks.
 
-    ``weights``: ``query_id, term, weight, query_weight``. A block's matrix has at most about
-    ``matrix_bytes``; more queries take one pass over the postings for each block.
+    ``weights``: ``query_id, term, weight, query_weight``. One pass over the postings takes about
+    ``weight_rows`` of them, ten thousand questions of a hundred terms; more take further passes.
     """
-    size = weights.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
-    # With q queries in b blocks a block has about q/b columns and no more rows than all terms.
-    blocks = max(1, -(-size["q"] * size["t"] * 8 // matrix_bytes))
+    weights = cut_lineage(weights)
+    blocks = max(1, -(-weights.count() // weight_rows))
     query_type = weights.schema["query_id"].dataType
     lists = None
     for number in range(blocks):

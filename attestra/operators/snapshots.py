@@ -268,3 +268,17 @@ def provenance(sources: DataFrame, chunks: DataFrame) -> DataFrame:
         F.coalesce(F.col("_f.missing"), F.lit(0)).alias("n_missing"),
         (F.coalesce(F.col("_f.missing") == 0, F.lit(False)) & (remainder == "")).alias("verbatim"),
     )
+
+
+def pinned_sources(sources: DataFrame) -> DataFrame:
+    """Whether each source still is what was retrieved: its text's hash is the recorded one, its
+    address is an https one and the day of retrieval is a date.
+
+    ``sources``: ``source_id, text, recorded_sha256, retrieval_url, retrieved_at``.
+    """
+    same = (F.sha2("text", 256) == F.col("recorded_sha256")).alias("same_text")
+    secure = F.col("retrieval_url").rlike("^https://").alias("secure_url")
+    dated = F.col("retrieved_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$").alias("dated")
+    flags = sources.select("source_id", *[F.coalesce(c, F.lit(False)).alias(n) for c, n in (
+        (same, "same_text"), (secure, "secure_url"), (dated, "dated"))])
+    return flags.withColumn("pinned", F.col("same_text") & F.col("secure_url") & F.col("dated"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.operators import dense, fusion, lexical, served
@@ -204,6 +204,35 @@ def evidence_bars(evidence: DataFrame) -> DataFrame:
     return evidence.join(best, "query_id").withColumn("bar", bucket.cast("int")).drop("_best")
 
 
+SPAN_BIN = 4096
+
+
+def find_source_chunks(chunks: DataFrame, requests: DataFrame, span_bin: int = SPAN_BIN) -> DataFrame:
+    """``requests`` (``doc_id, offset`` and more) with the first chunk of the document, by index, that
+    starts at or after the offset; null where none does.
+
+    A chunk answers the offsets above all starts before it, up to its own start. These stretches do
+    not overlap; they are cut into bins of ``span_bin`` characters, so the lookup is an equality join
+    on document and bin however many requests a document gets.
+    """
+    before = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunks.select("doc_id", "chunk_index", "chunk_id", "char_start").withColumn(
+        "_low", F.coalesce(F.max("char_start").over(before) + 1, F.lit(0))
+    )
+    bins = F.sequence(F.floor(F.col("_low") / span_bin), F.floor(F.col("char_start") / span_bin))
+    stretches = placed.filter("char_start >= _low").select(
+        F.col("doc_id").alias("_doc"), F.explode(bins).alias("_bin"), "_low", "char_start", "chunk_index", "chunk_id"
+    )
+    at = F.greatest(F.col("offset"), F.lit(0))
+    asked = requests.withColumn("_at", at).withColumn("_ask", F.floor(F.col("_at") / span_bin))
+    meets = (
+        (F.col("doc_id") == F.col("_doc"))
+        & (F.col("_ask") == F.col("_bin"))
+        & F.col("_at").between(F.col("_low"), F.col("char_start"))
+    )
+    return asked.join(stretches, meets, "left").drop("_at", "_ask", "_doc", "_bin", "_low")
+
+
 def find_source_chunk(chunks: DataFrame, doc_id: str, offset: int) -> DataFrame:
     """First chunk of a document that starts at or after an offset."""
     return (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,7 @@ GOLDEN_SCHEMA = (
     "tags array<string>"
 )
 PROBE_SCHEMA = "id string, class string, question string, note string"
-CACHE_SCHEMA = (
-    "provenance struct<embeddingModelVersion:string,endpointConfigHash:string,dimension:int,"
-    "generatedAt:string,textCount:int>, vectors map<string,array<double>>"
-)
+CACHE_ENTRY = r'"([^"\\]+)"\s*:\s*\[([^\[\]]*)$'
 # What a case may expect and how a probe may be labelled.
 EXPECTED_OUTCOMES = ("answered", "refused-out-of-corpus", "blocked-unsafe")
 PROBE_CLASSES = ("in-corpus", "out-of-corpus")
@@ -70,13 +70,30 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vector_cache(spark: SparkSession, path: str) -> DataFrame:
-    """``text_sha256, vector`` of a cache file; a bad vector or missing provenance fails the read."""
-    cache = spark.read.schema(CACHE_SCHEMA).option("multiLine", True).json(path)
-    if cache.filter("provenance.dimension IS NULL OR vectors IS NULL").limit(1).count():
+    """``text_sha256, vector`` of a cache file; a bad vector or missing provenance fails the read.
+
+    The file is one JSON object, however large: ``provenance`` and ``vectors``, hash to numbers. It is
+    read as text records that end with a bracket, one for each vector, so several tasks read ranges of
+    it. What is left of the records is the frame around them, which has to be whole.
+    """
+    records = spark.read.option("lineSep", "]").text(path)
+    numbers = F.split(F.regexp_extract("value", CACHE_ENTRY, 2), ",")
+    entries = records.select(
+        F.regexp_extract("value", CACHE_ENTRY, 1).alias("text_sha256"),
+        F.transform(numbers, lambda x: F.trim(x).try_cast("double")).alias("vector"),
+        F.regexp_replace("value", CACHE_ENTRY, "").alias("frame"),
+    )
+    frames = entries.filter(~F.col("frame").rlike(r"^[\s,]*$")).select("frame").limit(4).collect()
+    frame = "".join(r["frame"] for r in frames)
+    found = re.search(r'"provenance"\s*:\s*(\{[^{}]*\})', frame)
+    provenance = json.loads(found.group(1)) if found else {}
+    if not provenance.get("dimension") or not re.search(r'"vectors"\s*:\s*\{', frame):
         raise ValueError(f"{path}: missing provenance or vectors")
-    dimension = cache.select("provenance.dimension").first()["dimension"]
-    vectors = cache.select(F.explode("vectors").alias("text_sha256", "vector"))
-    problem = vector_problem(F.col("vector"), dimension)
+    rest = frame.replace(found.group(0), "").replace('"vectors"', "")
+    if re.search(r"[^\s{},:]", rest) or rest.count("{") != rest.count("}"):
+        raise ValueError(f"{path}: not a vector cache: {rest[:80]!r}")
+    vectors = entries.filter("text_sha256 <> ''").select("text_sha256", "vector")
+    problem = vector_problem(F.col("vector"), provenance["dimension"])
     broken = vectors.select("text_sha256", problem.alias("p")).filter("p IS NOT NULL").first()
     if broken:
         raise ValueError(f"{path}: cached vector {broken['text_sha256']} is unusable: {broken['p']}")
@@ -92,3 +109,9 @@ def lookup_vectors(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.withColumn(
         "vector", F.when(F.col("vector").isNull(), failed).otherwise(F.col("vector"))
     )
+
+
+def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """Rows of ``texts`` the cache holds no vector for, with the hash they would be stored under."""
+    keyed = texts.withColumn("text_sha256", F.sha2("text", 256))
+    return keyed.join(cache.select("text_sha256"), "text_sha256", "left_anti")

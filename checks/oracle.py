@@ -402,6 +402,18 @@ ORACLES["source_spans"] = f"""
 WITH {REV}, {TOK}, {WIN}, {OFFSETS}
 SELECT source_path, min(i) AS chunk_index FROM span WHERE char_start >= 2000 GROUP BY source_path"""
 
+ORACLES["source_span_lookup"] = f"""
+WITH r AS ({ORACLES["chunk_records"]}), d AS (SELECT source || '/' || doc_id AS source_path,
+  unnest(generate_series(0, length({normalized('text')}), 1000)) AS "offset" FROM documents)
+SELECT source_path, "offset"::INT AS "offset", chunk_id, chunk_index::VARCHAR AS chunk_index,
+  char_start::VARCHAR AS char_start
+FROM (SELECT d.source_path, "offset", r.chunk_id, r.chunk_index, r.char_start, row_number() OVER (
+    PARTITION BY d.source_path, "offset" ORDER BY r.chunk_index) AS k
+  FROM d LEFT JOIN r ON r.source_path = d.source_path AND r.char_start >= "offset") WHERE k = 1"""
+ORACLES["pinned_sources"] = """
+WITH f AS (SELECT page_id AS source_id, page_id % 6 <> 1 OR lower(html) = html AS same_text,
+  starts_with(url, 'https://') AS secure_url, page_id % 5 <> 2 AS dated FROM pages)
+SELECT *, same_text AND secure_url AND dated AS pinned FROM f"""
 _AD = "'<!--\\s*ad ([0-9]+)\\s*-->'"
 ORACLES["marked_chunks"] = f"""
 WITH c AS (SELECT page_id, regexp_extract_all(html, {_AD}, 1) AS ids,
@@ -449,6 +461,23 @@ hd AS (
 ORACLES["served_dense_ranking"] = f"""
 WITH {CORPUS}, {HASH_DENSE} SELECT query_id, rank, chunk_id, score FROM hd"""
 
+ORACLES["cached_dense_ranking"] = (
+    "SELECT * FROM (" + ORACLES["served_dense_ranking"] + ") WHERE query_id % 2 = 0"
+)
+ORACLES["cache_misses"] = f"""
+WITH {CORPUS} SELECT query_id, sha256(query_text) AS text_sha256 FROM asked
+WHERE query_text NOT IN (SELECT chunk_text FROM chunks)
+  AND query_text NOT IN (SELECT query_text FROM asked WHERE query_id % 2 = 0)"""
+ORACLES["unusable_scores"] = """
+WITH s AS (SELECT user_id AS query_id, event_type AS method, 'c' || lpad(event_id::VARCHAR, 8, '0') AS chunk_id,
+  round(value, 6) AS score FROM events
+  WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, chunk_id) AS rank FROM s),
+f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM r GROUP BY ALL),
+g AS (SELECT q.query_id, greatest(coalesce(max(score), 0.0), 0.0) AS best_evidence
+  FROM (SELECT DISTINCT user_id AS query_id FROM events) q LEFT JOIN s USING (query_id) GROUP BY 1)
+SELECT f.query_id, chunk_id, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, chunk_id) AS rank,
+  score, best_evidence, best_evidence < 0.3 AS out_of_corpus FROM f JOIN g USING (query_id)"""
 ORACLES["semantic_retrieval"] = f"""
 WITH {CORPUS}, {TERMS}, {BM25}, {HASH_DENSE},
 top AS (SELECT query_id, method, chunk_id, score FROM hd),
@@ -838,6 +867,48 @@ VERDICTS = f"""verdict AS (
 _RATES = """round(avg(grounded::INT), 6) AS groundedness,
   round(avg(covered::INT), 6) AS citation_accuracy, round(avg(refusal::INT), 6) AS refusal_correctness"""
 
+ORACLES["case_verdicts"] = """
+WITH l AS (SELECT doc_id, lang, source, string_split(text, chr(10))[1:3] AS ls FROM documents),
+c AS (SELECT doc_id, lang, source, doc_id % 10 <> 3 AS present,
+  len(list_filter(ls, lambda x: length(x) % 9 = 0)) = 0 AS grounded,
+  len(list_filter(ls, lambda x: length(x) % 9 <> 0)) > 0 AS has_lang,
+  len(list_filter(ls, lambda x: length(x) % 9 <> 0 AND length(x) % 2 = 1)) > 0 AS has_source FROM l)
+SELECT doc_id AS id, present AND grounded AS grounded, present AND CASE doc_id % 4
+    WHEN 0 THEN (has_lang OR has_source AND lang = source) AND (has_source OR has_lang AND lang = source)
+    WHEN 1 THEN has_lang ELSE true END AS cited_expected,
+  present AND doc_id % 3 <> 0 AS refusal_correct FROM c"""
+
+
+def _six(x: str) -> str:
+    return f"regexp_replace(printf('%.6f', {x}), '\\.?0+$', '')"
+
+
+_PINNED = (
+    f'{{"chunkerVersion":"chunker-800-100-v1","corpusHash":"{SNAPSHOT_HASH}",'
+    f'"embeddingModelVersion":"{DEFAULT_EMBEDDING_MODEL}","modelVersion":"{EXTRACTIVE_PROFILE.model_version}",'
+    f'"promptVersion":"{DEFAULT_PROMPT.version}"}}'
+)
+_BARS = '{"citation_accuracy":0.95,"groundedness":0.95,"refusal_correctness":0.9}'
+
+
+ORACLES["golden_run"] = f"""
+WITH {RETRIEVAL}, {VERBATIM}, verdict AS (
+  SELECT g.query_id, true AS grounded, query_id % 5 <> 0 AS covered,
+    (query_id IN (SELECT query_id FROM verbatim)) = (NOT out_of_corpus) AS refusal,
+    CASE WHEN query_id IN (SELECT query_id FROM verbatim) THEN 'verbatim' ELSE 'other' END AS tag
+  FROM gate g),
+m AS (SELECT count(*) AS n, {_RATES} FROM verdict),
+t AS (SELECT tag, count(*) AS n, {_RATES} FROM verdict GROUP BY tag),
+j AS (SELECT '{{' || string_agg('"' || tag || '":{{"caseCount":' || n || ',"citation_accuracy":'
+  || {_six('citation_accuracy')} || ',"groundedness":' || {_six('groundedness')}
+  || ',"refusal_correctness":' || {_six('refusal_correctness')} || '}}', ',' ORDER BY tag) || '}}' AS tags FROM t),
+o AS (SELECT *, CASE WHEN groundedness >= 0.95 AND citation_accuracy >= 0.95 AND refusal_correctness >= 0.9
+  THEN 'passed' ELSE 'failed' END AS status FROM m, j)
+SELECT n AS case_count, status, tags AS per_tag_breakdown, {quoted(_PINNED)} AS pinned_tuple,
+  '{{"caseCount":' || n || ',"citation_accuracy":' || {_six('citation_accuracy')} || ',"groundedness":'
+  || {_six('groundedness')} || ',"perTagBreakdown":' || tags || ',"pinnedTuple":' || {quoted(_PINNED)}
+  || ',"refusal_correctness":' || {_six('refusal_correctness')} || ',"status":"' || status || '","thresholds":'
+  || {quoted(_BARS)} || '}}' AS output_json, groundedness, citation_accuracy, refusal_correctness FROM o"""
 ORACLES["evaluation_run"] = f"""
 WITH {RETRIEVAL}, {VERBATIM}, {VERDICTS} SELECT count(*) AS case_count,
   CASE WHEN avg(refusal::INT) >= 0.9 THEN 'passed' ELSE 'failed' END AS status, {_RATES} FROM verdict"""

@@ -12,12 +12,12 @@ from attestra.domain import EXTRACTIVE_PROFILE, ProviderProfile
 from attestra.functions import canonical_json as J
 from attestra.functions import hashing, html, redaction, text as T, vector
 from attestra.functions.time import epoch_ms
-from attestra.operators import chunking, dense, evaluation, generation, ledger, lexical
-from attestra.operators import limits, replay, report, served, snapshots
+from attestra.operators import chunking, dense, evaluation, fusion, generation, ledger, lexical
+from attestra.operators import limits, replay, report, served, snapshots, topk
 from attestra.operators.embedding import hash_embedding
-from attestra.plans import answering, retrieval, stored
+from attestra.plans import answering, evaluating, retrieval, stored
 from attestra.session import checkpoint_directory, cut_lineage
-from attestra.sources import fixtures
+from attestra.sources import fixtures, json_lines
 from attestra.sources.snapshot_store import SnapshotStore
 from attestra.sources.tables import read_table, read_text_table
 from checks.constants import (
@@ -482,6 +482,32 @@ def source_spans(spark, d):
     )
 
 
+@query
+def source_span_lookup(spark, d):
+    """Every thousandth character of every document as a request for its source chunk."""
+    found = revisions(spark, d)
+    chunks = chunking.chunk_records(
+        chunking.token_windows_with_offsets(found), F.lit(SNAPSHOT_ID), F.lit(SNAPSHOT_HASH)
+    )
+    offsets = F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(1000))).alias("offset")
+    requests = found.select(hashing.stable_id("doc", F.col("source_path")).alias("doc_id"), "source_path", offsets)
+    return retrieval.find_source_chunks(chunks, requests).select(
+        "source_path", "offset", "chunk_id", as_text("chunk_index"), as_text("char_start")
+    )
+
+
+@query
+def pinned_sources(spark, d):
+    """Pages as retrieved sources; the recorded hash of some is that of another text."""
+    text = F.when(F.col("page_id") % 6 == 1, F.lower("html")).otherwise(F.col("html"))
+    day = F.when(F.col("page_id") % 5 == 2, F.lit("yesterday")).otherwise(F.lit("2026-05-01"))
+    sources = read_text_table(spark, d, "pages").select(
+        F.col("page_id").alias("source_id"), F.col("html").alias("text"), F.sha2(text, 256).alias("recorded_sha256"),
+        F.col("url").alias("retrieval_url"), day.alias("retrieved_at"),
+    )
+    return snapshots.pinned_sources(sources)
+
+
 @query
 def marked_chunks(spark, d):
     """Text after each comment marker of a page, as a hand-chunked file would be read."""
@@ -582,6 +608,58 @@ def served_dense_ranking(spark, d):
     ).select("query_id", "rank", "chunk_id", "score")
 
 
+def text_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A vector cache of all chunk texts and the questions with an even id."""
+    asked = questions(spark, d).filter("query_id % 2 = 0").select(F.col("query_text").alias("text"))
+    texts = corpus(spark, d).select(F.col("chunk_text").alias("text")).unionByName(asked).distinct()
+    return texts.select(
+        F.sha2("text", 256).alias("text_sha256"), hash_embedding(F.col("text"), SERVED_DIMENSION).alias("vector")
+    )
+
+
+@query
+def cached_dense_ranking(spark, d):
+    """Every vector comes from the cache; a text it lacks would fail the job."""
+    cache = cut_lineage(text_cache(spark, d))
+    chunks = corpus(spark, d).select(F.col("chunk_id").alias("id"), F.col("chunk_text").alias("text"))
+    asked = questions(spark, d).filter("query_id % 2 = 0").withColumnRenamed("query_text", "text")
+    found = dense.cosine_top_k(
+        json_lines.lookup_vectors(chunks, cache).select("id", "vector"),
+        json_lines.lookup_vectors(asked, cache).select("query_id", "vector"),
+        lexical.CANDIDATE_LIMIT,
+        strict=False,
+    )
+    return found.withColumnRenamed("id", "chunk_id").select("query_id", "rank", "chunk_id", "score")
+
+
+@query
+def cache_misses(spark, d):
+    asked = questions(spark, d).withColumnRenamed("query_text", "text")
+    return json_lines.cache_misses(asked, text_cache(spark, d)).select("query_id", "text_sha256")
+
+
+@query
+def unusable_scores(spark, d):
+    """Fusion and gate where some scores are no numbers or infinite."""
+    spoiled = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(
+        F.col("event_id") % 11 == 0, F.lit(float("inf"))
+    ).when(F.col("event_id") % 13 == 0, F.lit(float("-inf"))).when(F.col("event_id") % 17 == 0, F.lit(None))
+    scored = read_table(spark, d, "events").select(
+        F.col("user_id").alias("query_id"), F.col("event_type").alias("method"),
+        F.concat(F.lit("c"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("chunk_id"),
+        F.lit(None).cast("string").alias("source_path"),
+        F.when((F.col("event_id") % 7 == 0) | (F.col("event_id") % 11 == 0) | (F.col("event_id") % 13 == 0)
+               | (F.col("event_id") % 17 == 0), spoiled).otherwise(F.round("value", 6)).alias("score"),
+    )
+    ranked = topk.rank_within(
+        fusion.finite_candidates(scored), ["query_id", "method"], lexical.candidate_order(), "rank"
+    )
+    gate = fusion.served_gate(scored.select("query_id").distinct(), scored)
+    return fusion.reciprocal_rank_fusion(ranked).join(gate, "query_id").select(
+        "query_id", "chunk_id", "rank", "score", "best_evidence", "out_of_corpus"
+    )
+
+
 @query
 def served_retrieval(spark, d):
     found = retrieval.retrieve_served(corpus(spark, d), questions(spark, d), SERVED_DIMENSION)
@@ -973,6 +1051,55 @@ def golden_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.score_cases(cases, outcomes.withColumnRenamed("query_id", "id"))
 
 
+@query
+def case_verdicts(spark, d):
+    """Cases with uncited claims, expected chunks that are not cited, and missing outcomes. Claims are
+    the first lines of a document; a line cites its language, and its source if its length is odd."""
+    docs = documents(spark, d)
+    lines = F.slice(F.split("text", "\n"), 1, 3)
+    claims = F.transform(
+        lines,
+        lambda x: F.struct(
+            F.when(F.length(x) % 9 == 0, F.array().cast("array<string>"))
+            .when(F.length(x) % 2 == 1, F.array(F.col("lang"), F.col("source")))
+            .otherwise(F.array(F.col("lang")))
+            .alias("cited")
+        ),
+    )
+    kind = F.col("doc_id") % 4
+    outcomes = docs.filter(F.col("doc_id") % 10 != 3).select(
+        F.col("doc_id").alias("id"), claims.alias("claims"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("refused-out-of-corpus")).otherwise(F.lit("answered")).alias("outcome"),
+    )
+    cases = docs.select(
+        F.col("doc_id").alias("id"), F.lit("answered").alias("expected_outcome"),
+        F.when(kind == 0, F.array(F.col("lang"), F.col("source"))).when(kind == 1, F.array(F.col("lang")))
+        .when(kind == 2, F.array().cast("array<string>")).alias("expected_chunks"),
+        F.array(F.col("lang")).alias("tags"),
+    )
+    return evaluation.score_cases(cases, outcomes).drop("tags")
+
+
+@query
+def golden_run(spark, d):
+    """A golden file of the questions over the documents as a hand-chunked corpus, and its record."""
+    folder = f"{checkpoint_directory(spark)}/golden-{uuid.uuid4().hex}"
+    sources = verbatim_sources(spark, d).select("query_id").distinct().withColumn("_in", F.lit(True))
+    refused = F.lit("refused-out-of-corpus")
+    questions(spark, d).join(sources, "query_id", "left").select(
+        F.format_string("q%05d", "query_id").alias("id"), F.col("query_text").alias("question"),
+        F.when(F.col("_in"), F.lit("answered")).otherwise(refused).alias("expected_outcome"),
+        F.when(F.col("query_id") % 5 == 0, F.array(F.lit("missing"))).alias("expected_chunks"),
+        F.array(F.when(F.col("_in"), F.lit("verbatim")).otherwise(F.lit("other"))).alias("tags"),
+    ).write.json(folder)
+    cases = json_lines.read_golden(spark, folder)
+    verdicts = evaluating.golden_verdicts(cases, corpus(spark, d), SNAPSHOT_ID, SNAPSHOT_HASH)
+    return evaluating.run_record(verdicts, evaluating.pinned_tuple(SNAPSHOT_HASH)).select(
+        "case_count", "status", "per_tag_breakdown", "pinned_tuple", "output_json",
+        *[F.round(c, 6).alias(c) for c in evaluation.THRESHOLDS],
+    )
+
+
 @query
 def evaluation_run(spark, d):
     run = evaluation.evaluation_run(golden_verdicts(spark, d))

@@ -78,7 +78,7 @@ def test_shuffled_path_equals_broadcast_path(spark):
     )
 
 
-def test_lists_equal_all_pairs(spark):
+def test_lists_equal_all_pairs(spark, monkeypatch):
     """Questions of common words only, and blocks of a few queries, against the pair-wise scores."""
     rng = random.Random(4)
     words = ["und", "der", "die", "das"] + [f"wort{i}" for i in range(40)]
@@ -90,9 +90,11 @@ def test_lists_equal_all_pairs(spark):
     q = spark.createDataFrame(asked, "query_id int, query_text string")
     given = lexical.scoring_input(c, q)
     pairs = lexical.score_pairs(given).collect()
-    for size in (lexical_scan.MATRIX_BYTES, 600):
+    for size, most in ((lexical_scan.WEIGHT_ROWS, lexical_scan.PAIRS), (10, 40)):
+        # The task function takes the bound of its module with it.
+        monkeypatch.setattr(lexical_scan, "PAIRS", most)
         lists = lexical_scan.scan_lists(given.postings, given.weights, 7, ("dense", "bm25"),
-                                        (lexical.MAX_DENSITY, lexical.MIN_LENGTH, 6), matrix_bytes=size)
+                                        (lexical.MAX_DENSITY, lexical.MIN_LENGTH, 6), weight_rows=size)
         got = {}
         for r in lexical.merged_lists(lists, 7).collect():
             got.setdefault((r["query_id"], r["method"]), []).append((-r["score"], r["chunk_id"]))
@@ -240,3 +242,24 @@ def test_served_path_refuses_without_evidence(spark):
     kept = found.evidence.collect()
     assert gate[1] is False and {r["query_id"] for r in kept} == {k for k in gate if not gate[k]}
     assert next(r for r in kept if r["query_id"] == 1 and r["rank"] == 1)["chunk_id"] == "c0"
+
+
+def test_source_chunks_of_many_requests(spark):
+    rng = random.Random(3)
+    rows, asked = [], []
+    for d in range(6):
+        start = 0
+        for i in range(rng.randrange(1, 12)):
+            # Starts may repeat and fall back, as repeated text is found at its first place.
+            rows.append((f"d{d}", i, f"d{d}c{i}", start))
+            start = max(0, start + rng.choice([0, 40, 900, 5000, -30]))
+        asked += [(f"d{d}", o) for o in {0, *(rng.randrange(9000) for _ in range(40))}]
+    asked += [("nothing", 5), ("d1", -7), ("d1", 10**7)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_index int, chunk_id string, char_start int")
+    requests = spark.createDataFrame(asked, "doc_id string, offset int")
+    for width in (64, 4096):
+        got = {(r["doc_id"], r["offset"]): r["chunk_id"]
+               for r in retrieval.find_source_chunks(chunks, requests, width).collect()}
+        for d, o in asked:
+            want = next((c for e, _, c, s in rows if e == d and s >= o), None)
+            assert got[d, o] == want, (d, o)

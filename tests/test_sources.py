@@ -105,9 +105,26 @@ def test_vector_cache(spark, tmp_path):
         cache_file(path, {key: bad})
         with pytest.raises(ValueError, match="unusable"):
             json_lines.read_vector_cache(spark, str(path))
-    path.write_text('{"vectors": {}}')
-    with pytest.raises(ValueError, match="provenance"):
-        json_lines.read_vector_cache(spark, str(path))
+    for text, message in (('{"vectors": {}}', "provenance"), ('{"provenance": {"dimension": 2}}', "vectors"),
+                          ('{"provenance": {"dimension": 2}, "vectors": {"a": [1, 2], "b" 3}}', "not a vector cache")):
+        path.write_text(text)
+        with pytest.raises(ValueError, match=message):
+            json_lines.read_vector_cache(spark, str(path))
+    path.write_text('{"vectors": {}, "provenance": {"dimension": 2}}')
+    assert json_lines.read_vector_cache(spark, str(path)).collect() == []
+
+
+def test_vector_cache_is_read_by_several_tasks(spark, tmp_path):
+    vectors = {f"{i:064x}": [i + 0.5, -1e-7, float(i % 3)] for i in range(3000)}
+    path = tmp_path / "cache.json"
+    cache_file(path, vectors, 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    cache = json_lines.read_vector_cache(spark, str(path))
+    assert cache.select(F.spark_partition_id()).distinct().count() > 3
+    assert {r["text_sha256"]: r["vector"] for r in cache.collect()} == vectors
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    missed = json_lines.cache_misses(spark.createDataFrame([("hello",)], "text string"), cache)
+    assert [r["text"] for r in missed.collect()] == ["hello"]
 
 
 def test_fixture_corpus(spark, tmp_path):
