@@ -82,10 +82,34 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"),
         "contaminated",
-        F.col("longest").alias("longest_match"),
     )
 
 
+def words_sql(text: str) -> str:
+    """The words of a text: A-Z lower-cased, runs of digits, letters and characters above 0x7F."""
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLES["op3_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, {words_sql('text')} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+met AS (
+  SELECT doc_id, i, k, item_id FROM (
+    SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM (
+      SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows)))
+  JOIN windows USING (k, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 @query
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     held_out = crc_remainder(F.col("doc_id"), 4) == 2
@@ -116,6 +140,26 @@ def op6_chosen_path(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+ORACLES["op6_chosen_path"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM d)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (
+  SELECT a, b, c = p.n AND c = q.n AS same
+  FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, b FROM reach r JOIN link ON a = other),
+own AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (WHERE same) AS twin FROM link GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS class_id, group_id, coalesce(n_links, 0) AS n_links
+FROM (SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
 @query
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, d)).select(
@@ -189,6 +233,28 @@ def op10_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+ORACLES["op10_suffix_dedup"] = """
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+starts AS (
+  SELECT doc_id, i, hash(b[i : i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM n)),
+repeated AS (SELECT doc_id, i FROM starts WHERE h IN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1)),
+runs AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, 0))::INT AS fresh FROM repeated)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY doc_id, run),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+pieces AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z FROM spans
+  UNION ALL SELECT doc_id, max(z), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(hex(b[p.a : coalesce(p.z, n + 1) - 1]), '' ORDER BY p.a) AS x
+  FROM pieces p JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN x IS NULL THEN b ELSE unhex(x) END) AS kept_sha256
+FROM n LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op11_vector_codes(spark: SparkSession, d: str) -> DataFrame:
     coded, books = vector_codes.compress_vectors(read_table(spark, d, "embeddings"), label=F.col("label"))
