@@ -161,9 +161,13 @@ def scan_lists(
     ``weights``: ``query_id, term, weight, query_weight``. One pass over the postings takes about
     ``weight_rows`` of them, ten thousand questions of a hundred terms; more take further passes.
     """
-    weights = cut_lineage(weights)
-    blocks = max(1, -(-weights.count() // weight_rows))
     query_type = weights.schema["query_id"].dataType
+    # Few weights are read in one go; more are stored and taken block by block.
+    rows = weights.limit(weight_rows + 1).collect()
+    if len(rows) <= weight_rows:
+        return scan_block(postings, rows, query_type, k, methods, formula, bound)
+    weights = cut_lineage(weights)
+    blocks = -(-weights.count() // weight_rows)
     lists = None
     for number in range(blocks):
         own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)

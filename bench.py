@@ -8,8 +8,9 @@ import re
 import time
 
 from attestra.plans.retrieval import retrieve
+from attestra.plans.stored import retrieve_stored
 from checks.compare import local_session
-from checks.registry import QUERIES, corpus, questions
+from checks.registry import QUERIES, corpus, questions, snapshot_store
 
 HEADLINE = (
     "text_terms",
@@ -53,6 +54,11 @@ def main() -> None:
     asked = questions(spark, directory).orderBy("query_id").limit(1)
     retrieve(corpus(spark, directory), asked).evidence.write.format("noop").mode("overwrite").save()
     single = round(time.perf_counter() - start, 3)
+    # The same question over a stored snapshot, which is built once.
+    corpus_store = snapshot_store(spark, directory).open()
+    start = time.perf_counter()
+    retrieve_stored(corpus_store, asked).evidence.write.format("noop").mode("overwrite").save()
+    single_stored = round(time.perf_counter() - start, 3)
     scale = re.search(r"sf([0-9.]+)", directory)
     print(
         json.dumps(
@@ -62,6 +68,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "single_question_seconds": single,
+                "single_stored_question_seconds": single_stored,
                 "sf": float(scale.group(1)) if scale else None,
             }
         )

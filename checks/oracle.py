@@ -962,29 +962,35 @@ SELECT event_id, s::VARCHAR AS issued_ms, s IS NOT NULL AND
 
 _HALF_DAY = 43_200_000
 # Client windows are kept as start and count, one map each.
-ORACLES["write_limits"] = f"""
+def write_limit_sql(scope: str, client: str, kind: str, per_client: int, per_scope: int, window: int) -> str:
+    return f"""
 WITH RECURSIVE {TIMED},
-nr AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms, event_id) AS k FROM ev),
+nr AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ts_ms, event_id) AS k FROM (
+  SELECT event_id, ts_ms, {scope} AS scope, {client} AS client FROM ev)),
 fold AS (
-  SELECT event_type, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS allowed,
-    MAP([]::BIGINT[], []::BIGINT[]) AS cs, MAP([]::BIGINT[], []::BIGINT[]) AS cn,
+  SELECT scope, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS allowed,
+    MAP([]::{kind}[], []::BIGINT[]) AS cs, MAP([]::{kind}[], []::BIGINT[]) AS cn,
     NULL::BIGINT AS gs, 0 AS gn
-  FROM (SELECT DISTINCT event_type FROM nr)
+  FROM (SELECT DISTINCT scope FROM nr)
   UNION ALL
-  SELECT event_type, k, event_id, ok,
-    CASE WHEN ok AND new_client THEN map_concat(cs, MAP([user_id], [ts_ms])) ELSE cs END,
-    CASE WHEN NOT ok THEN cn WHEN new_client THEN map_concat(cn, MAP([user_id], [1::BIGINT]))
-      ELSE map_concat(cn, MAP([user_id], [cn[user_id] + 1])) END,
+  SELECT scope, k, event_id, ok,
+    CASE WHEN ok AND new_client THEN map_concat(cs, MAP([client], [ts_ms])) ELSE cs END,
+    CASE WHEN NOT ok THEN cn WHEN new_client THEN map_concat(cn, MAP([client], [1::BIGINT]))
+      ELSE map_concat(cn, MAP([client], [cn[client] + 1])) END,
     CASE WHEN ok AND new_scope THEN ts_ms ELSE gs END,
     CASE WHEN NOT ok THEN gn WHEN new_scope THEN 1 ELSE gn + 1 END
   FROM (
-    SELECT *, (new_client OR cn[user_id] < 2) AND (new_scope OR gn < 4) AS ok FROM (
-      SELECT n.event_type, n.k, n.event_id, n.user_id, n.ts_ms, cs, cn, gs, gn,
-        gs IS NULL OR n.ts_ms - gs >= {_HALF_DAY} AS new_scope,
-        cs[n.user_id] IS NULL OR n.ts_ms - cs[n.user_id] >= {_HALF_DAY} AS new_client
-      FROM fold f JOIN nr n ON n.event_type = f.event_type AND n.k = f.k + 1)))
+    SELECT *, (new_client OR cn[client] < {per_client}) AND (new_scope OR gn < {per_scope}) AS ok FROM (
+      SELECT n.scope, n.k, n.event_id, n.client, n.ts_ms, cs, cn, gs, gn,
+        gs IS NULL OR n.ts_ms - gs >= {window} AS new_scope,
+        cs[n.client] IS NULL OR n.ts_ms - cs[n.client] >= {window} AS new_client
+      FROM fold f JOIN nr n ON n.scope = f.scope AND n.k = f.k + 1)))
 SELECT event_id, allowed FROM fold WHERE k > 0"""
 
+
+ORACLES["write_limits"] = write_limit_sql("event_type", "user_id", "BIGINT", 2, 4, _HALF_DAY)
+ORACLES["write_limits_one_scope"] = write_limit_sql("'all'", "event_type", "VARCHAR", 20, 60, _HALF_DAY)
+
 ORACLES["chunk_provenance"] = f"""
 WITH RECURSIVE raw AS (
   SELECT doc_id, text, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS p

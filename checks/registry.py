@@ -1141,6 +1141,16 @@ def write_limits(spark, d):
     ).select("event_id", "allowed")
 
 
+@query
+def write_limits_one_scope(spark, d):
+    """The served limits, 20 writes per client and 60 in all, for one process that serves every event;
+    event types stand for clients, as every one of them writes more than that in twelve hours."""
+    events = timed_events(spark, d).withColumn("scope", F.lit("all"))
+    return limits.write_limits(
+        events, "scope", "event_type", window_ms=12 * 60 * limits.MINUTE_MS, order=("event_id",)
+    ).select("event_id", "allowed")
+
+
 @query
 def ledger_capacity(spark, d):
     return limits.within_capacity(
