@@ -1,4 +1,4 @@
-"""Profiles, enumerations and column lists shared by the operators."""
+"""Profiles and texts shared by the operators."""
 
 from __future__ import annotations
 
@@ -6,34 +6,10 @@ from dataclasses import dataclass
 
 from attestra.functions.hashing import sha256_text
 
-# Enumerations of the data model.
-ROLES = ("operator", "auditor", "admin")
-OUTCOMES = (
-    "answered",
-    "refused-out-of-corpus",
-    "blocked-uncited",
-    "provider-error",
-    "replay-success",
-    "replay-drift",
-    "replay-unsupported",
-    "report-generated",
-    "operator-login-success",
-    "corpus-ingest-completed",
-    "operator-identity-deleted",
-)
-SOURCE_TYPES = ("pdf", "docx", "markdown")
-REPLAY_CAPABILITIES = ("bit_equal", "drift_detect_only", "unsupported")
-SNAPSHOT_STATUSES = ("building", "active", "retired", "failed")
+# Fixed values.
 DEFAULT_EMBEDDING_MODEL = "bge-m3@1024-v1"
 DEFAULT_SEED = 42
 
-CHUNK_COLUMNS = (
-    "chunk_id", "doc_id", "source_document_id", "source_type", "source_path",
-    "page_start", "page_end", "char_start", "char_end", "token_start", "token_end",
-    "chunk_index", "chunk_text", "chunk_sha256", "corpus_snapshot_id",
-    "corpus_snapshot_hash", "extraction_warnings", "ocr_used",
-)
-
 
 @dataclass(frozen=True)
 class ProviderProfile:
@@ -52,13 +28,6 @@ class ProviderProfile:
         return DEFAULT_SEED if self.supports_seed else None
 
 
-@dataclass(frozen=True)
-class EmbeddingProfile:
-    id: str
-    model_version: str
-    dimension: int
-
-
 @dataclass(frozen=True)
 class PromptTemplate:
     id: str
@@ -91,7 +60,3 @@ EXTRACTIVE_PROFILE = ProviderProfile(
     "bit_equal",
     True,
 )
-STUB_PROFILE = ProviderProfile(
-    "stub-llm", "Deterministic Stub LLM", "stub-llm@1.0.0", "bit_equal", True
-)
-HASH_EMBEDDING = EmbeddingProfile("hash-fixture", "hash-fixture@1024-v1", 1024)

@@ -836,6 +836,18 @@ SELECT 'unsupported', query_id::VARCHAR, 'unsupported', NULL, drift FROM e"""
 
 # ---- evaluation ---------------------------------------------------------------------------------
 
+ORACLES["replay_pairs"] = """
+SELECT sha256((c.event_id - 1)::VARCHAR) AS original_id, sha256(c.event_id::VARCHAR) AS replay_id,
+  'replay-success' AS replay_outcome, CASE WHEN v.event_id IS NOT NULL THEN 'answered' END AS original_outcome
+FROM (SELECT event_id FROM events WHERE event_type = 'click') c
+LEFT JOIN (SELECT event_id FROM events WHERE event_type = 'view') v ON v.event_id = c.event_id - 1"""
+ORACLES["result_summary"] = f"""
+WITH {RETRIEVAL}, {ANSWERS}
+SELECT CASE WHEN out_of_corpus THEN 'refused-out-of-corpus' ELSE 'answered' END AS outcome, answer,
+  {stable('query', 'sha256(query_text)', "'session'")} AS query_id, '{SNAPSHOT_ID}' AS corpus_snapshot_id,
+  '{SNAPSHOT_HASH}' AS corpus_snapshot_hash, sha256(answer) AS answer_hash, coalesce(n_claims, 0) AS n_claims,
+  sha256(query_id::VARCHAR) AS ledger_entry_id
+FROM gate JOIN asked USING (query_id) LEFT JOIN ans USING (query_id)"""
 VERBATIM = """verbatim AS (
   SELECT DISTINCT query_id FROM asked a JOIN (
     SELECT text, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents) d

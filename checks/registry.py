@@ -1000,6 +1000,36 @@ def replay_from_ledger(spark, d):
 # ---- evaluation ---------------------------------------------------------------------------------
 
 
+@query
+def replay_pairs(spark, d):
+    """Every click as the replay of the event before it, if that was answered."""
+    events = read_table(spark, d, "events")
+    name = lambda c: F.sha2(c.cast("string"), 256)
+    answered_rows = events.filter("event_type = 'view'").select(
+        name(F.col("event_id")).alias("id"), F.lit("query.answered").alias("entry_type"),
+        F.lit("answered").alias("outcome"), F.lit("{}").alias("metadata"),
+    )
+    told = J.json_object({"originalLedgerEntryId": J.json_string(name(F.col("event_id") - 1))})
+    replays = events.filter("event_type = 'click'").select(
+        name(F.col("event_id")).alias("id"), F.lit("replay.passed").alias("entry_type"),
+        F.lit("replay-success").alias("outcome"), told.alias("metadata"),
+    )
+    return replay.replays_with_originals(answered_rows.unionByName(replays))
+
+
+@query
+def result_summary(spark, d):
+    """What a client sees of each question, with the id of its ledger row."""
+    outcomes, _, _ = answered(spark, d)
+    entries = questions(spark, d).select(
+        F.col("query_id").alias("append_order"), F.sha2(F.col("query_id").cast("string"), 256).alias("id")
+    )
+    return answering.result_summary(outcomes, entries, "session").select(
+        "outcome", "answer", "query_id", "corpus_snapshot_id", "corpus_snapshot_hash", "answer_hash",
+        F.size("claims").alias("n_claims"), "ledger_entry_id",
+    )
+
+
 def verbatim_sources(spark: SparkSession, d: str) -> DataFrame:
     """Documents that contain a question word for word, found by its first line.
 

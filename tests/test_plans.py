@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import canonical_json as J
 from attestra.operators import report
-from attestra.plans import providers, reporting
+from attestra.plans import evaluating, providers, reporting
 from attestra.sources.ledger_store import LedgerStore
 from tests.test_ledger import inputs
 
@@ -30,11 +30,43 @@ def test_report_is_deterministic_and_recorded(spark, tmp_path):
     assert body["evalScores"] == {"groundedness": 1, "citationAccuracy": 0.8, "refusalCorrectness": 1}
     markup = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "a" / "markup")).collect())
     assert markup.startswith("= Test \\[System\\] EU AI Act") and "- This Article 50" in markup
+    assert "== Query volume\n- 5\n" in markup and "- Citation accuracy: 0.8\n" in markup
+    assert "== Model versions\n- none\n" in markup and "== Outcome breakdown\n- answered: 5\n" in markup
     events = store.entries().filter(F.col("entry_type") == "report.generated").filter("n IS NULL")
     assert events.count() == 2 and {r["timestamp_ms"] for r in events.collect()} == {1007}
     assert store.verify().first()["ok"]
 
 
+def test_golden_run_from_files(spark, tmp_path):
+    corpus = tmp_path / "corpus"
+    corpus.mkdir()
+    (corpus / "a.md").write_text(
+        "<!-- chunk:art-50 -->\nAnbieter müssen natürliche Personen über die Interaktion mit KI-Systemen informieren.\n"
+        "<!-- chunk:art-3 -->\nEin Betreiber verwendet ein System in eigener Verantwortung.\n")
+    cases = [
+        {"id": "one", "question": "Müssen Anbieter natürliche Personen über die Interaktion informieren?",
+         "expected_outcome": "answered", "expected_chunks": ["art-50"], "tags": ["duty"]},
+        {"id": "two", "question": "Welche Eigenkapitalquote gilt 2030?",
+         "expected_outcome": "refused-out-of-corpus", "tags": ["out-of-corpus"]},
+    ]
+    golden = tmp_path / "golden.jsonl"
+    golden.write_text("\n".join(json.dumps(c) for c in cases))
+    run = evaluating.run_golden(spark, str(golden), str(corpus)).first()
+    assert (run["status"], run["case_count"]) == ("passed", 2)
+    body = json.loads(run["output_json"])
+    assert J.canonical_text(body) == run["output_json"] and body["caseCount"] == 2
+    assert sorted(body["perTagBreakdown"]) == ["duty", "out-of-corpus"]
+    assert body["pinnedTuple"]["corpusHash"] and body["thresholds"]["refusal_correctness"] == 0.9
+    cases[0]["expected_chunks"] = ["art-3", "art-50"]
+    golden.write_text("\n".join(json.dumps(c) for c in cases))
+    worse = evaluating.run_golden(spark, str(golden), str(corpus)).first()
+    assert worse["status"] == "failed" and worse["citation_accuracy"] == 0.5
+    assert worse["pinned_tuple"] == run["pinned_tuple"]
+    golden.write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        evaluating.run_golden(spark, str(golden), str(corpus))
+
+
 def test_service_embedding(spark):
     texts = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id int, text string")
     got = providers.embed_with_service(texts, lambda ts: [[1.0, len(t)] for t in ts], 2).collect()
