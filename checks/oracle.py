@@ -838,9 +838,10 @@ SELECT 'unsupported', query_id::VARCHAR, 'unsupported', NULL, drift FROM e"""
 
 ORACLES["replay_pairs"] = """
 SELECT sha256((c.event_id - 1)::VARCHAR) AS original_id, sha256(c.event_id::VARCHAR) AS replay_id,
-  'replay-success' AS replay_outcome, CASE WHEN v.event_id IS NOT NULL THEN 'answered' END AS original_outcome
+  'replay-success' AS replay_outcome,
+  CASE v.event_type WHEN 'view' THEN 'answered' WHEN 'click' THEN 'replay-success' END AS original_outcome
 FROM (SELECT event_id FROM events WHERE event_type = 'click') c
-LEFT JOIN (SELECT event_id FROM events WHERE event_type = 'view') v ON v.event_id = c.event_id - 1"""
+LEFT JOIN events v ON v.event_id = c.event_id - 1"""
 ORACLES["result_summary"] = f"""
 WITH {RETRIEVAL}, {ANSWERS}
 SELECT CASE WHEN out_of_corpus THEN 'refused-out-of-corpus' ELSE 'answered' END AS outcome, answer,

@@ -1002,7 +1002,7 @@ def replay_from_ledger(spark, d):
 
 @query
 def replay_pairs(spark, d):
-    """Every click as the replay of the event before it, if that was answered."""
+    """Every click as the replay of the event before it, which is an answer, another replay or neither."""
     events = read_table(spark, d, "events")
     name = lambda c: F.sha2(c.cast("string"), 256)
     answered_rows = events.filter("event_type = 'view'").select(
