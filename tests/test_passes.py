@@ -109,3 +109,31 @@ def test_verification_orders_no_texts_and_chains_small_batches(spark, monkeypatc
     verdicts = ledger.verify_entries(entries).select("ok", "checked_rows").collect()
     assert [tuple(r) for r in verdicts] == [(True, 6), (True, 6)]
     assert not ordered[0] & {"canonical_payload", "query_text", "generated_answer", "metadata"}
+
+
+def test_stored_postings_list_the_chunks_of_a_batch_and_equal_the_single_rows(spark):
+    texts = ["Über Straße ueber x a-b a-b", "", "strasse Strasse über é x", "x 𝒳 ß", " . "]
+    chunks = spark.createDataFrame(
+        [("chunk_" + f"{i:024x}", "p", t) for i, t in enumerate(texts)], "chunk_id string, source_path string, chunk_text string"
+    ).coalesce(1)
+    postings = served.chunk_postings(chunks, key_of(F.col("chunk_id"))).cache()
+    assert postings.count() == postings.select("word").distinct().count()
+    places = served.unpacked(postings.select(F.col("word").alias("term"), "chunks", "places"))
+    columns = ("key", "term", "places")
+    assert rows(places, *columns) == rows(served.chunk_places(chunks, key_of(F.col("chunk_id")).alias("key")), *columns)
+    terms = lexical.chunk_terms(chunks).select(
+        key_of(F.col("chunk_id")).alias("key"), F.explode("terms").alias("term"), "n_terms"
+    )
+    folded = served.unpacked(postings).join(terms.select("term").distinct(), "term", "left_semi").distinct()
+    assert rows(folded.drop("places").distinct(), "key", "term", "n_terms") == rows(terms, "key", "term", "n_terms")
+    counted = postings.groupBy("term").agg(F.sum("n_term").alias("df")).filter("df > 0")
+    expected = terms.groupBy("term").agg(F.count("*").alias("df"))
+    assert rows(counted, "term", "df") == rows(expected, "term", "df")
+
+
+def test_revisions_that_carry_their_token_count_are_not_cut_to_count_windows(spark):
+    revisions = spark.createDataFrame([("a b c",), ("",), ("  x\ty ",)], "text string")
+    counted = revisions.withColumn(snapshots.TOKENS, snapshots.token_count(F.col("text")))
+    assert [r[0] for r in counted.select(snapshots.TOKENS).collect()] == [3, 0, 2]
+    plan = counted.select(snapshots.TOKENS).select(snapshots.revision_windows(counted, 2, 1).alias("n"))
+    assert [r["n"] for r in plan.collect()] == [2, 0, 1]
