@@ -81,7 +81,12 @@ def score_distribution(scores: DataFrame, probes: DataFrame, n_chunks: Column) -
     second = top_two.filter(F.col("rank") == 2).select(
         "probe_id", F.col("score").alias("_second")
     )
-    listed = probes.join(sums, "probe_id", "left").join(second, "probe_id", "left")
+    return summed_distribution(sums.join(second, "probe_id", "left"), probes, n_chunks)
+
+
+def summed_distribution(sums: DataFrame, probes: DataFrame, n_chunks: Column) -> DataFrame:
+    """``score_distribution`` from ``probe_id, _best, _scored, _sum, _squares, _second``."""
+    listed = probes.join(sums, "probe_id", "left")
     zero = F.lit(0.0)
     # A chunk that is not listed scores 0, which can be the best or the runner-up.
     spare = n_chunks - F.coalesce("_scored", F.lit(0))

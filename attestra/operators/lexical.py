@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
-from attestra.operators.lexical_scan import BEST, scan_lists
+from attestra.operators.lexical_scan import BEST, scan_lists, scan_sums
 from attestra.operators.topk import default_fanout, fits_broadcast, top_k
 from attestra.session import stored_once
 
@@ -217,6 +217,22 @@ def ranked_lists(given: ScoringInput, k: int, bound: float = 0.0) -> DataFrame:
     return scan_lists(given.postings, given.weights, k, (DENSE, BM25), formula, bound)
 
 
+def evidence_sums(given: ScoringInput) -> DataFrame:
+    """Per query over the chunks that share a term: best and second evidence, number, sum and sum of
+    squares, added up by the tasks, so no pair is grouped."""
+    parts = scan_sums(given.postings, given.weights, (MAX_DENSITY, MIN_LENGTH, SCORE_DECIMALS))
+    top = F.slice(F.sort_array(F.flatten(F.collect_list(F.array("best", "second"))), asc=False), 1, 2)
+    # A task with one score has no second one.
+    known = F.filter(top, lambda x: x.isNotNull())
+    return parts.groupBy("query_id").agg(
+        F.get(known, F.lit(0)).alias("_best"),
+        F.sum("scored").alias("_scored"),
+        F.sum("sum").alias("_sum"),
+        F.sum("squares").alias("_squares"),
+        F.get(known, F.lit(1)).alias("_second"),
+    )
+
+
 def lowest_chunks(chunks: DataFrame, k: int) -> Column:
     """The ``k`` lowest chunk ids with their paths, as one array."""
     ordered = chunks.select(F.struct("chunk_id", "source_path").alias("c")).orderBy("c.chunk_id")

@@ -9,6 +9,7 @@ goes no further, so at most k rows per query leave a task, however many chunks s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,15 @@ class Weights:
             chunk = until
 
 
+    def scores(
+        self, query: np.ndarray, total: np.ndarray, length: np.ndarray, max_density: float, decimals: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Coverage and evidence of pairs."""
+        base = total / self.totals[query]
+        density = np.minimum(max_density, total / length)
+        return half_up(np.minimum(1, base), decimals), half_up(np.minimum(1, base + base * density), decimals)
+
+
 class Best:
     """Running best ``k`` per query: score, id and path."""
 
@@ -124,10 +134,7 @@ def scan_block(
             paths = np.asarray(batch.column("source_path").to_pylist(), dtype=object)
             length = np.maximum(min_length, batch.column("n_terms").to_numpy())
             for chunk, query, total in block.matched(batch.column("terms")):
-                base = total / block.totals[query]
-                density = np.minimum(max_density, total / length[chunk])
-                evidence = half_up(np.minimum(1, base + base * density), decimals)
-                coverage = half_up(np.minimum(1, base), decimals)
+                coverage, evidence = block.scores(query, total, length[chunk], max_density, decimals)
                 np.maximum.at(highest, query, evidence)
                 clears = coverage >= bound
                 for method, scores in zip(methods, (coverage, evidence)):
@@ -145,6 +152,64 @@ def scan_block(
     return postings.select("chunk_id", "source_path", "n_terms", "terms").mapInArrow(run, ddl)
 
 
+def sum_block(postings: DataFrame, rows: list, query_type, formula: tuple[float, float, int]) -> DataFrame:
+    block = Weights(rows)
+    max_density, min_length, decimals = formula
+    numbers = ("best", "second", "scored", "sum", "squares")
+    ddl = f"query_id {query_type.simpleString()}, best double, second double, scored bigint, sum double, squares double"
+    types = [pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = pa.schema([("query_id", to_arrow_type(query_type)), *zip(numbers, types)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = len(block.queries)
+        top = np.full((2, many), -np.inf)
+        scored, units, squares = np.zeros(many, np.int64), np.zeros(many), np.zeros(many)
+        for batch in batches:
+            length = np.maximum(min_length, batch.column("n_terms").to_numpy())
+            for chunk, query, total in block.matched(batch.column("terms")):
+                _, evidence = block.scores(query, total, length[chunk], max_density, decimals)
+                scored += np.bincount(query, minlength=many)
+                units += np.bincount(query, evidence, many)
+                squares += np.bincount(query, evidence * evidence, many)
+                order = np.lexsort((-evidence, query))
+                begin = np.flatnonzero(np.diff(query[order], prepend=-1))
+                for place in (0, 1):
+                    at = begin + place
+                    at = at[at < np.append(begin[1:], len(order))[: len(at)]]
+                    new = np.full(many, -np.inf)
+                    new[query[order[at]]] = evidence[order[at]]
+                    top = np.sort(np.vstack([top, new]), axis=0)[:0:-1]
+        held = np.flatnonzero(scored)
+        columns = [top[0], np.where(np.isinf(top[1]), np.nan, top[1]), scored, units, squares]
+        arrays = [pa.array([block.queries[j] for j in held], schema[0].type)]
+        arrays += [pa.array(c[held], t, from_pandas=True) for c, t in zip(columns, types)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return postings.select("n_terms", "terms").mapInArrow(run, ddl)
+
+
+def weight_blocks(weights: DataFrame, weight_rows: int) -> Iterator[list]:
+    """Weights of whole queries, about ``weight_rows`` at a time."""
+    # Few weights are read in one go; more are stored and taken block by block.
+    rows = weights.limit(weight_rows + 1).collect()
+    if len(rows) <= weight_rows:
+        yield rows
+        return
+    weights = cut_lineage(weights)
+    blocks = -(-weights.count() // weight_rows)
+    for number in range(blocks):
+        yield weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
+
+
+def scan_sums(
+    postings: DataFrame, weights: DataFrame, formula: tuple[float, float, int], weight_rows: int = WEIGHT_ROWS
+) -> DataFrame:
+    """``query_id, best, second, scored, sum, squares`` of the evidence of every task's chunks."""
+    query_type = weights.schema["query_id"].dataType
+    parts = [sum_block(postings, rows, query_type, formula) for rows in weight_blocks(weights, weight_rows)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def scan_lists(
     postings: DataFrame,
     weights: DataFrame,
@@ -162,15 +227,8 @@ def scan_lists(
     ``weight_rows`` of them, ten thousand questions of a hundred terms; more take further passes.
     """
     query_type = weights.schema["query_id"].dataType
-    # Few weights are read in one go; more are stored and taken block by block.
-    rows = weights.limit(weight_rows + 1).collect()
-    if len(rows) <= weight_rows:
-        return scan_block(postings, rows, query_type, k, methods, formula, bound)
-    weights = cut_lineage(weights)
-    blocks = -(-weights.count() // weight_rows)
-    lists = None
-    for number in range(blocks):
-        own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        part = scan_block(postings, own.collect(), query_type, k, methods, formula, bound)
-        lists = part if lists is None else lists.unionByName(part)
-    return lists
+    parts = [
+        scan_block(postings, rows, query_type, k, methods, formula, bound)
+        for rows in weight_blocks(weights, weight_rows)
+    ]
+    return reduce(DataFrame.unionByName, parts)
