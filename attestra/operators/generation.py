@@ -18,6 +18,7 @@ from attestra.domain import (
     ProviderProfile,
 )
 from attestra.functions import hashing, text as T
+from attestra.session import cut_lineage
 
 # The prompt layout, the marker syntax and the limits of the extractive answerer.
 QUESTION_MARK = "\nFrage:\n"
@@ -263,9 +264,11 @@ def attempts(
     first = _attempt(prompt_rows, provider, evidence, snapshot_id)
     if deterministic:
         return first
+    # Both passes read the first answers; stored, each provider call and its joins are a job of their own.
+    first = cut_lineage(first)
     failing = first.filter(F.size("errors") > 0).select("query_id", F.col("errors").alias("feedback"))
     second = _attempt(prompt_rows.join(failing, "query_id"), provider, evidence, snapshot_id)
-    return first.filter(F.size("errors") == 0).unionByName(second)
+    return first.filter(F.size("errors") == 0).unionByName(cut_lineage(second))
 
 
 def answer_outcomes(

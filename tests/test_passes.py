@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import chunking, ledger, lexical, served, snapshots
+from attestra.operators import chunking, evaluation, generation, ledger, lexical, served, snapshots
 from attestra.operators.embedding import hash_embedding
 from attestra.plans import retrieval
 from attestra.session import BATCH_ROWS
@@ -137,3 +137,36 @@ def test_revisions_that_carry_their_token_count_are_not_cut_to_count_windows(spa
     assert [r[0] for r in counted.select(snapshots.TOKENS).collect()] == [3, 0, 2]
     plan = counted.select(snapshots.TOKENS).select(snapshots.revision_windows(counted, 2, 1).alias("n"))
     assert [r["n"] for r in plan.collect()] == [2, 0, 1]
+
+
+def test_a_first_attempt_is_made_once_however_many_passes_read_it(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def say(feedback):
+        asked.add(1)
+        return "CLAIM: x" if feedback is None else "CLAIM: y [chunk:c]"
+
+    told = F.udf(say, "string")("feedback")
+    prompts = spark.createDataFrame([(1, "p"), (2, "p"), (3, "p")], "query_id int, prompt string")
+    evidence = spark.createDataFrame([(1, "c", "s")], "query_id int, chunk_id string, corpus_snapshot_id string")
+    final = generation.attempts(
+        prompts, lambda p: p.select("query_id", told.alias("answer")), evidence, F.lit("s"), deterministic=False
+    )
+    errors = {r["query_id"]: len(r["errors"]) for r in final.collect()}
+    assert errors == {1: 0, 2: 1, 3: 1}
+    # An attempt reads its answers for the claims, the errors and the answers themselves.
+    assert asked.value <= 2 * 3 * 3
+
+
+def test_evidence_sums_equal_those_over_pairs(spark, given, monkeypatch):
+    chunks, _, asked, _ = given
+    asked = asked.unionByName(spark.createDataFrame([(3, "nowhere"), (4, "x gamma x")], asked.schema))
+    scoring = lexical.scoring_input(chunks.repartition(3), asked)
+    pairs = lexical.score_pairs(scoring).select(F.col("query_id").alias("probe_id"), F.col("evidence").alias("score"))
+    probes = asked.select(F.col("query_id").alias("probe_id"), F.lit("in-corpus").alias("class"))
+    want = evaluation.score_distribution(pairs, probes, F.lit(len(TEXTS)))
+    monkeypatch.setattr(lexical, "score_pairs", None)
+    sums = lexical.evidence_sums(scoring).withColumnRenamed("query_id", "probe_id")
+    got = evaluation.summed_distribution(sums, probes, F.lit(len(TEXTS)))
+    columns = ["probe_id", "class", *[F.round(c, 9) for c in ("best", "mean", "deviation", "second")]]
+    assert rows(got, *columns) == rows(want, *columns)
