@@ -219,7 +219,8 @@ def _attempt(
     """One provider call per prompt with its claims and errors folded into arrays."""
     if "feedback" not in prompts_frame.columns:
         prompts_frame = prompts_frame.withColumn("feedback", F.lit(None).cast(ERRORS_TYPE))
-    answers = provider(prompts_frame)
+    # Claims, errors and the attempt itself read the answers; a provider is asked once.
+    answers = cut_lineage(provider(prompts_frame))
     claims = parse_claims(answers)
     claim_lists = claims.groupBy("query_id").agg(
         F.array_sort(
@@ -264,7 +265,7 @@ def attempts(
     first = _attempt(prompt_rows, provider, evidence, snapshot_id)
     if deterministic:
         return first
-    # Both passes read the first answers; stored, each provider call and its joins are a job of their own.
+    # Both passes read the first attempt; stored, the joins of each attempt are a job of their own.
     first = cut_lineage(first)
     failing = first.filter(F.size("errors") > 0).select("query_id", F.col("errors").alias("feedback"))
     second = _attempt(prompt_rows.join(failing, "query_id"), provider, evidence, snapshot_id)
