@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Words, cut, id_and_text, mix, small_batches, text_slices
+from attestra.llm.common import Words, cut, id_and_text, in_few_tasks, mix, small_batches, text_slices
 from attestra.llm.components import connected_components
 
 SHINGLE = 5
@@ -246,24 +246,27 @@ def agreement_with_drawn(large: DataFrame) -> DataFrame:
 
 def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     """Links that connect candidates; walks down the paths level by level."""
-    paths, found = first_paths(sets, runs), None
+    paths, small, linked = first_paths(sets, runs), None, []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
         sizes = paths.groupBy("node").agg(F.count("*").alias("n"), F.min(draw_key()).alias("least"))
         # Stored apart, so that the join is free to split the sets of a large bucket.
-        together = cut(paths.join(cut(sizes.filter(F.col("n") > 1)), "node"))
-        links = bucket_links(together.filter(F.col("n") <= LIMIT))
-        large = together.filter(F.col("n") > LIMIT)
-        ended = large.isEmpty()
-        if not ended:
-            large = cut(agreement_with_drawn(large))
-            near = F.lit(True) if depth == DEPTH else F.col("agree") >= CANDIDATE_MATCHES
-            links = links.unionByName(
-                large.filter(near).select(F.col("id").alias("a"), F.col("drawn").alias("b"))
-            )
-        found = links if found is None else found.unionByName(links)
-        if depth == DEPTH or ended:
-            return found
+        sizes = cut(sizes.filter(F.col("n") > 1))
+        crowd = F.when(F.col("n") > LIMIT, F.col("n"))
+        nodes, rows, crowded = (x or 0 for x in sizes.agg(F.count("*"), F.sum("n"), F.sum(crowd)).first())
+        together = in_few_tasks(cut(paths.join(in_few_tasks(sizes, nodes), "node")), rows)
+        few = together.filter(F.col("n") <= LIMIT)
+        small = few if small is None else small.unionByName(few)
+        if not crowded:
+            break
+        large = in_few_tasks(cut(agreement_with_drawn(together.filter(F.col("n") > LIMIT))), crowded)
+        near = F.lit(True) if depth == DEPTH else F.col("agree") >= CANDIDATE_MATCHES
+        linked.append(large.filter(near).select(F.col("id").alias("a"), F.col("drawn").alias("b")))
         paths = longer_paths(large.filter(F.col("agree") < CLOSE_MATCHES))
+    # Nodes of different levels differ, so the small buckets of all levels are compared in one pass.
+    found = bucket_links(small)
+    for links in linked:
+        found = found.unionByName(links)
+    return found
 
 
 def exact_links(left: list, right: list, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
