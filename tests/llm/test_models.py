@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from attestra.llm import language_id, toxicity, url_filter, voronoi_knn
+from attestra.llm.common import Words, hash_words
 from attestra.llm.queries import QUERIES
 from tests.llm.conftest import WORDS, prose
 
@@ -75,6 +77,50 @@ def test_gradients_lower_the_loss():
     assert loss() < 0.6 * before
 
 
+def noisy(n=90):
+    """Texts of words no other text has, of some that four texts share, and one mark of toxic ones."""
+    rng = random.Random(4)
+    toxic = [int(i % 3 == 0) for i in range(n)]
+    texts = [f"few{i // 4} {prose(rng, 20)} {'scum' * y} only{i}here" for i, y in enumerate(toxic)]
+    return texts, toxic
+
+
+def test_every_feature_has_an_embedding_that_learns():
+    known = np.array([1 << 40, 1 << 50], np.uint64)
+    slots = toxicity.ToxicityModel(known).slots(np.array([[1 << 40, 1 << 45, 0], [(1 << 64) - 1, 1 << 50, 7]], np.uint64))
+    assert slots[0, 0] == 1 and slots[1, 1] == 2 and slots[0, 2] == 0
+    assert min(slots[0, 1], slots[1, 0], slots[1, 2]) > 2
+    texts, toxic = noisy()
+    model = toxicity.train_toxicity_model(texts, toxic, [None] * len(texts), 0.3).model
+    words = Words(pa.array(texts))
+    slots = np.unique(model.slots(toxicity.feature_hashes(words)))
+    fresh = toxicity.ToxicityModel(model.known).embedding
+    assert len(model.embedding) == len(fresh)
+    few = model.slots(hash_words([b"few2", b"only5here", b"scum"]))
+    assert (few > 0).all() and few[1] > len(model.known)
+    learned = (model.embedding[:, 4:] != fresh[:, 4:]).any(axis=1)
+    rare = slots[slots > len(model.known)]
+    assert learned[rare].any() and not learned[0] and learned[few[2]]
+
+
+def test_thresholds_come_from_networks_that_have_not_seen_the_row(monkeypatch):
+    fitted, scored = [], []
+    plain, usual = toxicity.ToxicityModel.train, toxicity.best_threshold
+
+    def train(self, docs, *rest, **more):
+        fitted.append(len(docs))
+        plain(self, docs, *rest, **more)
+
+    monkeypatch.setattr(toxicity.ToxicityModel, "train", train)
+    monkeypatch.setattr(toxicity, "best_threshold", lambda score, *rest: scored.append(score) or usual(score, *rest))
+    texts, toxic = noisy()
+    own = toxicity.train_toxicity_model(texts, toxic, ["en"] * len(texts), 0.3)
+    assert fitted == [60, 60, 60, 90] and [len(s) for s in scored] == [90, 90]
+    assert set(own.thresholds) == {None, "en"}
+    seen = own.score(Words(pa.array(texts)))
+    assert not np.allclose(seen, scored[0], atol=1e-3)
+
+
 def test_toxicity_query(spark):
     rows = QUERIES["op4_toxicity"](spark, SMALL).collect()
     documents = spark.read.parquet(f"{SMALL}/documents.parquet")
